@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_chunks
+from .common import bounded_sample, staged, text_chunks
 
 #: Lengths of the character n-grams and log2 of the number of hash buckets.
 ORDERS = (1, 2, 3)
@@ -92,10 +92,13 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from rows whose language is not null.  Counts are summed on the
+    """Learn from rows whose language and id are not null: all rows of at most
+    ``sample_rows`` ids, drawn before any text is read.  Counts are summed on the
     executors; what reaches the driver is one vector per language, bounded by
     the number of buckets."""
-    rows = bounded_sample(labelled.where(F.col(lang_col).isNotNull()), id_col, sample_rows)
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    ids = staged(bounded_sample(known.select(F.col(id_col).alias("__pick")).distinct(), "__pick", sample_rows), "picked")
+    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("__pick"))  # at most sample_rows ids
     src = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
