@@ -38,7 +38,14 @@ def staged(df: DataFrame, name: str = "t", cols: list[str] | None = None) -> Dat
     lost executor costs nothing that was finished."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestem/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # the exchanges of this write serve nothing else: their files go with it
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(cleanup, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
     return out
@@ -59,6 +66,23 @@ def parts_of(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """``(rows whose id may be among ids, rows whose id is not)``.
+
+    A bitmap of ``2**bits`` hashed ids, at most ``2**(bits-6)`` rows and so of
+    bounded size, is broadcast.  It never sends a listed id to the second part;
+    as more ids are listed, more others land in the first.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+    key = ids.columns[0]
+    table = ids.select(slot(key).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot & 63 as int)))").alias("__bits"))
+    table = F.broadcast(staged(table, "bitmap"))
+    marked = df.withColumn("__slot", slot(id_col)).join(table, F.shiftright("__slot", 6) == F.col("__word"), "left")
+    maybe = F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__slot & 63 as int)) & 1L") == 1, F.lit(False))
+    extra = ["__slot", "__word", "__bits"]
+    return marked.where(maybe).drop(*extra), marked.where(~maybe).drop(*extra)
+
+
 def fold_of(id_col: str | Column, modulus: int) -> Column:
     """``crc32(id as text) mod modulus``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

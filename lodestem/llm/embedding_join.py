@@ -98,12 +98,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Rows link when their labels are equal and not null, their sizes are equal
     and their cosine reaches the threshold.  Null, zero and non-finite vectors
     link with nothing.  Equal vectors of a label are one class until the end:
-    each of its rows counts the others and every row of a linked class.  Ids
-    must be unique and not null.  No rows give no rows.
+    each of its rows counts the others and every row of a linked class.  Rows
+    without an id link with nothing and are kept.  No rows give no rows.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = base.where(usable("vec") & F.col("label").isNotNull())
+    good = base.where(usable("vec") & F.col("label").isNotNull() & F.col("id").isNotNull())
     classes = staged(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")).withColumn("dim", F.size("vec")), "classes")
     found = []
     for (dim,) in sorted(classes.select("dim").distinct().collect()):  # sizes of vectors, not rows
@@ -123,8 +123,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     )
     per_class = staged(per_class, "perclass").withColumnsRenamed({"label": "__label", "vec": "__vec"})
     out = base.join(per_class, (F.col("label") == F.col("__label")) & (F.col("vec") == F.col("__vec")), "left")
-    n, c = F.when(usable("vec"), F.col("n")), F.when(usable("vec"), F.col("c"))
-    return out.select(F.col("id").alias(id_col), F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), F.coalesce(c, "id").cast("long").alias("component_id"), (F.coalesce(c, "id") == F.col("id")).alias("kept"))
+    named = usable("vec") & F.col("id").isNotNull()
+    n, c = F.when(named, F.col("n")), F.when(named, F.col("c"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), F.coalesce(c, "id").cast("long").alias("component_id"), F.coalesce(F.coalesce(c, "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:

@@ -132,14 +132,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     unchanged.  Two rows link at a Jaccard similarity of the threshold or more;
     ``class_id`` is the smallest id reachable over links, and that row is kept.
     Texts of one to four words are one shingle; null texts and texts without
-    words link with nothing.  Rows with equal word sequences count each other.
-    Ids are integers, unique and not null; other columns are not read.  No rows
-    give no rows.
+    words link with nothing, and so do rows without an id, which are kept.  Rows
+    with equal word sequences count each other, repeated rows too.  Ids are
+    integers, one text to an id; other columns are not read.  No rows give no
+    rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = staged(signatures(src, prefix_depth(threshold[0] / threshold[1])), "signatures")
-    worded = sig.where("n_words > 0")
+    worded = sig.where("n_words > 0 and id is not null")
     classes = staged(worded.groupBy("s1", "s2", "n_words").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     reps = worded.join(classes.select("rep", "size"), F.col("id") == F.col("rep")).select("id", "prefixes")
     paths = staged(reps.select("id", F.explode("prefixes").alias("prefix")), "paths")
@@ -156,9 +157,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         .select("s1", "s2", F.col("n_words").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
     per_class = staged(per_class, "perclass").withColumnsRenamed({"s1": "t1", "s2": "t2"})
-    out = sig.select("id", "s1", "s2", "n_words").join(per_class, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_words") == F.col("w")), "left")
+    out = sig.select("id", "s1", "s2", "n_words").join(per_class, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_words") == F.col("w")) & F.col("id").isNotNull(), "left")
     c = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), "n_words", c.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), (c == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_words", c.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _verify(src: DataFrame, clusters: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -180,6 +181,10 @@ def _verify(src: DataFrame, clusters: DataFrame, classes: DataFrame, threshold:
         rows: list[tuple[list, list, list]] = []
         held = 0
         for _, t in runs(batches):
+            ids = t.column("id").to_numpy()
+            once = np.unique(ids, return_index=True)[1]
+            if len(once) < len(ids):  # a repeated row
+                t = t.take(pa.array(np.sort(once)))
             own = bool(t.column("own")[0].as_py())
             second = t.column("second").to_numpy()
             ids, size = t.column("id").to_numpy(), t.column("size").to_numpy()

@@ -44,8 +44,8 @@ FEATURES = ("n_words", "mean_word", "symbol_ratio", "upper_ratio", "mark_ratio",
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the base statistics and the features of every whole text.
 
-    A null text has no words; every ratio of a text without words is 0.  Columns
-    of ``docs`` that clash with a statistic must be renamed by the caller.
+    A null text has no words; every ratio of a text without words is 0.  Columns of
+    ``docs`` that clash with a statistic must be renamed by the caller.
     Windows are compared by 64-bit hashes within one text.  One narrow pass; the
     sort of window hashes runs only for texts in which one repeats.
     """
@@ -240,3 +240,10 @@ def learn_from_tables(docs: DataFrame, labels: DataFrame, sample_rows: int = SAM
     ids = labels.where((fold_of("doc_id", 3) != 1) & F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     picked = F.broadcast(staged(bounded_sample(ids, "doc_id", sample_rows), "picked"))
     return learn(docs.select("doc_id", "text").join(picked, "doc_id"), sample_rows=sample_rows)
+
+
+def keep_documents(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with the same columns, whatever their
+    names."""
+    held = judge(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text_in")), rules, "__text_in").where("kept")
+    return held.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = predict(docs, fit(docs, _table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = predict(docs, fit(docs, _table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
 
 
 def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit(docs.where(fold_of("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {
@@ -97,6 +103,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_join": op7_embedding_join,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import parts_of, staged
+from .common import parts_of, split_by_ids, staged
 
 #: Stands for a secret in redacted text.
 MASK_TEXT = "[secret]"
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     texts = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("__text"))
     todo = first.hint("shuffle_hash").withColumnRenamed("id", "__id")
-    blobs = texts.join(todo, F.col("id") == F.col("__id"), "inner").where(F.sha2("__text", 256) == F.col("blob"))
+    blobs = texts.join(todo, F.col("id").eqNullSafe(F.col("__id")), "inner").where(F.sha2("__text", 256) == F.col("blob"))
     matched = blobs.select(
         "blob", "__text", *[F.when(F.array_contains("todo", r.key), F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0))).alias(f"__m{i}") for i, r in enumerate(rules)]
     )
@@ -162,3 +162,16 @@ def digest(paths: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return paths.select(F.col("id").alias("doc_id"), *[n(r.kind) for r in BASE_RULES], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents with every secret masked, with the same columns.  Texts
+    without findings, null ones among them, stay as they are."""
+    scanned = scan(docs, id_col, text_col, rules)
+    spans = staged(spans_by_blob(scanned.findings), "spans")
+    held = staged(scanned.paths.join(spans.select("blob"), "blob", "left_semi").select("id"), "held")
+    maybe, clean = split_by_ids(docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), held, "__id")
+    maybe = maybe.withColumn("__blob", F.sha2(F.coalesce("__text", F.lit("")), 256)).join(spans, F.col("__blob") == F.col("blob"), "left")
+    masked = maybe.select("__row", F.when(F.col("spans").isNotNull(), redacted(F.col("__text"), F.col("spans"))).otherwise(F.col("__text")).alias("__text"))
+    out = masked.unionByName(clean.select("__row", "__text"))
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
