@@ -1 +1 @@
-"""Part of the engine: operators."""
+"""Operators of the ranking engine: DataFrames in, DataFrames out."""

@@ -1,4 +1,517 @@
-"""Named queries over the driver tables and their SQL counterparts."""
+"""Named queries over the driver tables, one per operator, and their SQL.
 
-QUERIES: dict = {}
+Where logarithms enter, both sides round to nine decimals before they rank or
+return, as the last bit of ``ln`` is not the same everywhere.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numerics import Reduction
+from ..functions.text import STOPWORDS, plain_ngrams, stopped
+from ..operators import analysis, distances, perturbation, profiles, ranking, scoring, ties, vocabulary
+from ..operators.model import Model, embed, fit, norms
+from . import tables as t
+
+KS = (1, 5, 10, 20)
+TAU = 0.001
+LIKED = 25.0
+DIGITS = 9
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ------------------------------------------------------------ SQL pieces
+TOK = """tok AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+cnt AS (SELECT doc_id, token, count(*) AS cnt FROM tok GROUP BY ALL),
+ids AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents),
+nd AS (SELECT count(*) AS n FROM documents)"""
+FIT = TOK + """,
+vocab AS (SELECT token, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS cf, ln((1.0 + (SELECT n FROM nd)) / (1.0 + count(*))) + 1 AS idf FROM cnt GROUP BY token),
+len AS (SELECT doc_id, sum(cnt) AS length FROM cnt GROUP BY doc_id),
+w AS (SELECT doc_id, token, cnt, CAST(cnt AS DOUBLE) / length AS tf, CAST(cnt AS DOUBLE) / length * idf AS weight FROM cnt JOIN vocab USING (token) JOIN len USING (doc_id)),
+norm AS (SELECT doc_id, sqrt(list_reduce(list(weight * weight ORDER BY token), lambda a, b: a + b)) AS norm FROM w GROUP BY doc_id)"""
+QRY = FIT + """,
+qtok AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+qcnt AS (SELECT query_id, token, count(*) AS cnt FROM qtok JOIN vocab USING (token) GROUP BY ALL),
+qlen AS (SELECT query_id, sum(cnt) AS length FROM qcnt GROUP BY query_id),
+qw AS (SELECT query_id, token, CAST(cnt AS DOUBLE) / length * idf AS qw FROM qcnt JOIN qlen USING (query_id) JOIN vocab USING (token)),
+qnorm AS (SELECT query_id, sqrt(list_reduce(list(qw * qw ORDER BY token), lambda a, b: a + b)) AS qn FROM qw GROUP BY query_id),
+dot AS (SELECT query_id, doc_id, list_reduce(list(qw * weight ORDER BY token), lambda a, b: a + b) AS dot FROM w JOIN qw USING (token) GROUP BY ALL),
+touched AS (SELECT query_id, doc_id, round(dot / (qn * norm), 9) AS score FROM dot JOIN qnorm USING (query_id) JOIN norm USING (doc_id)),
+scores AS (SELECT q.query_id, i.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT CAST(item_id AS VARCHAR) AS query_id FROM benchmark) q CROSS JOIN ids i
+           LEFT JOIN touched s ON s.query_id = q.query_id AND s.doc_id = i.doc_id)"""
+ATTR = """attr AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, n_chars AS pop, quality AS rat, len(string_split(text, chr(10))) AS eng
+          FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+RANK = QRY + ", " + ATTR + """,
+ranks AS (SELECT query_id, doc_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pop DESC NULLS LAST, rat DESC NULLS LAST, eng DESC NULLS LAST, doc_id) AS rnk_pi,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk_pi_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, eng DESC NULLS LAST, rat DESC NULLS LAST, pop DESC NULLS LAST, doc_id) AS rnk_pi_alt
+  FROM scores JOIN attr USING (doc_id)),
+gaps AS (SELECT query_id, rnk_pi AS rnk, round(score - lead(score) OVER (PARTITION BY query_id ORDER BY rnk_pi), 9) AS gap FROM ranks)"""
+ITEMS = f"""inter AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS doc_id, max(l_quantity) AS weight
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+liked AS (SELECT user_id, doc_id FROM inter WHERE weight >= {LIKED}),
+able AS (SELECT user_id, count(*) AS n_items FROM liked GROUP BY user_id HAVING count(*) >= 5)"""
+PTOK = """ptok AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[a-z0-9]+')) AS token FROM part),
+pcnt AS (SELECT doc_id, token, count(*) AS cnt FROM ptok GROUP BY ALL)"""
+
+
+# ------------------------------------------------------------- fragments
+def _model(spark: SparkSession, sf_dir: str) -> Model:
+    return fit(t.corpus(spark, sf_dir), exact_log=True, check=False)
+
+
+def _rounded(col: str):
+    return F.round(col, DIGITS).alias(col)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _model(spark, sf_dir)
+    q = t.benchmark_queries(spark, sf_dir)
+    s = scoring.all_scores(m, embed(m, q).persist(), q.select("query_id"))
+    return s.select("query_id", "doc_id", _rounded("score"))
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
+    return ranking.rank_all(_scores(spark, sf_dir), attrs)
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir).select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id", "score")
+
+
+# ------------------------------------------------------------ vocabulary
+@_query(f"WITH {TOK} SELECT token, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS cf FROM cnt GROUP BY token")
+def term_frequencies(spark, sf_dir):
+    return vocabulary.frequencies(vocabulary.term_counts(t.corpus(spark, sf_dir)))
+
+
+@_query(f"WITH {TOK} SELECT token, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS cf FROM cnt GROUP BY token HAVING count(*) >= 3 AND count(*) <= floor(0.5 * (SELECT n FROM nd))")
+def vocab_min_max_df(spark, sf_dir):
+    docs = t.corpus(spark, sf_dir)
+    return vocabulary.vocabulary(vocabulary.term_counts(docs), docs.count(), vocabulary.VocabularyConfig(3, 0.5), check=False)
+
+
+def _cut(order: str) -> str:
+    return f"WITH {TOK}, v AS (SELECT token, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS cf FROM cnt GROUP BY token) SELECT * FROM v ORDER BY {order}, token LIMIT 500"
+
+
+@_query(_cut("df DESC, cf DESC"))
+def vocab_max_features_df_desc(spark, sf_dir):
+    return vocabulary.vocabulary(vocabulary.term_counts(t.corpus(spark, sf_dir)), 1 << 40, vocabulary.VocabularyConfig(max_features=500), check=False)
+
+
+@_query(_cut("cf DESC, df DESC"))
+def vocab_max_features_cf_desc(spark, sf_dir):
+    return vocabulary.vocabulary(vocabulary.term_counts(t.corpus(spark, sf_dir)), 1 << 40, vocabulary.VocabularyConfig(max_features=500, cut=vocabulary.Cut.CF_DF), check=False)
+
+
+@_query(_cut("cf DESC"))
+def vocab_max_features_cf_token(spark, sf_dir):
+    return vocabulary.vocabulary(vocabulary.term_counts(t.corpus(spark, sf_dir)), 1 << 40, vocabulary.VocabularyConfig(max_features=500, cut=vocabulary.Cut.CF), check=False)
+
+
+@_query(f"WITH {TOK} SELECT token, row_number() OVER (ORDER BY token) - 1 AS term_id FROM (SELECT DISTINCT token FROM cnt)")
+def term_ids(spark, sf_dir):
+    v = vocabulary.frequencies(vocabulary.term_counts(t.corpus(spark, sf_dir))).select("token")
+    return vocabulary.numbered(v).select("token", F.col("term_id").cast("long").alias("term_id"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+@_query(
+    f"""WITH words AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)),
+    pairs AS (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM words),
+    grams AS (SELECT doc_id, token || chr(31) || nxt AS token FROM pairs WHERE nxt IS NOT NULL AND token NOT IN ({_STOP}) AND nxt NOT IN ({_STOP}))
+    SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM grams GROUP BY token"""
+)
+def ngrams_bigrams_gap(spark, sf_dir):
+    docs = t.corpus(spark, sf_dir).withColumn("g", stopped(F.col("features")))
+    return vocabulary.frequencies(vocabulary.term_counts(docs.select("doc_id", plain_ngrams(F.col("g"), 2).alias("features"))))
+
+
+@_query(
+    f"""WITH {TOK}, gone AS (SELECT token, count(*) AS d FROM cnt WHERE doc_id = (SELECT max(doc_id) FROM ids) GROUP BY token)
+    SELECT token, df - coalesce(d, 0) AS df FROM (SELECT token, count(*) AS df FROM cnt GROUP BY token) LEFT JOIN gone USING (token) WHERE df > coalesce(d, 0)"""
+)
+def df_after_edit(spark, sf_dir):
+    counts = vocabulary.term_counts(t.corpus(spark, sf_dir)).persist()
+    last = counts.agg(F.max("doc_id").alias("doc_id"))
+    gone = counts.join(last, "doc_id", "left_semi")
+    return vocabulary.df_after_edit(vocabulary.document_frequencies(counts), gone, gone.limit(0))
+
+
+# ----------------------------------------------------------------- model
+@_query(f"WITH {FIT} SELECT DISTINCT df, round(idf, 9) AS idf FROM vocab")
+def smoothed_idf(spark, sf_dir):
+    return _model(spark, sf_dir).vocab.select("df", _rounded("idf")).distinct()
+
+
+@_query(f"WITH {FIT} SELECT doc_id, token, cnt, round(tf, 12) AS tf, round(weight, 9) AS weight FROM w")
+def tfidf_weights(spark, sf_dir):
+    return _model(spark, sf_dir).weights.select("doc_id", "token", "cnt", F.round("tf", 12).alias("tf"), _rounded("weight"))
+
+
+@_query(f"WITH {FIT} SELECT doc_id, CAST(coalesce(length, 0) AS BIGINT) AS length, round(coalesce(norm, 0), 9) AS norm FROM ids LEFT JOIN len USING (doc_id) LEFT JOIN norm USING (doc_id)")
+def row_norms(spark, sf_dir):
+    return _model(spark, sf_dir).stats.select("doc_id", "length", _rounded("norm"))
+
+
+def _reduced(policy: Reduction):
+    def run(spark, sf_dir):
+        return norms(_model(spark, sf_dir).weights, reduction=policy).select("doc_id", "length", _rounded("norm"))
+
+    run.__name__ = f"row_norms_{policy.value}"
+    return run
+
+
+for _p in (Reduction.NEUMAIER, Reduction.PAIRWISE, Reduction.EXACT):
+    _query(f"WITH {FIT} SELECT doc_id, CAST(length AS BIGINT) AS length, round(norm, 9) AS norm FROM len JOIN norm USING (doc_id)")(_reduced(_p))
+
+
+# --------------------------------------------------------------- scoring
+@_query(f"WITH {QRY} SELECT * FROM touched")
+def cosine_touched(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return scoring.touched_scores(m, embed(m, t.benchmark_queries(spark, sf_dir))).select("query_id", "doc_id", _rounded("score"))
+
+
+@_query(f"WITH {QRY} SELECT * FROM scores")
+def cosine_all_candidates(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+@_query(
+    """WITH tok AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+    cnt AS (SELECT doc_id, token, count(*) AS cnt FROM tok GROUP BY ALL),
+    vocab AS (SELECT token, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM cnt GROUP BY token),
+    w AS (SELECT doc_id, token, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY doc_id) * idf AS weight FROM cnt JOIN vocab USING (token)),
+    norm AS (SELECT doc_id, sqrt(list_reduce(list(weight * weight ORDER BY token), lambda a, b: a + b)) AS norm FROM w GROUP BY doc_id),
+    dot AS (SELECT x.doc_id AS a, y.doc_id AS b, list_reduce(list(x.weight * y.weight ORDER BY token), lambda p, q: p + q) AS dot
+            FROM w x JOIN w y USING (token) WHERE x.doc_id < y.doc_id GROUP BY ALL)
+    SELECT a, b, round(dot / (m.norm * n.norm), 9) AS score FROM dot JOIN norm m ON m.doc_id = a JOIN norm n ON n.doc_id = b"""
+)
+def cosine_all_pairs(spark, sf_dir):
+    m = fit(t.benchmark_queries(spark, sf_dir), id_col="query_id", check=False)
+    return scoring.cosine_pairs(m).select("a", "b", _rounded("score"))
+
+
+@_query(f"WITH {FIT} SELECT round(sqrt(max(nnz)), 9) AS constant FROM (SELECT CAST(count(*) AS DOUBLE) AS nnz FROM w GROUP BY doc_id)")
+def corpus_lipschitz(spark, sf_dir):
+    return scoring.corpus_lipschitz(_model(spark, sf_dir).weights).select(_rounded("constant"))
+
+
+# --------------------------------------------------------------- ranking
+@_query(f"WITH {RANK} SELECT query_id, rnk_pi AS rnk, doc_id, score FROM ranks WHERE rnk_pi <= 11")
+def cosine_topk_pi(spark, sf_dir):
+    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
+    return ranking.rank(_scores(spark, sf_dir), attrs, "pi", 10).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+@_query(f"WITH {RANK} SELECT * FROM ranks")
+def rank_all_operators(spark, sf_dir):
+    r = _ranks(spark, sf_dir)
+    return r.select("query_id", "doc_id", "score", *[F.col(c).cast("long").alias(c) for c in ("rnk_pi", "rnk_pi_score", "rnk_pi_alt")])
+
+
+@_query(
+    """WITH a AS (SELECT l_partkey, count(*) AS pop, sum(CAST(l_quantity AS BIGINT)) AS num, count(*) AS den, count(DISTINCT l_suppkey) AS eng FROM lineitem GROUP BY 1),
+    p AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, pop, num, den, eng FROM part LEFT JOIN a ON l_partkey = p_partkey),
+    r AS (SELECT doc_id, pop, eng, num // gcd(num, den) AS rn, den // gcd(num, den) AS rd, CAST(num AS DOUBLE) / den AS q FROM p)
+    SELECT doc_id, CASE WHEN pop IS NULL THEN 2147483647 ELSE dense_rank() OVER (ORDER BY pop DESC NULLS LAST) - 1 END AS popularity_rank,
+      CASE WHEN rn IS NULL THEN 2147483647 ELSE dense_rank() OVER (ORDER BY q DESC NULLS LAST, rn, rd) - 1 END AS rating_rank,
+      CASE WHEN eng IS NULL THEN 2147483647 ELSE dense_rank() OVER (ORDER BY eng DESC NULLS LAST) - 1 END AS engagement_rank FROM r"""
+)
+def attribute_dense_ranks(spark, sf_dir):
+    r = ranking.dense_ranks(t.item_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
+    return r.select("doc_id", *[F.col(f"{n}_rank").cast("long").alias(f"{n}_rank") for n in ("popularity", "rating", "engagement")])
+
+
+@_query(f"WITH {RANK} SELECT query_id, rnk, gap FROM gaps WHERE gap IS NOT NULL")
+def adjacent_gaps(spark, sf_dir):
+    return ranking.gaps(_ranking(spark, sf_dir)).select("query_id", F.col("rnk").cast("long").alias("rnk"), _rounded("gap"))
+
+
+_MARGIN = RANK + f""",
+ks AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k),
+n AS (SELECT query_id, count(*) AS n FROM ranks GROUP BY 1),
+marg AS (SELECT n.query_id, k, least(k, n) AS k_effective, max(CASE WHEN rnk = least(k, n) THEN gap END) AS boundary,
+         min(CASE WHEN rnk < least(k, n) THEN gap END) AS inner_gap FROM n CROSS JOIN ks JOIN gaps g ON g.query_id = n.query_id GROUP BY ALL)"""
+
+
+@_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, boundary, inner_gap, boundary IS NOT NULL AS defined, coalesce(boundary = 0, false) AS exact_tie FROM marg")
+def margin_profile(spark, sf_dir):
+    m = ranking.margins(_ranking(spark, sf_dir), KS)
+    return m.select("query_id", F.col("k").cast("long").alias("k"), _rounded("boundary"), F.round("inner", DIGITS).alias("inner_gap"), "defined", "exact_tie")
+
+
+@_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, round(boundary / 2, 8) AS set_radius, round(inner_gap / 2, 8) AS order_radius, round(least(boundary, coalesce(inner_gap, boundary)) / 2, 8) AS joint_radius FROM marg")
+def certified_radii(spark, sf_dir):
+    m = ranking.margins(_ranking(spark, sf_dir), KS).withColumns({"boundary": F.round("boundary", DIGITS), "inner": F.round("inner", DIGITS)})
+    c = ranking.certificates(m)
+    return c.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(x, 8).alias(x) for x in ("set_radius", "order_radius", "joint_radius")])
+
+
+@_query(f"WITH {RANK} SELECT query_id, rnk, gap FROM gaps WHERE gap > 0 ORDER BY gap, rnk, query_id LIMIT 20")
+def closest_near_ties(spark, sf_dir):
+    r = ranking.gaps(_ranking(spark, sf_dir)).select("query_id", "rnk", _rounded("gap"))
+    return r.where("gap > 0").orderBy("gap", "rnk", "query_id").limit(20).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+# ------------------------------------------------------------------ ties
+@_query(
+    f"""WITH {RANK}, c AS (SELECT query_id, rnk_pi AS rnk, CASE WHEN lag(score) OVER w - score > {TAU} THEN 1 ELSE 0 END AS cut FROM ranks WINDOW w AS (PARTITION BY query_id ORDER BY rnk_pi)),
+    d AS (SELECT query_id, rnk, sum(cut) OVER (PARTITION BY query_id ORDER BY rnk) AS chain FROM c)
+    SELECT query_id, CAST(chain AS BIGINT) AS chain, min(rnk) - 1 AS lo, max(rnk) AS hi FROM d GROUP BY ALL"""
+)
+def tie_chains(spark, sf_dir):
+    c = ties.chains(_ranking(spark, sf_dir), TAU)
+    return c.select("query_id", F.col("chain").cast("long").alias("chain"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
+_BALLS = f"""v AS (SELECT query_id, score, min(rnk_pi) - 1 AS lo, max(rnk_pi) AS hi FROM ranks GROUP BY ALL),
+b AS (SELECT x.query_id, x.lo, x.hi, min(y.lo) AS ball_lo, max(y.hi) AS ball_hi FROM v x JOIN v y ON x.query_id = y.query_id AND abs(x.score - y.score) <= {TAU} GROUP BY ALL)"""
+
+
+@_query(f"WITH {RANK}, {_BALLS} SELECT * FROM b")
+def tie_balls(spark, sf_dir):
+    return ties.balls(_ranking(spark, sf_dir), TAU)
+
+
+@_query(
+    f"""WITH {RANK}, {_BALLS}, r AS (SELECT query_id, lo, ball_hi, lag(ball_hi) OVER (PARTITION BY query_id ORDER BY lo) AS before FROM b)
+    SELECT query_id, lo, ball_hi AS hi FROM r WHERE before IS NULL OR ball_hi > before"""
+)
+def tie_cliques(spark, sf_dir):
+    return ties.cliques(_ranking(spark, sf_dir), TAU)
+
+
+@_query()
+def tie_report(spark, sf_dir):
+    return ties.tie_report(_ranking(spark, sf_dir).persist(), TAU)
+
+
+# ------------------------------------------------------------- distances
+def _fks_sql(other: str) -> str:
+    return f"""WITH {RANK}, ks AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k),
+    al AS (SELECT query_id, k, doc_id, CASE WHEN rnk_pi <= k THEN rnk_pi END AS pa, CASE WHEN {other} <= k THEN {other} END AS pb FROM ranks CROSS JOIN ks WHERE least(rnk_pi, {other}) <= k),
+    sz AS (SELECT query_id, k, greatest(count(pa), count(pb)) AS m, count(*) AS u, count(*) FILTER (WHERE pa IS NOT NULL AND pb IS NOT NULL) AS i FROM al GROUP BY ALL),
+    pr AS (SELECT x.query_id, x.k, CASE
+        WHEN x.pa IS NOT NULL AND y.pa IS NOT NULL AND x.pb IS NOT NULL AND y.pb IS NOT NULL THEN CASE WHEN (x.pa < y.pa) <> (x.pb < y.pb) THEN 1.0 ELSE 0.0 END
+        WHEN x.pa IS NOT NULL AND y.pa IS NOT NULL AND x.pb IS NOT NULL THEN CASE WHEN y.pa < x.pa THEN 1.0 ELSE 0.0 END
+        WHEN x.pa IS NOT NULL AND y.pa IS NOT NULL AND y.pb IS NOT NULL THEN CASE WHEN x.pa < y.pa THEN 1.0 ELSE 0.0 END
+        WHEN x.pb IS NOT NULL AND y.pb IS NOT NULL AND x.pa IS NOT NULL THEN CASE WHEN y.pb < x.pb THEN 1.0 ELSE 0.0 END
+        WHEN x.pb IS NOT NULL AND y.pb IS NOT NULL AND y.pa IS NOT NULL THEN CASE WHEN x.pb < y.pb THEN 1.0 ELSE 0.0 END
+        WHEN (x.pa IS NOT NULL AND y.pa IS NOT NULL) OR (x.pb IS NOT NULL AND y.pb IS NOT NULL) THEN 0.5 ELSE 1.0 END AS c
+      FROM al x JOIN al y ON x.query_id = y.query_id AND x.k = y.k AND x.doc_id < y.doc_id),
+    tot AS (SELECT query_id, k, sum(c) AS raw FROM pr GROUP BY ALL)
+    SELECT sz.query_id, CAST(sz.k AS BIGINT) AS k, round(CAST(coalesce(raw, 0) AS DOUBLE) / (m * m + 0.5 * m * (m - 1)), 9) AS fks, round(1 - CAST(i AS DOUBLE) / u, 9) AS jaccard,
+      i AS intersection_size, u > i AS sets_differ, CAST(floor((u - i) / 2.0) AS BIGINT) AS swapped
+    FROM sz LEFT JOIN tot ON tot.query_id = sz.query_id AND tot.k = sz.k"""
+
+
+def _compared(spark, sf_dir, other: str) -> DataFrame:
+    d = distances.compare_top_k(distances.top_lists(_ranks(spark, sf_dir), "rnk_pi", other, KS))
+    return d.select(F.col("key.query_id").alias("query_id"), F.col("key.k").cast("long").alias("k"), _rounded("fks"), _rounded("jaccard"), "intersection_size", "sets_differ", F.col("swapped").cast("long").alias("swapped"))
+
+
+@_query(_fks_sql("rnk_pi_alt"))
+def kendall_fks_pi_vs_alt(spark, sf_dir):
+    return _compared(spark, sf_dir, "rnk_pi_alt")
+
+
+@_query(_fks_sql("rnk_pi_score"))
+def kendall_fks_pi_vs_score(spark, sf_dir):
+    return _compared(spark, sf_dir, "rnk_pi_score")
+
+
+@_query()
+def kendall_inversions(spark, sf_dir):
+    r = _ranks(spark, sf_dir).select(F.col("query_id").alias("key"), F.col("rnk_pi").alias("i"), F.col("rnk_pi_alt").alias("x"))
+    return distances.inversions(r)
+
+
+# -------------------------------------------------------------- profiles
+def _liked(spark, sf_dir) -> DataFrame:
+    return profiles.interactions_above(t.interactions(spark, sf_dir), LIKED)
+
+
+@_query(f"WITH {ITEMS} SELECT user_id, list_sort(list(doc_id)) AS items FROM liked GROUP BY user_id")
+def grouped_interactions(spark, sf_dir):
+    return profiles.group_interactions(_liked(spark, sf_dir))
+
+
+@_query(f"WITH {ITEMS} SELECT * FROM able")
+def eligible_users(spark, sf_dir):
+    return profiles.eligible_users(_liked(spark, sf_dir))
+
+
+@_query(f"WITH {ITEMS} SELECT user_id || '::' || doc_id AS query_id, user_id, doc_id AS target, (SELECT count(*) FROM part) - (n_items - 1) AS n_candidates FROM liked JOIN able USING (user_id)")
+def loo_folds(spark, sf_dir):
+    return profiles.leave_one_out(_liked(spark, sf_dir), t.table(spark, sf_dir, "part").count())[0]
+
+
+@_query(
+    f"""WITH {ITEMS}, a AS (SELECT user_id, doc_id FROM liked JOIN able USING (user_id))
+    SELECT x.user_id || '::' || x.doc_id AS query_id, count(*) AS n_excluded FROM a x JOIN a y ON x.user_id = y.user_id AND x.doc_id <> y.doc_id GROUP BY ALL"""
+)
+def loo_excluded(spark, sf_dir):
+    ex = profiles.leave_one_out(_liked(spark, sf_dir), 0)[1]
+    return ex.groupBy("query_id").agg(F.count("*").alias("n_excluded"))
+
+
+@_query(
+    f"""WITH {ITEMS}, {PTOK}, a AS (SELECT user_id, doc_id FROM liked JOIN able USING (user_id)),
+    tot AS (SELECT user_id, token, sum(cnt) AS cnt FROM a JOIN pcnt USING (doc_id) GROUP BY ALL),
+    f AS (SELECT a.user_id || '::' || a.doc_id AS query_id, tot.token, tot.cnt - coalesce(p.cnt, 0) AS cnt
+          FROM a JOIN tot USING (user_id) LEFT JOIN pcnt p ON p.doc_id = a.doc_id AND p.token = tot.token)
+    SELECT query_id, count(*) AS n_features, CAST(sum(cnt) AS BIGINT) AS length FROM f WHERE cnt > 0 GROUP BY query_id"""
+)
+def loo_fold_features(spark, sf_dir):
+    counts = vocabulary.term_counts(t.items(spark, sf_dir))
+    f = profiles.fold_counts(_liked(spark, sf_dir), counts)
+    return f.groupBy("query_id").agg(F.count("*").alias("n_features"), F.sum("cnt").alias("length"))
+
+
+_PFIT = f"""{ITEMS}, {PTOK},
+pv AS (SELECT token, ln((1.0 + (SELECT count(*) FROM part)) / (1.0 + count(*))) + 1 AS idf FROM pcnt GROUP BY token),
+pl AS (SELECT doc_id, sum(cnt) AS length FROM pcnt GROUP BY doc_id),
+pw AS (SELECT doc_id, token, CAST(cnt AS DOUBLE) / length * idf AS weight FROM pcnt JOIN pl USING (doc_id) JOIN pv USING (token))"""
+
+
+def _profile(spark, sf_dir, how: str) -> DataFrame:
+    docs = t.items(spark, sf_dir)
+    m = fit(docs, check=False)
+    out = profiles.profile_vectors(_liked(spark, sf_dir), m.weights, how, m.vocab, vocabulary.term_counts(docs))
+    return out.select("user_id", "token", F.round("weight", 8).alias("weight"))
+
+
+@_query(
+    f"""WITH {_PFIT}, u AS (SELECT user_id, token, sum(cnt) AS cnt FROM liked JOIN pcnt USING (doc_id) GROUP BY ALL)
+    SELECT user_id, token, round(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY user_id) * idf, 8) AS weight FROM u JOIN pv USING (token)"""
+)
+def profile_text_concat(spark, sf_dir):
+    return _profile(spark, sf_dir, "text_concat")
+
+
+@_query(
+    f"""WITH {_PFIT}, k AS (SELECT user_id, count(*) AS k FROM liked GROUP BY 1)
+    SELECT user_id, token, round(list_reduce(list(weight ORDER BY doc_id), lambda a, b: a + b) / any_value(k), 8) AS weight FROM liked JOIN pw USING (doc_id) JOIN k USING (user_id) GROUP BY ALL"""
+)
+def profile_vector_mean(spark, sf_dir):
+    return _profile(spark, sf_dir, "vector_mean")
+
+
+@_query(f"WITH {_PFIT} SELECT user_id, token, round(list_reduce(list(weight ORDER BY doc_id), lambda a, b: a + b), 8) AS weight FROM liked JOIN pw USING (doc_id) GROUP BY ALL")
+def profile_vector_sum(spark, sf_dir):
+    return _profile(spark, sf_dir, "vector_sum")
+
+
+# ---------------------------------------------------------- perturbation
+_EDIT = """last AS (SELECT max(doc_id) AS doc_id FROM ids),
+va AS (SELECT token, ln((1.0 + (SELECT n - 1 FROM nd)) / (1.0 + count(*))) + 1 AS idf FROM cnt WHERE doc_id <> (SELECT doc_id FROM last) GROUP BY token),
+al AS (SELECT token, v.token IS NOT NULL AS ib, a.token IS NOT NULL AS ia, coalesce(v.idf, 0) AS x, coalesce(a.idf, 0) AS y FROM vocab v FULL JOIN va a USING (token))"""
+
+
+def _edited(spark, sf_dir) -> tuple[Model, Model]:
+    docs = t.corpus(spark, sf_dir)
+    last = docs.agg(F.max("doc_id")).first()[0]
+    return fit(docs, check=False), fit(perturbation.remove_document(docs, last), check=False)
+
+
+@_query(
+    f"""WITH {FIT}, {_EDIT} SELECT round(max(abs(y - x)), 9) AS linf, round(max(CASE WHEN ib AND ia THEN abs(y - x) END), 9) AS linf_shared,
+    count(*) FILTER (WHERE ib AND ia) AS n_shared, count(*) FILTER (WHERE NOT ib) AS n_gained, count(*) FILTER (WHERE NOT ia) AS n_lost FROM al"""
+)
+def idf_shift(spark, sf_dir):
+    a, b = _edited(spark, sf_dir)
+    return perturbation.idf_shift(perturbation.align(a.vocab, b.vocab)).select(_rounded("linf"), _rounded("linf_shared"), "n_shared", "n_gained", "n_lost")
+
+
+@_query()
+def vector_shift(spark, sf_dir):
+    return perturbation.vector_shift(*_edited(spark, sf_dir))
+
+
+@_query()
+def score_shift(spark, sf_dir):
+    a, b = _edited(spark, sf_dir)
+    q = t.benchmark_queries(spark, sf_dir)
+    return perturbation.score_shift(a, b, embed(a, q), embed(b, q))
+
+
+# -------------------------------------------------------------- analysis
+@_query(
+    f"""WITH {_MARGIN} SELECT CAST(k AS BIGINT) AS k, count(*) AS n, count(*) FILTER (WHERE boundary IS NULL) AS n_nan, count(*) FILTER (WHERE boundary = 0) AS n_zero,
+    quantile_disc(boundary, 0.05) AS p5, quantile_disc(boundary, 0.5) AS p50, quantile_disc(boundary, 0.95) AS p95 FROM marg GROUP BY k"""
+)
+def margin_percentiles(spark, sf_dir):
+    m = ranking.margins(_ranking(spark, sf_dir), KS).withColumn("boundary", F.round("boundary", DIGITS))
+    return analysis.summarise(m, "boundary", ["k"]).select(F.col("k").cast("long").alias("k"), "n", "n_nan", "n_zero", "p5", "p50", "p95")
+
+
+@_query(
+    f"""WITH {RANK}, ks AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k),
+    d AS (SELECT query_id, k, count(*) FILTER (WHERE rnk_pi <= k AND rnk_pi_score > k) > 0 AS s, count(*) FILTER (WHERE rnk_pi <= k AND rnk_pi_alt > k) > 0 AS a FROM ranks CROSS JOIN ks GROUP BY ALL),
+    u AS (SELECT 'pi|pi_score' AS pair, k, s AS x FROM d UNION ALL SELECT 'pi|pi_alt', k, a FROM d)
+    SELECT pair, CAST(k AS BIGINT) AS k_effective, count(*) AS n, count(*) FILTER (WHERE x) AS n_disagree, round(avg(CAST(x AS DOUBLE)), 9) AS rate FROM u GROUP BY ALL"""
+)
+def disagreement_rate(spark, sf_dir):
+    d = analysis.disagreement_rate(analysis.ablate(_ranks(spark, sf_dir).persist(), KS))
+    return d.select("pair", F.col("k_effective").cast("long").alias("k_effective"), "n", "n_disagree", _rounded("rate"))
+
+
+@_query()
+def margin_strata(spark, sf_dir):
+    r = _ranks(spark, sf_dir).persist()
+    m = ranking.margins(r.select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id", "score"), KS)
+    return analysis.stratify(m, analysis.ablate(r, KS, ("pi_alt",)), TAU, KS)
+
+
+@_query(f"WITH {RANK} SELECT min(gap) FILTER (WHERE gap > 0) AS g_min, count(*) FILTER (WHERE gap = 0) AS n_exact_ties, count(*) FILTER (WHERE gap > 0) AS n_positive_gaps FROM gaps")
+def tau_band(spark, sf_dir):
+    return analysis.tau_band(_ranking(spark, sf_dir), 1e-15).select(_rounded("g_min"), "n_exact_ties", "n_positive_gaps")
+
+
+@_query()
+def noise_floor(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return analysis.noise_floor(m, embed(m, t.benchmark_queries(spark, sf_dir)).persist())
+
+
+def _monte_carlo(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES).persist()
+    r = ranking.rank(_scores(spark, sf_dir), attrs, "pi").persist()
+    return r, attrs
+
+
+@_query()
+def transition_curve(spark, sf_dir):
+    r, attrs = _monte_carlo(spark, sf_dir)
+    return analysis.transition_curve(r, attrs, 10, (0.99, 2.0), trials=3)
+
+
+@_query()
+def certificate_audit(spark, sf_dir):
+    r, attrs = _monte_carlo(spark, sf_dir)
+    return analysis.certificate_audit(r, attrs, 10, trials=4)
