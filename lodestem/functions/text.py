@@ -202,11 +202,12 @@ def stopped(tokens: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
 
 def plain_ngrams(tokens: Column, n: int) -> Column:
     """N-grams of one order of a gapped token array, in built-in functions: runs
-    that hold a gap are left out."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(at, lambda i: F.slice(tokens, i, n))
-    whole = F.filter(grams, lambda g: (F.size(g) == n) & ~F.array_contains(g, GAP))
-    return F.when(F.size(tokens) >= n, F.transform(whole, lambda g: F.array_join(g, JOINER))).otherwise(F.array().cast("array<string>"))
+    that hold a gap are left out.  The array is zipped with itself, shifted, so
+    that no lambda refers to the whole of it."""
+    grams = tokens
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(tokens, j + 1, 1 << 30), lambda a, b: F.concat(a, F.lit(JOINER), b))
+    return F.filter(grams, lambda g: g.isNotNull() & ~g.contains(GAP))
 
 
 def split_ngram(gram: Column) -> Column:

@@ -265,11 +265,11 @@ def margin_profile(spark, sf_dir):
     return m.select("query_id", F.col("k").cast("long").alias("k"), _rounded("boundary"), F.round("inner", DIGITS).alias("inner_gap"), "defined", "exact_tie")
 
 
-@_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, round(boundary / 2, 8) AS set_radius, round(inner_gap / 2, 8) AS order_radius, round(least(boundary, coalesce(inner_gap, boundary)) / 2, 8) AS joint_radius FROM marg")
+@_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, boundary AS set_diameter, inner_gap AS order_diameter, least(boundary, coalesce(inner_gap, boundary)) AS joint_diameter FROM marg")
 def certified_radii(spark, sf_dir):
     m = ranking.margins(_ranking(spark, sf_dir), KS).withColumns({"boundary": F.round("boundary", DIGITS), "inner": F.round("inner", DIGITS)})
     c = ranking.certificates(m)
-    return c.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(x, 8).alias(x) for x in ("set_radius", "order_radius", "joint_radius")])
+    return c.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(F.col(f"{x}_radius") * 2, DIGITS).alias(f"{x}_diameter") for x in ("set", "order", "joint")])
 
 
 @_query(f"WITH {RANK} SELECT query_id, rnk, gap FROM gaps WHERE gap > 0 ORDER BY gap, rnk, query_id LIMIT 20")

@@ -1 +1 @@
-"""Part of the engine: sources."""
+"""Sources, sinks and provenance."""

@@ -1 +1 @@
-"""Part of the engine: streaming."""
+"""Structured Streaming: incremental frequencies, scoring of arriving queries."""
