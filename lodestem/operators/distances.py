@@ -6,6 +6,7 @@ has one row per key.  Pair counts self-join lists of at most k items.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ def aligned(lists: DataFrame) -> DataFrame:
 
 def inversions(seq: DataFrame, key: str = "key", order: str = "i", value: str = "x") -> DataFrame:
     """Pairs out of order per key, counted by merging in Arrow batches."""
-    import pandas as pd
 
     def count(xs: list) -> tuple[list, int]:
         if len(xs) < 2:

@@ -55,7 +55,7 @@ def _per_query(ranking: DataFrame, fn, schema: str) -> DataFrame:
     the block of untouched documents is one entry."""
     runs = ranking.groupBy("query_id", "score").agg(F.count("*").alias("n"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ascending=False)
         out = fn(pdf["score"].to_numpy(), pdf["n"].to_numpy())
         out.insert(0, "query_id", key[0])

@@ -91,7 +91,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
-    return ranking.rank_all(_scores(spark, sf_dir), attrs)
+    return ranking.rank_all(_scores(spark, sf_dir), attrs).persist()
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,13 +477,13 @@ def margin_percentiles(spark, sf_dir):
     SELECT pair, CAST(k AS BIGINT) AS k_effective, count(*) AS n, count(*) FILTER (WHERE x) AS n_disagree, round(avg(CAST(x AS DOUBLE)), 9) AS rate FROM u GROUP BY ALL"""
 )
 def disagreement_rate(spark, sf_dir):
-    d = analysis.disagreement_rate(analysis.ablate(_ranks(spark, sf_dir).persist(), KS))
+    d = analysis.disagreement_rate(analysis.ablate(_ranks(spark, sf_dir), KS))
     return d.select("pair", F.col("k_effective").cast("long").alias("k_effective"), "n", "n_disagree", _rounded("rate"))
 
 
 @_query()
 def margin_strata(spark, sf_dir):
-    r = _ranks(spark, sf_dir).persist()
+    r = _ranks(spark, sf_dir)
     m = ranking.margins(r.select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id", "score"), KS)
     return analysis.stratify(m, analysis.ablate(r, KS, ("pi_alt",)), TAU, KS)
 
