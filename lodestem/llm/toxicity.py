@@ -14,15 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, mix64, powers, staged, text_chunks, word_layout
+from .common import bounded_sample, discard, fold_of, gram_hashes, inside, mix64, powers, staged, text_chunks, word_hashes, word_layout
 
 #: Labelled rows that the lexicon may be learned from (all, if there are fewer).
 SAMPLE_ROWS = 20_000
 #: A term enters the lexicon with so many toxic documents and, after shrinking
 #: to the base rate by PRIOR documents, this share of toxic ones.
-LEAST_DOCS = 4
-LEAST_SHARE = 0.7
-PRIOR = 2.0
+LEAST_DOCS = 6
+#: Each round of learning looks at the toxic documents that no term explains yet;
+#: a term must explain this part of them.  Words that merely stand beside a toxic
+#: one, in copies of a document say, are thus left out.
+LEAST_PART = 0.03
+ROUNDS = 4
+#: Learning ends when no more than this part of the toxic documents is left.
+ENOUGH = 0.02
+LEAST_SHARE = 0.85
+PRIOR = 1.0
 #: Upper bound of the lexicon, by evidence.
 MOST_TERMS = 20_000
 #: Letter-run prefixes (bytes) that count as terms besides whole runs.
@@ -222,8 +229,24 @@ def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np
     return doc, heads, starts, ends, fold
 
 
-def _term_rows(batches):
-    """Per text: its distinct terms, with the spelling, once each."""
+def _copy_keys(batches):
+    """Append the smallest shingle hash of each text: near copies mostly share
+    it, and count once."""
+    for batch in batches:
+        keys = np.zeros(batch.num_rows, np.uint64)
+        for lo, hi, data, offs in text_chunks(batch.column(1)):
+            starts, ends, woff = word_layout(data, offs)
+            ok = inside(woff, 5)
+            if ok.any():
+                doc = np.repeat(np.arange(hi - lo), np.diff(woff))[: len(ok)][ok]
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                keys[lo + doc[first]] = np.minimum.reduceat(gram_hashes(word_hashes(data, starts, ends), 5)[ok], first)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=["y", "text", "key"])
+
+
+def _term_rows(batches, known: np.ndarray):
+    """Counts of documents by distinct term, with its spelling; toxic ones with a
+    known term are left out, and term 0 counts those that are not."""
     for batch in batches:
         y = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, _, data, offs in text_chunks(batch.column(1)):
@@ -239,7 +262,15 @@ def _term_rows(batches):
             new = np.ones(len(hs), bool)
             new[1:] = (hs[1:] != hs[:-1]) | (owner[1:] != owner[:-1])
             hs, at, size, owner = hs[new], at[new], size[new], owner[new]
-            toxic = y[lo + owner].astype(np.int64)
+            toxic = y[lo : lo + len(offs) - 1].astype(np.int64)
+            explained = np.zeros(len(toxic), bool)
+            explained[owner[np.isin(hs, known)]] = True
+            explained &= toxic == 1
+            left = int((toxic * ~explained).sum())
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([None], pa.string()), pa.array([left]), pa.array([left])], names=["term", "spelling", "n", "toxic"])
+            use = ~explained[owner]
+            hs, at, size, toxic = hs[use], at[use], size[use], toxic[owner[use]]
             order = np.argsort(hs, kind="stable")
             hs, at, size, toxic = hs[order], at[order], size[order], toxic[order]
             first = np.flatnonzero(np.append(True, hs[1:] != hs[:-1])) if len(hs) else np.zeros(0, np.int64)
@@ -265,9 +296,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     size = picked.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     base = (size["t"] + 0.5) / (size["n"] + 1)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text")
-    counted = rows.mapInArrow(_term_rows, "term long, spelling string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.max("spelling").alias("spelling"))
-    share = (F.col("toxic") + PRIOR * base) / (F.col("n") + PRIOR)
-    lexicon = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("share", share).where(F.col("share") >= LEAST_SHARE).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
+    # texts without a shingle have key 0 and are told apart by what they are
+    keyed = rows.mapInArrow(_copy_keys, "y int, text string, key long").withColumn("key", F.when(F.col("key") == 0, F.xxhash64("text")).otherwise(F.col("key")))
+    rows = staged(keyed.dropDuplicates(["y", "key"]).select("y", "text"), "sample")
+    lexicon: list = []
+    for _ in range(ROUNDS):
+        known = np.array([r["term"] for r in lexicon], np.int64).view(np.uint64)
+        counted = rows.mapInArrow(lambda b, k=known: _term_rows(b, k), "term long, spelling string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.max("spelling").alias("spelling"))
+        counted = staged(counted, "terms")
+        left = counted.where("term = 0").agg(F.sum("n")).first()[0] or 0
+        if left < max(LEAST_DOCS, ENOUGH * size["t"]):
+            discard(counted)
+            break
+        share = (F.col("toxic") + PRIOR * base) / (F.col("n") + PRIOR)
+        good = counted.where((F.col("term") != 0) & (F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * left))).withColumn("share", share).where(F.col("share") >= LEAST_SHARE)
+        found = good.orderBy(F.desc("toxic"), "term").limit(MOST_TERMS - len(lexicon)).collect()
+        discard(counted)
+        if not found:
+            break
+        lexicon += found
+    discard(rows)
     lexicon.sort(key=lambda r: r["term"] & 0xFFFFFFFFFFFFFFFF)
     terms = np.array([r["term"] for r in lexicon], np.int64).view(np.uint64)
     counts = np.zeros(SYMBOLS**3)
