@@ -38,14 +38,17 @@ def staged(df: DataFrame, name: str = "t", cols: list[str] | None = None) -> Dat
     lost executor costs nothing that was finished."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestem/{name}-{uuid.uuid4().hex}"
-    # the exchanges of this write serve nothing else: their files go with it
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
+    # the exchanges of this write serve nothing else: their files go with it;
+    # whole texts travel to Python workers in small batches
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    old = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(cleanup, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
     return out
@@ -152,6 +155,19 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_inverse_powers = np.ones(1, dtype=np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """First ``n`` powers of the base's inverse, modulo 2**64."""
+    global _inverse_powers
+    if len(_inverse_powers) < n:
+        p = np.full(max(n, 256, 2 * len(_inverse_powers)), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
+        p[0] = 1
+        _inverse_powers = np.multiply.accumulate(p)
+    return _inverse_powers[:n]
+
+
 def word_layout(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts laid end to end: ``(start of each word, end of
     each word, index of each text's first word, with the total last)``."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, mix64, parts_of, powers, signed, split_by_ids, staged, text_chunks, word_hashes, word_layout
+from .common import discard, gram_hashes, inverse_powers, mix64, parts_of, powers, signed, split_by_ids, staged, text_chunks, word_hashes, word_layout
 from .fm_index import repeated_windows
 from .graph import runs
 
@@ -75,9 +75,12 @@ def _anchor_rows(src: DataFrame, window: int, k: int) -> DataFrame:
     return src.mapInArrow(run, "h long, doc long, s0 int, s1 int")
 
 
-def _sequence_hash(words: np.ndarray, seed: int) -> int:
-    h = mix64(words + np.uint64(seed)) * powers(len(words) + 1)[1:]
-    return int(mix64(np.array([h.sum(dtype=np.uint64)]))[0].view(np.int64))
+def _sequence_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of ``words[lo:hi]`` for each pair of bounds, wherever it stands: a
+    difference of prefix sums, shifted back by the inverse power of the base."""
+    p, back = powers(len(words) + 1), inverse_powers(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * p[: len(words)], dtype=np.uint64)])
+    return signed(mix64((total[hi] - total[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
 
 
 def _passage_rows(texts: DataFrame, window: int) -> DataFrame:
@@ -93,12 +96,14 @@ def _passage_rows(texts: DataFrame, window: int) -> DataFrame:
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, _ = word_layout(data, np.array([0, len(raw)]))
                 words = word_hashes(data, starts, ends)
-                for r in spans.as_py():
-                    lo, hi = r["s0"], r["s1"] + window
-                    part = words[lo:hi]
-                    for c, v in zip(cols, (r["h"], _sequence_hash(part, 1), _sequence_hash(part, 2), int(doc), lo, r["s1"], b" ".join(raw[starts[lo] : ends[hi - 1]].split())), strict=True):
-                        c.append(v)
-                    held += len(cols[6][-1])
+                lo, s1, h = (spans.values.field(i).to_numpy() for i in range(3))
+                hi = s1 + window
+                p1, p2 = _sequence_hashes(words, lo, hi), _sequence_hashes(mix64(words + np.uint64(1)), lo, hi)
+                parts = [raw[x:y] for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
+                for c, v in zip(cols, (h, p1, p2, np.full(len(lo), doc, np.int64), lo, s1), strict=False):
+                    c.append(v)
+                cols[6] += parts
+                held += sum(map(len, parts))
                 if held > 8 << 20:
                     yield _passages(cols)
                     cols, held = [[] for _ in range(7)], 0
@@ -110,7 +115,8 @@ def _passage_rows(texts: DataFrame, window: int) -> DataFrame:
 
 def _passages(cols) -> pa.RecordBatch:
     types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "p1", "p2", "doc", "s0", "s1", "passage"])
+    flat = [np.concatenate(c) for c in cols[:6]] + [cols[6]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)], names=["h", "p1", "p2", "doc", "s0", "s1", "passage"])
 
 
 def _search_shards(dealt: DataFrame, window: int) -> DataFrame:
