@@ -356,9 +356,9 @@ def _liked(spark, sf_dir) -> DataFrame:
     return profiles.interactions_above(t.interactions(spark, sf_dir), LIKED)
 
 
-@_query(f"WITH {ITEMS} SELECT user_id, list_sort(list(doc_id)) AS items FROM liked GROUP BY user_id")
+@_query(f"WITH {ITEMS} SELECT user_id, string_agg(doc_id, ',' ORDER BY doc_id) AS items FROM liked GROUP BY user_id")
 def grouped_interactions(spark, sf_dir):
-    return profiles.group_interactions(_liked(spark, sf_dir))
+    return profiles.group_interactions(_liked(spark, sf_dir)).select("user_id", F.array_join("items", ",").alias("items"))
 
 
 @_query(f"WITH {ITEMS} SELECT * FROM able")
