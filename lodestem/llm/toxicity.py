@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, discard, fold_of, gram_hashes, inside, mix64, powers, staged, text_chunks, word_hashes, word_layout
+from .common import SPACES, bounded_sample, discard, fold_of, gram_hashes, inside, mix64, powers, staged, text_chunks, word_hashes, word_layout
 
 #: Labelled rows that the lexicon may be learned from (all, if there are fewer).
 SAMPLE_ROWS = 20_000
@@ -34,8 +34,8 @@ PRIOR = 1.0
 MOST_TERMS = 20_000
 #: Letter-run prefixes (bytes) that count as terms besides whole runs.
 PREFIXES = (4, 5, 6)
-#: Characters of a run that the decoder takes; longer runs are not words.
-MOST_CHARS = 48
+#: Bytes of a run whose reading a worker keeps; longer ones are decoded anew.
+CACHED_BYTES = 256
 #: Weight of the lexicon's spelling in the character model.
 LEXICON_WEIGHT = 0.5
 
@@ -47,6 +47,8 @@ LEET = {
 SEPARATORS = ".-_*~'`,:/"
 # Costs (negative log probability) of the channel's arcs.
 COST_LEET, COST_SAME_DIGIT, COST_DROP, COST_RUN, COST_PAIR = 1.0, 6.0, 0.7, 0.5, 1.0
+#: White space inside a spaced run parts letters or words; several in a row part words.
+COST_GAP, COST_WIDE = 0.7, 2.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
@@ -111,12 +113,15 @@ def spelling_counts(terms: dict[str, float]) -> np.ndarray:
 @dataclass(frozen=True)
 class ToxicityModel:
     """Sorted hashes of lexicon terms with their toxic shares, the character
-    costs, and the share of toxic documents without a term."""
+    costs, the share of toxic documents without a term, and the spellings of the
+    terms that are whole runs and of those that are prefixes."""
 
     terms: np.ndarray
     share: np.ndarray
     cost: np.ndarray
     rest: float
+    whole: frozenset[str] = frozenset()
+    heads: frozenset[str] = frozenset()
 
 
 # --------------------------------------------------------------- decoding
@@ -125,10 +130,13 @@ def decode(run: str, cost: np.ndarray) -> str:
 
     States are the last two emitted symbols; an arc reads one character (or one
     run of a repeated character) and emits letters, or reads a separator and
-    emits nothing.  Ties go to the reading found first.
+    emits nothing.  White space, which only spaced runs have, emits nothing or a
+    word gap.  Runs may have any length: readings are kept as links to the state
+    they came from.  Ties go to the reading found first.
     """
-    run = run.lower()[:MOST_CHARS]
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    run = run.lower()
+    beam: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, 0)}
+    came, emitted = [0], [""]
     i = 0
     while i < len(run):
         c = run[i]
@@ -137,9 +145,12 @@ def decode(run: str, cost: np.ndarray) -> str:
             j += 1
         n = j - i
         arcs: list[tuple[str, float]] = []
-        if c in LEET:
+        if c.isspace():
+            readings = [("", COST_DROP + (COST_WIDE if n > 1 else 0.0))]
+            arcs.append((" ", COST_GAP))
+        elif c in LEET:
             readings = [(x, COST_LEET) for x in LEET[c]] + [("", COST_SAME_DIGIT if c.isdigit() else COST_DROP + 1)]
-        elif c in SEPARATORS or c.isspace():
+        elif c in SEPARATORS:
             readings = [("", COST_DROP)]
         else:
             readings = [(c, 0.0)]
@@ -150,8 +161,8 @@ def decode(run: str, cost: np.ndarray) -> str:
                 arcs.append((x, k))
             else:
                 arcs += [(x, k + COST_RUN * (1 if n > 2 else 2)), (x + x, k + (COST_PAIR if n > 2 else 0.0))]
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (total, out) in beam.items():
+        nxt: dict[tuple[int, int], tuple[float, int, str]] = {}
+        for (a, b), (total, link) in beam.items():
             for x, k in arcs:
                 u, v, t = a, b, total + k
                 for ch in x:
@@ -159,10 +170,54 @@ def decode(run: str, cost: np.ndarray) -> str:
                     t += cost[u, v, s]
                     u, v = v, s
                 if (u, v) not in nxt or t < nxt[u, v][0]:
-                    nxt[u, v] = (t, out + x)
-        beam = nxt
+                    nxt[u, v] = (t, link, x)
+        beam = {}
+        for state, (t, link, x) in nxt.items():
+            if x:
+                came.append(link)
+                emitted.append(x)
+                link = len(came) - 1
+            beam[state] = (t, link)
         i = j
-    return min((t + cost[a, b, 0], out) for (a, b), (t, out) in beam.items())[1]
+    ends = [(t + cost[a, b, 0], link) for (a, b), (t, link) in beam.items()]
+    least = min(t for t, _ in ends)
+
+    def reading(link: int) -> str:
+        out = []
+        while link:
+            out.append(emitted[link])
+            link = came[link]
+        return "".join(reversed(out))
+
+    return min(reading(link) for t, link in ends if t == least)
+
+
+def restored(raw: bytes, model: ToxicityModel) -> str:
+    """The decoded run.  Every letter of a spaced run may begin a word, whatever
+    the character model takes for the likeliest gaps: terms of at least
+    ``min(PREFIXES)`` bytes are looked up at each, longest first, and a found one
+    is parted from what stands before it (and, if it is a whole run, after it)."""
+    out = decode(raw.decode("utf-8", "ignore"), model.cost)
+    if not any(c in raw for c in SPACES):
+        return out
+    parts = out.split(" ")
+    letters = "".join(parts)
+    gaps = set(np.cumsum([len(x) for x in parts]).tolist())
+    sizes = sorted({len(w) for w in model.whole | model.heads if len(w.encode()) >= min(PREFIXES)}, reverse=True)
+    i = 0
+    while i < len(letters):
+        word = next((w for n in sizes if i + n <= len(letters) and ((w := letters[i : i + n]) in model.whole or w in model.heads and i + n < len(letters))), None)
+        if word is None:
+            i += 1
+            continue
+        j = i + len(word)
+        gaps.difference_update(range(i + 1, j + 1))
+        gaps.add(i)
+        if word in model.whole:
+            gaps.add(j)
+        i = j
+    cuts = sorted({0, *gaps, len(letters)})
+    return " ".join(letters[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 SPACED = re.compile(rb"(?<![^\x20\x09-\x0D.,;:])(?:[^\x20\x09-\x0D\x80-\xff][\x20\x09]+){3,}[^\x20\x09-\x0D\x80-\xff](?![^\x20\x09-\x0D.,;:!?])")
@@ -187,8 +242,7 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, bytes]]:
         c = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return c[ends] - c[starts]
 
-    short = ends - starts <= MOST_CHARS
-    odd = short & ((per_word(mark) > 0) & (per_word(letter) > 1) | (per_word(part) > 1) | (per_word(triple) > 0))
+    odd = (per_word(mark) > 0) & (per_word(letter) > 1) | (per_word(part) > 1) | (per_word(triple) > 0)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(woff))
     raw = data.tobytes()
     out = [(int(doc[k]), raw[starts[k] : ends[k]]) for k in np.flatnonzero(odd)]
@@ -323,7 +377,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         counts[r["trigram"]] = r["n"]
     spelled = {r["spelling"]: float(r["toxic"]) for r in lexicon if r["spelling"]}
     model = (1 - LEXICON_WEIGHT) * character_model(counts) + LEXICON_WEIGHT * character_model(spelling_counts(spelled))
-    return ToxicityModel(terms, np.array([r["share"] for r in lexicon]), -np.log(model), float(min(base, 0.05)))
+    listed = [(r["spelling"], t) for r, t in zip(lexicon, terms, strict=True) if r["spelling"]]
+    full = term_hashes(*_joined([w for w, _ in listed]))[1][-1] if listed else ()
+    whole = frozenset(w for (w, t), h in zip(listed, full, strict=True) if h == t)
+    heads = frozenset(w for (w, t), h in zip(listed, full, strict=True) if h != t)
+    return ToxicityModel(terms, np.array([r["share"] for r in lexicon]), -np.log(model), float(min(base, 0.05)), whole, heads)
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts, each with a space after it."""
+    raw = [x.encode() for x in texts]
+    return np.frombuffer(b" ".join(raw) + b" ", np.uint8), np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
 
 
 def score_chunk(data: np.ndarray, offs: np.ndarray, model: ToxicityModel, restore) -> np.ndarray:
@@ -346,10 +410,7 @@ def score_chunk(data: np.ndarray, offs: np.ndarray, model: ToxicityModel, restor
     add(doc, heads, np.arange(n))
     noisy = suspicious(data, offs)
     if noisy:
-        plain = [restore(raw).encode() for _, raw in noisy]
-        roff = np.concatenate([[0], np.cumsum([len(x) + 1 for x in plain])])
-        joined = np.frombuffer(b" ".join(plain) + b" ", np.uint8)
-        doc, heads, *_ = term_hashes(joined, roff)
+        doc, heads, *_ = term_hashes(*_joined([restore(raw) for _, raw in noisy]))
         add(doc, heads, np.array([d for d, _ in noisy]))
     return -np.expm1(out)
 
@@ -364,7 +425,9 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
 
     def run(batches):
         model = shared.value
-        restore = lru_cache(1 << 16)(lambda raw: decode(raw.decode("utf-8", "ignore"), model.cost))
+        read = lambda raw: restored(raw, model)
+        kept = lru_cache(1 << 16)(read)
+        restore = lambda raw: (kept if len(raw) <= CACHED_BYTES else read)(raw)
         for batch in batches:
             parts = [score_chunk(data, offs, model, restore) for _, _, data, offs in text_chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["__id", "score"])
@@ -379,5 +442,5 @@ def restored_text(text: str, model: ToxicityModel) -> str:
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     for _, run in suspicious(data, np.array([0, len(raw)])):
-        raw = raw.replace(run, decode(run.decode("utf-8", "ignore"), model.cost).encode())
+        raw = raw.replace(run, restored(run, model).encode())
     return raw.decode("utf-8", "ignore")

@@ -242,6 +242,13 @@ def test_toxicity_scores(spark, tox, docs, nothing):
     assert toxicity.predict(docs, tox).count() == len(TEXTS) + 1 and toxicity.predict(nothing, tox).collect() == []
 
 
+def test_spaced_runs_have_words(spark, tox):
+    assert toxicity.restored(b"a m o r o n", tox) == "a moron"
+    texts = ["y o u a r e s u c h a h o p e l e s s m o r o n", "a m o r o n", "so " + "m o p " * 300 + "i d i o t", "m" + "o" * 90 + "r" + "o" * 90 + "n", "m o p " * 300]
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tox).collect()}
+    assert [got[i] >= 0.7 for i in range(5)] == [True, True, True, True, False]
+
+
 # --------------------------------------------------------------- language
 def test_language(spark, docs, nothing):
     rows = [(i, prose(30, i) if i % 2 else prose(30, i).translate(str.maketrans("abcdefgh", "éèçàüößñ")), "aa" if i % 2 else "bb") for i in range(60)]
