@@ -192,6 +192,42 @@ def decode(run: str, cost: np.ndarray) -> str:
     return min(reading(link) for t, link in ends if t == least)
 
 
+def stem(run: str) -> tuple[str, list[int]]:
+    """A lower-case run with every repeated letter once and without separators,
+    and where a word of it may begin."""
+    out: list[str] = []
+    begins = [0]
+    for c in run:
+        if c in SEPARATORS or c.isspace():
+            # a letter that the last one before the mark swallows begins there
+            begins += [max(len(out) - 1, 0), len(out)]
+        elif not out or c != out[-1]:
+            out.append(c)
+            if not c.isalpha():
+                begins.append(len(out))
+    # restored() tries every letter of a spaced run
+    return "".join(out), list(range(len(out))) if any(map(str.isspace, run)) else begins
+
+
+def may_hold_term(run: str, stems: dict[int, set[str]]) -> bool:
+    """Can a reading of the run hold a term?  Without leetspeak the channel only
+    drops separators and repeats, so a reading has the run's stem, and a word of
+    it that begins with a term begins with the term's stem: no term is lost."""
+    run = run.lower()
+    if not LEET.keys().isdisjoint(run):
+        return True
+    text, begins = stem(run)
+    return any(text[i : i + n] in known for i in begins for n, known in stems.items())
+
+
+def stems_of(words: frozenset[str]) -> dict[int, set[str]]:
+    out: dict[int, set[str]] = {}
+    for w in words:
+        x = stem(w.lower())[0]
+        out.setdefault(len(x), set()).add(x)
+    return out
+
+
 def restored(raw: bytes, model: ToxicityModel) -> str:
     """The decoded run.  Every letter of a spaced run may begin a word, whatever
     the character model takes for the likeliest gaps: terms of at least
@@ -220,12 +256,14 @@ def restored(raw: bytes, model: ToxicityModel) -> str:
     return " ".join(letters[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-SPACED = re.compile(rb"(?<![^\x20\x09-\x0D.,;:])(?:[^\x20\x09-\x0D\x80-\xff][\x20\x09]+){3,}[^\x20\x09-\x0D\x80-\xff](?![^\x20\x09-\x0D.,;:!?])")
+#: One character that is not white space, in UTF-8, and rows of at least four.
+_ONE = rb"(?:[^\x20\x09-\x0D\x80-\xff]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
+SPACED = re.compile(rb"(?<![^\x20\x09-\x0D.,;:])(?:" + _ONE + rb"[\x20\x09]+){3,}" + _ONE + rb"(?![^\x20\x09-\x0D.,;:!?])")
 
 
 def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, bytes]]:
     """``(text, run)`` of the character runs to decode: words with leetspeak
-    among letters, letters parted by marks, or a letter three times, and rows of
+    among letters, letters parted by a mark, or a letter twice in a row, and rows of
     single characters.  Found with byte masks over the whole chunk."""
     starts, ends, woff = word_layout(data, offs)
     if not len(starts):
@@ -235,18 +273,20 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, bytes]]:
     prev = np.append(False, letter[:-1])
     mark = _LEET_BYTE[data] & nxt | _LEET_END[data] & prev
     part = _SEP_BYTE[data] & nxt & prev
-    fold = _FOLD[data]
-    triple = np.zeros(len(data), bool)
-    triple[2:] = plain[2:] & (fold[2:] == fold[1:-1]) & (fold[2:] == fold[:-2])
+    fold = _folded(data)
+    twice = np.zeros(len(data), bool)
+    twice[1:] = plain[1:] & (fold[1:] == fold[:-1])
+    # letters of two bytes
+    twice[3:] |= (data[3:] >= 0x80) & (data[3:] < 0xC0) & (fold[3:] == fold[1:-2]) & (data[2:-1] >= 0xC2) & (data[2:-1] < 0xE0) & (data[2:-1] == data[:-3])
     def per_word(mask: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return c[ends] - c[starts]
 
-    odd = (per_word(mark) > 0) & (per_word(letter) > 1) | (per_word(part) > 1) | (per_word(triple) > 0)
+    odd = (per_word(mark) > 0) & (per_word(letter) > 1) | (per_word(part) > 0) | (per_word(twice) > 0)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(woff))
     raw = data.tobytes()
     out = [(int(doc[k]), raw[starts[k] : ends[k]]) for k in np.flatnonzero(odd)]
-    single = ends - starts == 1
+    single = per_word((data & 0xC0) != 0x80) == 1
     lone = single[:-3] & single[1:-2] & single[2:-1] & single[3:] if len(single) > 3 else np.zeros(0, bool)
     for d in np.unique(doc[:-3][lone]) if len(lone) else ():
         out += [(int(d), m.group()) for m in SPACED.finditer(raw[offs[d] : offs[d + 1]])]
@@ -254,13 +294,19 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 # ------------------------------------------------------------------ terms
-def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Letter runs of a chunk: ``(text of each run, hashes of its prefixes and
-    then of the whole run, starts, ends, folded bytes)``."""
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and Latin-1 letters."""
     fold = _FOLD[data]
     if len(data) > 1:
         wide = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         fold[1:][wide] += 32
+    return fold
+
+
+def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Letter runs of a chunk: ``(text of each run, hashes of its prefixes and
+    then of the whole run, starts, ends, folded bytes)``."""
+    fold = _folded(data)
     solid = _LETTER[data]
     masked = np.where(solid, np.uint8(120), np.uint8(32))
     starts, ends, woff = word_layout(masked, offs)
@@ -425,7 +471,8 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
 
     def run(batches):
         model = shared.value
-        read = lambda raw: restored(raw, model)
+        stems = stems_of(model.whole | model.heads)
+        read = lambda raw: restored(raw, model) if may_hold_term(raw.decode("utf-8", "ignore"), stems) else ""
         kept = lru_cache(1 << 16)(read)
         restore = lambda raw: (kept if len(raw) <= CACHED_BYTES else read)(raw)
         for batch in batches:

@@ -249,6 +249,24 @@ def test_spaced_runs_have_words(spark, tox):
     assert [got[i] >= 0.7 for i in range(5)] == [True, True, True, True, False]
 
 
+def test_lightly_noisy_words(spark, tox):
+    texts = ["you mor.on there", "an idi-ot", "a mooron", "IDIIOT!", "so path-ettic", "é è m o r o n", prose(60, 78), "mo.po aa-bb"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tox).collect()}
+    assert [got[i] >= 0.7 for i in range(8)] == [True] * 6 + [False] * 2
+    data = np.frombuffer("ä l t e r Ää".encode(), np.uint8)
+    assert [r.decode() for _, r in toxicity.suspicious(data, np.array([0, len(data)]))] == ["Ää", "ä l t e r"]
+
+
+def test_stems_lose_no_term(tox):
+    stems, r = toxicity.stems_of(tox.whole | tox.heads), random.Random(5)
+    for _ in range(3000):
+        word = r.choice(["idiot", "moron", "pathetic", "disgusting", "moist", "panda"])
+        run = "".join(c * r.choice([1, 1, 1, 2, 3]) + r.choice(["", "", "", ".", "-", " "]) for c in r.choice(["", "o", "ma"]) + word)
+        words = re.findall(r"[a-z]+", toxicity.restored(run.encode(), tox))
+        hit = any(w in tox.whole or any(w.startswith(h) and w != h for h in tox.heads) for w in words)
+        assert not hit or toxicity.may_hold_term(run, stems), run
+
+
 # --------------------------------------------------------------- language
 def test_language(spark, docs, nothing):
     rows = [(i, prose(30, i) if i % 2 else prose(30, i).translate(str.maketrans("abcdefgh", "éèçàüößñ")), "aa" if i % 2 else "bb") for i in range(60)]
