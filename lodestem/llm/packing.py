@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 The configuration linear program over the length histogram is solved by
-multiplicative weights with knapsack dynamic programming as pricing; its
-solution is rounded down, and what is left is packed best-fit decreasing, in bulk
+multiplicative weights with knapsack dynamic programming as pricing until every
+length is covered; its solution is rounded down, and what is left is packed best-fit decreasing, in bulk
 over (length, free space) groups.  The driver sees the histogram (at most
 ``capacity`` rows) and returns a plan whose size follows from it, not from the
 number of documents; items find their place in the plan by length and rank.
@@ -14,6 +14,7 @@ import bisect
 import json
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +27,10 @@ from .common import parts_of, staged, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of multiplicative weights, and how fast a covered length loses price.
-ROUNDS = 300
+#: How fast a covered length loses price.
 STEEPNESS = 1.5
+#: A configuration is taken while its value is within this part of the best one.
+SLACK = 0.02
 #: Words whose ids a worker keeps (two generations of half of that).
 CACHE_WORDS = 240_000
 
@@ -188,6 +190,9 @@ class Plan:
     first: list[int]
     offset: list[int]
     sequences: int = 0
+    #: Sequences of the fractional program, and tokens placed by its whole part.
+    program: float = 0.0
+    placed: int = 0
 
     def add(self, length: int, rank: int, count: int, first: int, offset: int) -> None:
         self.length.append(length)
@@ -197,55 +202,85 @@ class Plan:
         self.offset.append(offset)
 
 
-def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> list[int]:
-    """Knapsack by dynamic programming: indices of the sizes (with repeats) of
-    the most valuable configuration."""
+def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """Knapsack by dynamic programming: the most valuable filling of each space,
+    and the index of its first size (-1: the filling of one less).  Equal values
+    go to the larger size: what is small still fits elsewhere later."""
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1, np.int32)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    took = [-1] * (capacity + 1)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
+    back, worth = sizes[::-1].copy(), value[::-1].copy()
+    n = len(sizes)
     for c in range(1, capacity + 1):
         m = upto[c]
         if m:
-            got = best[c - sizes[:m]] + value[:m]
+            got = best[c - back[n - m :]] + worth[n - m :]
             k = int(got.argmax())
             if got[k] > best[c - 1]:
-                best[c], took[c] = got[k], k
+                best[c], took[c] = got[k], m - 1 - k
                 continue
         best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+    return best, took
+
+
+def filling(took: list[int], sizes: list[int], space: int) -> list[int]:
+    """Indices of the sizes (with repeats) of the filling of ``space``."""
+    out = []
+    while space > 0:
+        k = took[space]
+        if k < 0:
+            space -= 1
         else:
-            out.append(int(took[c]))
-            c -= int(sizes[took[c]])
+            out.append(k)
+            space -= sizes[k]
     return out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[float, list[int]]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[float, list[int]]]:
     """A fractional solution of the configuration program by multiplicative
     weights: a length's price falls exponentially with the part of its demand
-    that is covered, and is nothing once all of it is."""
-    covered = np.zeros(len(sizes))
-    out = []
-    for _ in range(min(rounds, 2 * int(-(-int((sizes * demand).sum()) // capacity)) + 8)):
-        open_ = np.flatnonzero(covered < 1 - 1e-9)
-        if not len(open_):
-            break
-        value = sizes[open_] / capacity * np.exp(-STEEPNESS * covered[open_])
-        picked = price(sizes[open_], value, capacity)
-        if not picked:
-            break
-        config = open_[picked]
-        kinds, copies = np.unique(config, return_counts=True)
-        step = float((demand[kinds] * (1 - covered[kinds]) / copies).min())
-        covered[kinds] += step * copies / demand[kinds]
-        out.append((step, config.tolist()))
+    that is covered, and is nothing once all of it is.
+
+    A round prices once and then takes, largest length first, the best filling
+    around each open length, as long as prices have left it within ``SLACK`` of
+    the best one.  Each round covers one length at least, and rounds go on until
+    all demand is covered (or for ``rounds``).
+    """
+    covered, out, done = np.zeros(len(sizes)), [], 0
+    while (rounds is None or done < rounds) and len(open_ := np.flatnonzero(covered < 1 - 1e-9)):
+        done += 1
+        own = sizes[open_].tolist()
+        best, took = price(sizes[open_], sizes[open_] / capacity * np.exp(-STEEPNESS * covered[open_]), capacity)
+        value = (sizes / capacity * np.exp(-STEEPNESS * covered)).tolist()
+        least = (1 - SLACK) * best[capacity]
+        for k in (-1, *range(len(open_) - 1, -1, -1)):
+            if k >= 0 and value[open_[k]] + best[capacity - own[k]] < least:
+                continue
+            config = open_[filling(took, own, capacity) if k < 0 else [k, *filling(took, own, capacity - own[k])]].tolist()
+            worth = [value[i] for i in config]
+            if k >= 0 and (sum(worth) < least or not min(worth)):
+                continue
+            counts = Counter(config)
+            step = min(float(demand[i] * (1 - covered[i]) / n) for i, n in counts.items())
+            for i, n in counts.items():
+                covered[i] += step * n / demand[i]
+                value[i] = 0.0 if covered[i] >= 1 - 1e-9 else float(sizes[i] / capacity * np.exp(-STEEPNESS * covered[i]))
+            out.append((step, config))
     return out
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """Pack ``histogram`` (length: items; lengths in 1..capacity)."""
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> Plan:
+    """Pack ``histogram`` (length: items; lengths in 1..capacity): by the program,
+    its rest best-fit, or all best-fit where that takes fewer sequences, as with
+    lengths that are mostly large."""
+    plan = _planned(histogram, capacity, rounds)
+    if plan.sequences > -(-sum(n * k for n, k in histogram.items()) // capacity):
+        plain = _planned(histogram, capacity, 0)
+        plan = plain if plain.sequences < plan.sequences else plan
+    return plan
+
+
+def _planned(histogram: dict[int, int], capacity: int, rounds: int | None) -> Plan:
     plan = Plan([], [], [], [], [])
     sizes = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(s)] for s in sizes], np.float64)
@@ -256,6 +291,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
     for x, config in configurations(sizes, demand, capacity, rounds) if len(sizes) else []:
         key = tuple(sorted(config, reverse=True))
         solved[key] = solved.get(key, 0.0) + x
+        plan.program += x
     for key, x in sorted(solved.items(), key=lambda kv: (-kv[1], kv[0])):
         lengths = [int(sizes[k]) for k in key]
         copies = {n: lengths.count(n) for n in set(lengths)}
@@ -270,6 +306,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
         if at < capacity:
             groups.setdefault(capacity - at, []).append((bins, whole))
         bins += whole
+        plan.placed += whole * at
 
     free = sorted(groups)
 

@@ -163,6 +163,22 @@ def test_plan_is_tight():
     assert seen == hist
 
 
+def test_program_covers_all_lengths():
+    r = np.random.default_rng(3)
+    found, n = np.unique(np.minimum(1024, r.lognormal(5, 1.2, 40_000).astype(int) + 1), return_counts=True)
+    for sizes, demand in ((found, n * 100), (np.arange(1, 501), r.integers(500, 2000, 500))):
+        covered, number = np.zeros(len(sizes)), 0.0
+        for x, config in packing.configurations(sizes, demand.astype(float), 1024):
+            assert x > 0 and sizes[config].sum() <= 1024
+            np.add.at(covered, config, x)
+            number += x
+        assert len(sizes) >= 500 and np.allclose(covered, demand, rtol=1e-6)
+        total, hist = (sizes * demand).sum(), dict(zip(sizes.tolist(), demand.tolist(), strict=True))
+        assert number <= total / 1024 * 1.01
+        plan = packing.plan_packing(hist, 1024)
+        assert plan.sequences <= min(packing.plan_packing(hist, 1024, rounds=0).sequences, total / 1024 * 1.002 + 1)
+
+
 def test_word_ids_match_library():
     from tokenizers import Tokenizer
 
