@@ -17,7 +17,7 @@ from .scoring import touched_scores
 from .ties import chains
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
-RATIOS = (0.5, 0.9, 0.99, 1.01, 1.1, 1.5, 2.0, 5.0, 10.0, 20.0)
+RATIOS = (0.25, 0.5, 0.9, 0.99, 1.0, 1.01, 1.1, 2.0, 5.0, 20.0)
 
 
 def summarise(rows: DataFrame, value: str, by: list[str] | None = None, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -159,8 +159,8 @@ def _perturbed(base: DataFrame, attributes: DataFrame, k: int, cells: DataFrame,
 
 def _with_radius(ranking: DataFrame, k: int) -> DataFrame:
     """Ranked rows of queries with a positive margin at k, and its half."""
-    m = ranking.groupBy("query_id").agg((F.max(F.when(F.col("rnk") == k, F.col("score"))) - F.max(F.when(F.col("rnk") == k + 1, F.col("score")))).alias("m"))
-    return ranking.join(m.where("m > 0").select("query_id", (F.col("m") / 2).alias("radius")), "query_id")
+    m = ranking.groupBy("query_id").agg((F.max(F.when(F.col("rnk") == k, F.col("score"))) - F.max(F.when(F.col("rnk") == k + 1, F.col("score")))).alias("m"), F.max(F.when(F.col("rnk") == k, F.col("score"))).alias("kth"))
+    return ranking.join(m.where("m > 0").select("query_id", (F.col("m") / 2).alias("radius"), "kth"), "query_id")
 
 
 def transition_curve(ranking: DataFrame, attributes: DataFrame, k: int, ratios: tuple[float, ...] = RATIOS, trials: int = 40, seed: int = 0) -> DataFrame:
@@ -168,11 +168,14 @@ def transition_curve(ranking: DataFrame, attributes: DataFrame, k: int, ratios:
     radius changes the top-k set.  Queries tied or undefined at k are left out;
     more noise than the radius cannot be needed at ratios below 1."""
     base = _with_radius(ranking, k)
+    # k documents stay above kth - eps, so what lies more than 2 eps below kth
+    # never enters the set: leaving it out changes no count
+    base = base.where(F.col("score") >= F.col("kth") - F.col("radius") * (2.000001 * max(ratios)) - 1e-12)
     spark = ranking.sparkSession
     trial = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(*[F.lit(float(r)) for r in ratios])).alias("ratio"))
     cells = base.select("query_id").distinct().join(trial, F.lit(True))
     got = _perturbed(base, attributes, k, cells, F.col("radius") * F.col("ratio"), seed)
-    return got.groupBy("ratio").agg(F.count_if("left > 0").alias("flips"), F.count("*").alias("n")).withColumn("rate", F.col("flips") / F.col("n"))
+    return got.groupBy("ratio").agg(F.count_if(F.col("left") > 0).alias("flips"), F.count("*").alias("n")).withColumn("rate", F.col("flips") / F.col("n"))
 
 
 def certificate_audit(ranking: DataFrame, attributes: DataFrame, k: int, trials: int = 40, max_ratio: float = 3.0, seed: int = 0) -> DataFrame:

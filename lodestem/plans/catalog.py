@@ -508,10 +508,10 @@ def _monte_carlo(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @_query()
 def transition_curve(spark, sf_dir):
     r, attrs = _monte_carlo(spark, sf_dir)
-    return analysis.transition_curve(r, attrs, 10, (0.99, 2.0), trials=3)
+    return analysis.transition_curve(r, attrs, 10)
 
 
 @_query()
 def certificate_audit(spark, sf_dir):
     r, attrs = _monte_carlo(spark, sf_dir)
-    return analysis.certificate_audit(r, attrs, 10, trials=4)
+    return analysis.certificate_audit(r, attrs, 10, trials=20, max_ratio=8.0)
