@@ -1,9 +1,8 @@
-"""N-gram Jaccard join of documents by a MinHash LSH forest.
+"""N-gram Jaccard join of documents by MinHash banding.
 
-Every text becomes, in each of several trees, a path of min-hashes.  Two texts
-meet in a tree where their paths share a prefix; the prefix is shortened from
-the full path until pairs at the threshold meet somewhere with the target
-recall.  Texts that meet form candidate clusters, and every pair of a cluster is
+Every text gets, in each of several bands ("trees"), a hash of a fixed number of
+min-hashes (``prefix_depth``: the largest with which pairs at the threshold meet
+somewhere with the target recall).  Two texts meet where these are equal.  Texts that meet form candidate clusters, and every pair of a cluster is
 verified exactly on shingle sets, in blocks.  Copies are one class throughout.
 """
 
