@@ -3,6 +3,7 @@ and 64-bit word hashing over whole Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,10 +24,13 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 # --------------------------------------------------------------- staging
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-    Only where that is unset (tests, local use) one is made and set."""
+    Only where that is unset and everything runs in one process (tests, local
+    use) one is made and set; on a cluster it must be named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lodestem-shared-")
         spark.sparkContext.setCheckpointDir(root)
@@ -140,6 +144,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -155,19 +160,6 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-_inverse_powers = np.ones(1, dtype=np.uint64)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """First ``n`` powers of the base's inverse, modulo 2**64."""
-    global _inverse_powers
-    if len(_inverse_powers) < n:
-        p = np.full(max(n, 256, 2 * len(_inverse_powers)), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
-        p[0] = 1
-        _inverse_powers = np.multiply.accumulate(p)
-    return _inverse_powers[:n]
-
-
 def word_layout(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts laid end to end: ``(start of each word, end of
     each word, index of each text's first word, with the total last)``."""
@@ -185,18 +177,67 @@ def word_layout(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    base = int(starts[0])
-    body = data[base : int(ends[-1])]
-    spans = np.diff(np.append(starts, ends[-1]))
-    pos = np.arange(len(body), dtype=np.int64) - np.repeat(starts - base, spans)
-    vals = powers(int(spans.max()) + 1)[pos + 1]
-    vals *= body.astype(np.uint64) + np.uint64(1)
-    vals[IS_SPACE[body]] = 0
-    return mix64(np.add.reduceat(vals, starts - base) + (ends - starts).astype(np.uint64))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...] = (0,)) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; a row of them for each seed, if there
+    are several.
+
+    Eight bytes at a time go through a bijective finaliser, so words of up to
+    eight bytes of one length never share a hash, and no algebraic structure of
+    longer ones survives (a polynomial modulo 2**64 has colliding words whatever
+    its base).
+    """
+    size = ends - starts
+    out = np.empty((len(seeds), len(starts)), np.uint64)
+    if len(starts):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+        first = eight[starts] & _LOW_BYTES[np.minimum(size, 8)]
+        for h, seed in zip(out, seeds, strict=True):
+            h[:] = mix64(mix64(size.astype(np.uint64) + np.uint64(seed + 1 << 40)) * _STEP + first)
+        live, at = np.flatnonzero(size > 8), 8
+        while len(live) and at < LONG_WORD:
+            part = eight[starts[live] + at] & _LOW_BYTES[np.minimum(size[live] - at, 8)]
+            for h in out:
+                h[live] = mix64(h[live] * _STEP + part)
+            at += 8
+            live = live[size[live] > at]
+        for i in live.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            for h, seed in zip(out, seeds, strict=True):
+                h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=seed.to_bytes(2, "little")).digest(), "little")
+    return out[0] if len(seeds) == 1 else out
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order."""
+    return mix64(a * _STEP + b)
+
+
+def ladder(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the runs of 1, 2, 4 ... words from each word on, up to the
+    largest power of two that is at most ``most``."""
+    out = [words]
+    while 1 << len(out) <= most:
+        half = 1 << len(out) - 1
+        out.append(joint(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def run_hashes(rungs: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the words ``lo`` to ``hi`` (exclusive) for each pair of bounds,
+    wherever they stand: of the two longest rungs that cover them."""
+    size = hi - lo
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    out = np.empty(len(lo), np.uint64)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        out[at] = joint(joint(rungs[k][lo[at]], rungs[k][hi[at] - (1 << k)]), size[at].astype(np.uint64))
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -205,11 +246,9 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h += words[j : j + n]
-    return mix64(h)
+    top = ladder(words, k)[-1]
+    cover = 1 << k.bit_length() - 1
+    return joint(top[:n], top[k - cover : k - cover + n]) if cover < k else top[:n]
 
 
 def inside(woff: np.ndarray, k: int) -> np.ndarray:

@@ -5,7 +5,8 @@ around shared anchors are dealt to shards by anchor, so that two documents with
 a common window meet in one shard.  Each shard builds a compressed FM-index of
 its distinct passages and streams them against it by backward search over the
 wavelet matrix, reporting the intervals that match earlier documents for at
-least a window.
+least a window.  Word runs outside an index are told apart by two independent
+64-bit hashes; inside one, words are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, inverse_powers, mix64, parts_of, powers, signed, split_by_ids, staged, text_chunks, word_hashes, word_layout
+from .common import discard, gram_hashes, ladder, parts_of, run_hashes, signed, split_by_ids, staged, text_chunks, word_hashes, word_layout
 from .fm_index import repeated_windows
 from .graph import runs
 
@@ -29,6 +30,7 @@ SHARD_PASSAGES = 2_500
 #: Anchors with more distinct passages go window by window instead, so that one
 #: frequent passage in ever new surroundings does not gather in a shard.
 HOT_PASSAGES = 1_000
+SEEDS = (0, 1)
 
 
 def anchors(words: np.ndarray, woff: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,112 +67,130 @@ def anchors(words: np.ndarray, woff: np.ndarray, window: int = WINDOW, k: int =
 def _anchor_rows(src: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offs in text_chunks(batch.column(1)):
+            ids, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for lo, _, data, offs in text_chunks(batch.column(2)):
                 starts, ends, woff = word_layout(data, offs)
                 d, h, s0, s1 = anchors(word_hashes(data, starts, ends), woff, window, k)
                 if len(d):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[lo + d]), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], names=["h", "doc", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(h)), pa.array(ids[lo + d]), pa.array(version[lo + d]), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], names=["h", "doc", "v", "s0", "s1"]
+                    )
 
-    return src.mapInArrow(run, "h long, doc long, s0 int, s1 int")
+    return src.mapInArrow(run, "h long, doc long, v long, s0 int, s1 int")
 
 
-def _sequence_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A hash of ``words[lo:hi]`` for each pair of bounds, wherever it stands: a
-    difference of prefix sums, shifted back by the inverse power of the base."""
-    p, back = powers(len(words) + 1), inverse_powers(len(words) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * p[: len(words)], dtype=np.uint64)])
-    return signed(mix64((total[hi] - total[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
+_PASSAGE = pa.schema([("h", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("doc", pa.int64()), ("v", pa.int64()), ("s0", pa.int32()), ("s1", pa.int32()), ("passage", pa.binary())])
 
 
 def _passage_rows(texts: DataFrame, window: int) -> DataFrame:
-    """From ``(id, text, runs)``: the passage under each shared anchor."""
+    """From ``(id, v, text, runs, twice)``: the passage under each shared anchor.
+    A text whose id and words come again is read once a task."""
 
     def run(batches):
+        read: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cols: list[list] = [[] for _ in range(7)]
+            ids, version, twice = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+            cols: list[list] = [[] for _ in _PASSAGE]
             held = 0
-            for text, spans, doc in zip(batch.column(1), batch.column(2), ids, strict=True):
+            for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                if twice[i]:
+                    if (ids[i], version[i]) in read:
+                        continue
+                    read.add((ids[i], version[i]))
                 raw = (text.as_py() or "").encode()
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, _ = word_layout(data, np.array([0, len(raw)]))
-                words = word_hashes(data, starts, ends)
-                lo, s1, h = (spans.values.field(i).to_numpy() for i in range(3))
+                lo, s1, h = (spans.values.field(k).to_numpy() for k in range(3))
                 hi = s1 + window
-                p1, p2 = _sequence_hashes(words, lo, hi), _sequence_hashes(mix64(words + np.uint64(1)), lo, hi)
+                p1, p2 = (signed(run_hashes(ladder(w, int((hi - lo).max())), lo, hi)) for w in word_hashes(data, starts, ends, SEEDS))
                 parts = [raw[x:y] for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
-                for c, v in zip(cols, (h, p1, p2, np.full(len(lo), doc, np.int64), lo, s1), strict=False):
+                for c, v in zip(cols, (h, p1, p2, np.full(len(lo), ids[i], np.int64), np.full(len(lo), version[i], np.int64), lo, s1), strict=False):
                     c.append(v)
-                cols[6] += parts
+                cols[-1] += parts
                 held += sum(map(len, parts))
                 if held > 8 << 20:
                     yield _passages(cols)
-                    cols, held = [[] for _ in range(7)], 0
+                    cols, held = [[] for _ in _PASSAGE], 0
             if cols[0]:
                 yield _passages(cols)
 
-    return texts.mapInArrow(run, "h long, p1 long, p2 long, doc long, s0 int, s1 int, passage binary")
+    return texts.mapInArrow(run, "h long, p1 long, p2 long, doc long, v long, s0 int, s1 int, passage binary")
 
 
 def _passages(cols) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-    flat = [np.concatenate(c) for c in cols[:6]] + [cols[6]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)], names=["h", "p1", "p2", "doc", "s0", "s1", "passage"])
+    flat = [np.concatenate(c) for c in cols[:-1]] + [cols[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _PASSAGE, strict=True)], schema=_PASSAGE)
+
+
+def word_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Small numbers of words given by two hashes, equal only if both are."""
+    _, at, ids = np.unique(first, return_index=True, return_inverse=True)
+    if (second != second[at][ids]).any():  # different words share the first hash
+        ids = np.unique(np.stack([first, second], 1), axis=0, return_inverse=True)[1].reshape(-1)
+    return ids
 
 
 def _search_shards(dealt: DataFrame, window: int) -> DataFrame:
-    """``doc, lo, hi``: word intervals by each shard's FM-index."""
+    """``doc, v, lo, hi``: word intervals by each shard's FM-index."""
 
     def run(batches):
         for _, t in runs(batches):
-            owner = t.column("doc").to_numpy()
-            s0 = t.column("s0").to_numpy()
-            parts: list[np.ndarray] = []
+            owner, version, s0 = (t.column(c).to_numpy() for c in ("doc", "v", "s0"))
+            hashed, cuts = [], [np.zeros(1, np.int64)]
             for _, _, data, offs in text_chunks(t.column("passage")):
                 starts, ends, woff = word_layout(data, offs)
-                parts += np.split(word_hashes(data, starts, ends), woff[1:-1])
-            got = repeated_windows(parts, owner, window)
+                hashed.append(word_hashes(data, starts, ends, SEEDS))
+                cuts.append(cuts[-1][-1] + woff[1:])
+            words = word_ids(*np.concatenate(hashed, 1))
+            got = repeated_windows(np.split(words, np.concatenate(cuts[1:])[:-1]), owner, window)
             if got:
                 p, a, b = (np.array(x, np.int64) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(owner[p]), pa.array(s0[p] + a), pa.array(s0[p] + b + window)], names=["doc", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner[p]), pa.array(version[p]), pa.array(s0[p] + a), pa.array(s0[p] + b + window)], names=["doc", "v", "lo", "hi"])
 
-    return dealt.mapInArrow(run, "doc long, lo long, hi long")
+    return dealt.mapInArrow(run, "doc long, v long, lo long, hi long")
 
 
 def _hot_windows(rows: DataFrame, window: int) -> DataFrame:
-    """``w1, w2, doc, s`` of every window of the passages of hot anchors."""
+    """``w1, w2, doc, v, s`` of every window of the passages of hot anchors."""
 
     def run(batches):
         for batch in batches:
-            doc, s0 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, data, offs in text_chunks(batch.column(2)):
+            doc, version, s0 = (batch.column(i).to_numpy() for i in range(3))
+            for lo, hi, data, offs in text_chunks(batch.column(3)):
                 starts, ends, woff = word_layout(data, offs)
-                words = word_hashes(data, starts, ends)
                 n = np.maximum(np.diff(woff) - window + 1, 0)
                 owner = np.repeat(np.arange(hi - lo), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w1, w2 = gram_hashes(words, window), gram_hashes(mix64(words + np.uint64(1)), window)
                 k = woff[owner] + at
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w1[k])), pa.array(signed(w2[k])), pa.array(doc[lo + owner]), pa.array((s0[lo + owner] + at).astype(np.int64))], names=["w1", "w2", "doc", "s"])
+                w1, w2 = (pa.array(signed(gram_hashes(w, window)[k])) for w in word_hashes(data, starts, ends, SEEDS))
+                yield pa.RecordBatch.from_arrays([w1, w2, pa.array(doc[lo + owner]), pa.array(version[lo + owner]), pa.array((s0[lo + owner] + at).astype(np.int64))], names=["w1", "w2", "doc", "v", "s"])
+
+    return rows.select("doc", "v", "s0", "passage").mapInArrow(run, "w1 long, w2 long, doc long, v long, s long")
+
 
-    return rows.select("doc", "s0", "passage").mapInArrow(run, "w1 long, w2 long, doc long, s long")
+def _source(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """``id, v, text``: ``v`` names the text, as an id may come with several."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("v"), text.alias("text"), *more)
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``doc, lo, hi``: word intervals (they may overlap) that cover exactly the
-    words under windows that also start in a document with a smaller id."""
+    """``doc, v, lo, hi``: word intervals (they may overlap) that cover exactly
+    the words under windows that also start in a document with a smaller id;
+    ``v`` is ``xxhash64`` of the text that they are of."""
     spark = docs.sparkSession
     k = max(1, window // 2)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = _source(docs, id_col, text_col)
     spots = staged(_anchor_rows(src.where("id is not null"), window, k), "anchors")
     shared = staged(spots.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(F.col("h").alias("g")), "shared")
-    spots = staged(spots.join(shared, F.col("h") == F.col("g")).select("doc", "h", "s0", "s1"), "spots")
-    per_doc = staged(spots.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s0", "s1", "h"))).alias("runs")), "perdoc")
+    near = staged(spots.join(shared, F.col("h") == F.col("g")).select("doc", "v", "h", "s0", "s1"), "spots")
+    discard(spots, shared)
+    runs_of = F.sort_array(F.collect_set(F.struct("s0", "s1", "h")))
+    per_doc = staged(near.groupBy(F.col("doc"), F.col("v").alias("w")).agg(runs_of.alias("runs"), F.count("*").alias("n")).select("doc", "w", "runs", (F.col("n") > F.size("runs")).alias("twice")), "perdoc")
     some, _ = split_by_ids(src, per_doc.select("doc"), "id")
-    texts = some.join(per_doc.hint("shuffle_hash"), F.col("id") == F.col("doc")).select("id", "text", "runs")
+    texts = some.join(per_doc.hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.col("v") == F.col("w"))).select("id", "v", "text", "runs", "twice")
     passages = staged(_passage_rows(texts, window), "passages")
-    discard(spots, per_doc, shared)
+    discard(near, per_doc)
 
     key = ["h", "p1", "p2"]
     classes = staged(passages.groupBy(*key).agg(F.min("doc").alias("q")), "classes")
@@ -180,24 +200,32 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for c in key:
         same = same & (F.col(c) == F.col(f"__{c}"))
     # whole passages that an earlier document has: copies of a class
-    copies = passages.select(*key, "doc", "s0", "s1").join(named, same).where("doc > q")
-    copies = staged(copies.select("doc", F.col("s0").cast("long").alias("lo"), (F.col("s1") + window).cast("long").alias("hi")), "copies")
+    copies = passages.select(*key, "doc", "v", "s0", "s1").join(named, same).where("doc > q")
+    copies = staged(copies.select("doc", "v", F.col("s0").cast("long").alias("lo"), (F.col("s1") + window).cast("long").alias("hi")), "copies")
     # one passage of each class goes to the index of its shard
     calm = named.join(hot, F.col("__h") == F.col("g"), "left_anti").hint("shuffle_hash")
-    first = passages.join(calm, same & (F.col("doc") == F.col("q"))).select("h", "doc", "s0", "passage")
+    first = passages.join(calm, same & (F.col("doc") == F.col("q"))).select("h", "doc", "v", "s0", "passage")
     shards = max(1, -(-classes.count() // SHARD_PASSAGES))
-    dealt = first.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).select("shard", "doc", "s0", "passage").repartition(parts_of(spark), "shard").sortWithinPartitions("shard")
+    dealt = first.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).select("shard", "doc", "v", "s0", "passage").repartition(parts_of(spark), "shard").sortWithinPartitions("shard")
     found = staged(_search_shards(dealt, window), "found")
     # the rest, window by window
     heated = named.join(hot, F.col("__h") == F.col("g"), "left_semi").hint("shuffle_hash")
     windows = staged(_hot_windows(passages.join(heated, same & (F.col("doc") == F.col("q"))), window), "windows")
     early = staged(windows.groupBy("w1", "w2").agg(F.min("doc").alias("q"), F.max("doc").alias("z")).where("q < z").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "q"), "early")
-    again = windows.join(early, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).where("doc > q").select("doc", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
+    again = windows.join(early, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).where("doc > q").select("doc", "v", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
     out = staged(copies.unionByName(found).unionByName(again), "intervals")
     discard(passages, classes, copies, found, windows, early, hot)
     return out
 
 
+def _spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``doc, w, spans``: the distinct intervals of each text."""
+    found = repeated_intervals(docs, id_col, text_col, window)
+    out = staged(found.groupBy("doc", F.col("v").alias("w")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(found)
+    return out
+
+
 def _cut(raw: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
     words = raw.split()
     if not spans:
@@ -217,16 +245,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     under a window whose word sequence also starts in a document with a smaller
     id is removed; ``kept`` joins the others by single spaces.  A null text has
     no words.  Texts shorter than a window lose nothing, nor do rows without an
-    id, which no other row is compared with.  Ids are integers; rows that repeat
-    an id and its text fare alike.  Other columns are not read.  No rows give no
-    rows.
+    id, which no other row is compared with.  Ids are integers.  Rows that repeat
+    an id and its text fare alike; rows that repeat an id with another text are
+    documents of their own, neither of which is earlier.  Other columns are not
+    read.  No rows give no rows.
     """
-    spans = repeated_intervals(docs, id_col, text_col, window)
-    per_doc = staged(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    per_doc = _spans(docs, id_col, text_col, window)
+    src = _source(docs, id_col, text_col, F.col(id_col).alias("__id"))
     kind = src.schema["__id"].dataType.simpleString()
-    maybe, clean = split_by_ids(src, per_doc.select("doc"), "__id")
-    hit = maybe.join(per_doc.hint("shuffle_hash"), F.col("__id") == F.col("doc"), "left").select("__id", "__text", "spans")
+    maybe, clean = split_by_ids(src, per_doc.select("doc"), "id")
+    hit = maybe.join(per_doc.hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.col("v") == F.col("w")), "left").select("__id", "text", "spans")
+    clean = clean.select("__id", "text")
 
     def run(batches):
         for batch in batches:
@@ -245,12 +274,14 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents without their repeated passages, with the same columns.
 
     A text that loses nothing stays as it is, spaces included; a document that
-    loses all its words goes.  Null texts and rows without an id stay.
+    loses all its words goes.  Null and empty texts and rows without an id stay;
+    repeated ids are as in ``dedup``.  Columns may have any names.
     """
-    spans = repeated_intervals(docs, id_col, text_col, window)
-    per_doc = staged(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    maybe, clean = split_by_ids(docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), per_doc.select("doc"), "__id")
-    hit = maybe.join(per_doc.hint("shuffle_hash"), F.col("__id") == F.col("doc"), "left").select("__row", "__text", "spans")
+    per_doc = _spans(docs, id_col, text_col, window)
+    src = _source(docs, id_col, text_col, F.struct("*").alias("__row"))
+    maybe, clean = split_by_ids(src, per_doc.select("doc"), "id")
+    hit = maybe.join(per_doc.hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.col("v") == F.col("w")), "left").select("__row", F.col("text").alias("__text"), "spans")
+    clean = clean.select("__row", F.col("text").alias("__text"))
 
     def run(batches):
         for batch in batches:
@@ -263,5 +294,5 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     row = hit.schema["__row"].dataType.simpleString()
     cut = hit.mapInArrow(run, f"__row {row}, __text string, __gone boolean").where("not __gone").drop("__gone")
-    out = cut.unionByName(clean.select("__row", "__text"))
+    out = cut.unionByName(clean)
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
