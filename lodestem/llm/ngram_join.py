@@ -1,105 +1,195 @@
-"""N-gram Jaccard join of documents by MinHash banding.
+"""N-gram Jaccard join of documents by a MinHash LSH forest.
 
-Every text gets, in each of several bands ("trees"), a hash of a fixed number of
-min-hashes (``prefix_depth``: the largest with which pairs at the threshold meet
-somewhere with the target recall).  Two texts meet where these are equal.  Texts that meet form candidate clusters, and every pair of a cluster is
-verified exactly on shingle sets, in blocks.  Copies are one class throughout.
+Every text has a path in each of several trees: one short min-hash for each
+level, packed into a number, so that sorted numbers are the tree's trie and
+the levels that two neighbours share are their common leading bytes.  All trees
+are sorted once.  Texts that share a whole path are candidates first; their
+clusters are verified exactly on shingle sets, and from the similarities of the
+links found follows how many the paths of this length must have missed.  While
+that is too many, the matched prefix is shortened by a level in all trees, and
+clusters that grew are verified again.  Copies are one class throughout.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, inside, mix64, parts_of, powers, signed, staged, text_chunks, word_hashes, word_layout
+from .common import discard, gram_hashes, inside, joint, ladder, mix64, parts_of, run_hashes, signed, split_by_ids, staged, text_chunks, word_hashes, word_layout
 from .graph import components, runs, spanning_peers
 
 SHINGLE = 5
 #: Jaccard similarity as a fraction, so that it is compared in integers.
 THRESHOLD = (4, 5)
+#: Trees, and levels of a path: eight at most, a byte each.
 TREES, DEPTH = 32, 8
+#: Part of all links that must be found.
 TARGET_RECALL = 0.9999
-#: Classes per chunk of a cluster; a task holds at most two chunks.
-CHUNK = 384
+#: A cluster is dealt in about CHUNKS chunks, of LEAST_CHUNK to MOST_CHUNK
+#: classes and CHUNK_WORDS words; a task holds at most two.
+CHUNKS, LEAST_CHUNK, MOST_CHUNK, CHUNK_WORDS = 8, 128, 1024, 400_000
 #: Shingle columns that are multiplied at once.
 COLUMNS = 4096
+#: Steps of similarity in which links are counted.
+BINS = 100
+SEEDS = (0, 1)
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """Shorten the prefix, from the whole path, until a pair at the threshold
-    shares it in some tree with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def found_share(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """Probability that a pair shares a prefix of ``depth`` levels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that even finds pairs at the threshold often enough:
+    shortening never needs to go further."""
+    while depth > 1 and found_share(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def recall(links: np.ndarray, depth: int, trees: int = TREES) -> float:
+    """Estimated part of all links that are found, from the found ones by
+    similarity (``links[b]``: from ``b / BINS`` on): one that is found with
+    probability p stands for 1 / p."""
+    at = np.flatnonzero(links)
+    total = float((links[at] / found_share(np.maximum(at, 1) / BINS, depth, trees)).sum())
+    return float(links.sum()) / total if total else 1.0
+
+
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text of each shingle, its hash, words of each text, word hashes)``.
-    A text of fewer than ``k`` words, but with one, has itself as its shingle."""
+    """``(text of each shingle, its hash, words of each text, word hashes by two
+    seeds)``.  A text of fewer than ``k`` words, but with one, has itself as its
+    shingle."""
     starts, ends, woff = word_layout(data, offs)
     n_words = np.diff(woff)
-    words = word_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends, SEEDS)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     ok = inside(woff, k)
-    d, h = doc[: len(ok)][ok], gram_hashes(words, k)[ok]
+    d, h = doc[: len(ok)][ok], gram_hashes(words[0], k)[ok]
     few = np.flatnonzero((n_words > 0) & (n_words < k))
     if len(few):
-        whole = [int(mix64(np.array([np.bitwise_xor.reduce(mix64(words[woff[i] : woff[i + 1]] * powers(k + 1)[1 : 1 + n_words[i]])) + np.uint64(n_words[i])], np.uint64))[0]) for i in few]
-        d, h = np.concatenate([d, few]), np.concatenate([h, np.array(whole, np.uint64)])
+        whole = run_hashes(ladder(words[0], k), woff[few], woff[few + 1])
+        d, h = np.concatenate([d, few]), np.concatenate([h, whole])
         order = np.argsort(d, kind="stable")
         d, h = d[order], h[order]
     return d, h, n_words, words
 
 
-def signatures(docs: DataFrame, depth: int, trees: int = TREES, seed: int = 7) -> DataFrame:
-    """``id, s1, s2, n_words, prefixes`` of each row of ``docs(id, text)``:
-    two hashes of the word sequence, and one prefix hash per tree."""
+def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> DataFrame:
+    """``id, v, s1, s2, n_words, paths`` of each row of ``docs(id, v, text)``:
+    two hashes of the word sequence, and one path per tree."""
     rng = np.random.default_rng(seed)
     k = trees * depth
     mul = rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, k, dtype=np.uint32)
-    tree = np.arange(trees, dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            s1, s2, size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-            prefix = np.zeros((n, trees), np.uint64)
-            for lo, hi, data, offs in text_chunks(batch.column(1), 1 << 18):
+            s, size = np.zeros((2, n), np.uint64), np.zeros(n, np.int64)
+            paths = np.zeros((n, trees), np.uint64)
+            for lo, hi, data, offs in text_chunks(batch.column(2), 1 << 18):
                 d, h, n_words, words = shingles(data, offs)
                 size[lo:hi] = n_words
                 full = np.flatnonzero(n_words)
                 if not len(full):
                     continue
                 woff = np.concatenate([[0], np.cumsum(n_words)])
-                p = powers(int(n_words.max()) + 1)
-                at = np.arange(woff[-1]) - np.repeat(woff[:-1], n_words)
-                s1[lo + full] = np.add.reduceat(words * p[at], woff[:-1][full])
-                s2[lo + full] = np.add.reduceat(mix64(words + np.uint64(1)) * p[at], woff[:-1][full])
+                place = mix64(np.arange(woff[-1]).astype(np.uint64) - np.repeat(woff[:-1], n_words).astype(np.uint64))
+                for x, w in zip(s, words, strict=True):
+                    x[lo + full] = np.add.reduceat(joint(place, w), woff[:-1][full])
                 first = np.searchsorted(d, full)
                 low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                mins = np.empty((k, len(full)), np.uint32)
+                path = np.zeros((trees, len(full)), np.uint64)
                 for i in range(k):
                     v = low * mul[i]
                     v += add[i]
                     v ^= v >> np.uint32(15)
-                    mins[i] = np.minimum.reduceat(v, first)
-                path = np.repeat(tree[:, None], len(full), 1)
-                for j in range(depth):
-                    path = mix64(path * np.uint64(0x9E3779B97F4A7C15) + mins[j::depth][:trees].astype(np.uint64) + np.uint64(1))
-                prefix[lo + full] = path.T
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(prefix.ravel())), trees).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(mix64(s1))), pa.array(signed(mix64(s2))), pa.array(size), lists], names=["id", "s1", "s2", "n_words", "prefixes"])
+                    least = np.minimum.reduceat(v, first) * np.uint32(0x9E3779B1) >> np.uint32(24)
+                    path[i // depth] = path[i // depth] << np.uint64(8) | least
+                paths[lo + full] = path.T
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(paths.ravel())), trees).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(signed(mix64(x))) for x in s), pa.array(size), lists], names=["id", "v", "s1", "s2", "n_words", "paths"])
+
+    return docs.mapInArrow(run, "id long, v long, s1 long, s2 long, n_words long, paths array<long>")
+
+
+def shared_levels(a: np.ndarray, b: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Number of leading levels that two paths have in common."""
+    apart = (a ^ b).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+    return np.where(apart.any(1), apart.argmax(1), 8) - (8 - depth)
+
+
+def forest(paths: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
+    """The tries of all trees, from ``node, paths``: for each node of a tree
+    that shares at least ``least`` levels with the one before it in sorted
+    order, ``node, levels`` and for each of those levels the first node with
+    that prefix (``heads``, from ``least`` on).
+
+    Trees are sorted in ranges that part equal paths by node, so a common path
+    does not gather; ranges are tied together by their first and last rows, one
+    of each per range.
+    """
+    spark = paths.sparkSession
+    rows = paths.select("node", F.posexplode("paths").alias("tree", "path"))
+    order = ["tree", "path", "node"]
+    ordered = rows.repartitionByRange(parts_of(spark), *order).sortWithinPartitions(*order).select(*order)
+    depths = np.arange(least, depth + 1)
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        last, first = None, None  # tree, path, node, heads
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, path, node = (batch.column(i).to_numpy() for i in range(3))
+            before = (np.append(-1, tree[:-1]), np.append(0, path[:-1])) if last is None else (np.append(last[0], tree[:-1]), np.append(last[1], path[:-1]))
+            levels = np.where(before[0] == tree, shared_levels(before[1].view(np.uint64), path.view(np.uint64), depth), 0)
+            at = np.arange(len(node))
+            heads = np.empty((len(depths), len(node)), np.int64)
+            for k, d in enumerate(depths.tolist()):
+                head = np.maximum.accumulate(np.where(levels < d, at, -1))
+                heads[k] = np.where(head >= 0, node[head], last[3][k] if last else 0)
+            if first is None:
+                first = (int(tree[0]), int(path[0]), int(node[0]))
+            last = (int(tree[-1]), int(path[-1]), int(node[-1]), heads[:, -1].tolist())
+            in_run = np.flatnonzero(levels >= least)
+            if len(in_run):
+                yield _runs_batch(node[in_run], levels[in_run], heads[:, in_run], None)
+        if first:
+            yield _runs_batch(np.array([first[2]]), np.zeros(1, np.int64), np.array([last[3]]).T, (part, *first[:2], *last[:2]))
 
-    return docs.mapInArrow(run, "id long, s1 long, s2 long, n_words long, prefixes array<long>")
+    ddl = "node long, levels int, heads array<long>, part int, tree0 int, path0 long, tree1 int, path1 long"
+    found = staged(ordered.mapInArrow(run, ddl), "forest")
+    borders = found.where("part is not null").orderBy("part").collect()  # one row per range
+    ties = []
+    for a, b in zip(borders, borders[1:], strict=False):
+        levels = int(shared_levels(np.array([a["path1"]]).view(np.uint64), np.array([b["path0"]]).view(np.uint64), depth)[0])
+        if a["tree1"] == b["tree0"] and levels >= least:
+            ties.append((b["node"], levels, a["heads"]))
+    inner = found.where("part is null").select("node", "levels", "heads")
+    out = staged(inner.unionByName(spark.createDataFrame(ties, inner.schema)) if ties else inner, "trie")
+    discard(found)
+    return out
 
 
-def verified(docs: list[np.ndarray], others: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+def _runs_batch(node: np.ndarray, levels: np.ndarray, heads: np.ndarray, border: tuple | None) -> pa.RecordBatch:
+    n = len(node)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(heads.T).ravel()), len(heads)).cast(pa.list_(pa.int64()))
+    cols = [pa.array(node.astype(np.int64)), pa.array(levels.astype(np.int32)), lists]
+    cols += [pa.array([None if border is None else border[i]] * n, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["node", "levels", "heads", "part", "tree0", "path0", "tree1", "path1"])
+
+
+def verified(docs: list[np.ndarray], others: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Exact Jaccard test of all pairs of distinct-shingle arrays, by counting
-    common shingles as products of incidence blocks.  Shingles of one text only
-    are in no intersection and are left out."""
+    common shingles as products of incidence blocks: which pairs link, and the
+    similarity of each.  Shingles of one text only are in no intersection and
+    are left out."""
     rows = docs + (others or [])
     n, m = len(docs), len(rows)
     sizes = np.array([len(x) for x in rows], np.int64)
@@ -121,104 +211,148 @@ def verified(docs: list[np.ndarray], others: list[np.ndarray] | None, threshold:
         both += block[left] @ block[right].T
     both = both.astype(np.int64)
     union = sizes[left][:, None] + sizes[right][None, :] - both
-    return both * threshold[1] >= union * threshold[0]
+    return both * threshold[1] >= union * threshold[0], both / union
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``id, n_words, class_id, n_links, kept`` for every row.
 
     Shingles are runs of five words, parted by ASCII white space and compared
-    unchanged.  Two rows link at a Jaccard similarity of the threshold or more;
-    ``class_id`` is the smallest id reachable over links, and that row is kept.
-    Texts of one to four words are one shingle; null texts and texts without
-    words link with nothing, and so do rows without an id, which are kept.  Rows
-    with equal word sequences count each other, repeated rows too.  Ids are
-    integers, one text to an id; other columns are not read.  No rows give no
-    rows.
+    unchanged (by 64-bit hashes, word sequences by 128 bits).  Two rows link at a
+    Jaccard similarity of the threshold or more; ``class_id`` is the smallest id
+    reachable over links, and that row is kept.  Texts of one to four words are
+    one shingle; null texts and texts without words link with nothing, and so do
+    rows without an id, which are kept.  Rows with equal word sequences count
+    each other, repeated rows too.  Ids are integers; rows that repeat an id with
+    another text are documents of their own, and each is kept if its class has
+    that id.  Other columns are not read.  No rows give no rows.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = staged(signatures(src, prefix_depth(threshold[0] / threshold[1])), "signatures")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("v"), text.alias("text"))
+    sig = staged(signatures(src), "signatures")
     worded = sig.where("n_words > 0 and id is not null")
-    classes = staged(worded.groupBy("s1", "s2", "n_words").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    reps = worded.join(classes.select("rep", "size"), F.col("id") == F.col("rep")).select("id", "prefixes")
-    paths = staged(reps.select("id", F.explode("prefixes").alias("prefix")), "paths")
-    meet = staged(paths.groupBy("prefix").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select(F.col("prefix").alias("p"), "pivot"), "meet")
-    edges = staged(paths.join(meet, F.col("prefix") == F.col("p")).where("id <> pivot").select("id", "pivot").distinct(), "candidates")
-    discard(paths, meet)
-    clusters = components(edges, "id", "pivot")
-    links = staged(_verify(src, clusters, classes, threshold), "links")
-    counts = staged(links.where("links > 0").groupBy("id").agg(F.sum("links").alias("links")), "counts")
-    comp = components(links.where("id <> peer").select("id", "peer"), "id", "peer")
+    # texts with the same words have the same paths
+    named = worded.groupBy("s1", "s2", "n_words").agg(F.min(F.struct("id", "v")).alias("first"), F.count("*").alias("size"), F.first("paths").alias("paths"))
+    # a number for each distinct text, fixed by writing it
+    numbered = staged(named.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n_words", F.col("first.id").alias("rep"), F.col("first.v").alias("rep_v"), "size", "paths"), "classes")
+    classes = numbered.drop("paths")
+    goal = least_depth(threshold[0] / threshold[1])
+    trie = forest(numbered.select("node", "paths"), goal)
+
+    links, settled, depth = None, None, DEPTH
+    while True:
+        head = F.element_at("heads", F.lit(depth - goal + 1))
+        edges = trie.where(F.col("levels") >= depth).select("node", head.alias("head")).where("node <> head").distinct()
+        clusters = components(edges, "node", "head")
+        sizes = staged(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        grown = staged(sizes if settled is None else sizes.join(settled, ["component", "n"], "left_anti"), "grown")
+        fresh = _verify(src, clusters, grown, classes, threshold)
+        if links is None:
+            links = staged(fresh, "links")
+        else:
+            same = sizes.join(settled, ["component", "n"], "left_semi").select(F.col("component").alias("cluster"))
+            both = staged(links.join(same, "cluster", "left_semi").unionByName(fresh), "links")
+            discard(links, settled)
+            links = both
+        discard(grown)
+        settled = sizes
+        seen = np.zeros(BINS + 1)
+        for r in links.where("bin is not null").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # at most BINS + 1 rows
+            seen[r["bin"]] = r["n"]
+        if depth <= goal or recall(seen, depth) >= TARGET_RECALL:
+            break
+        depth -= 1
+    discard(trie)
+
+    linked = links.where("node is not null")
+    counts = staged(linked.where("links > 0").groupBy(F.col("node").alias("counted")).agg(F.sum("links").alias("links")), "counts")
+    comp = components(linked.where("node <> peer").select("node", "peer"), "node", "peer").withColumnRenamed("node", "member")
+    whole = comp.join(classes, F.col("member") == F.col("node"))
+    least = staged(whole.groupBy("component").agg(F.min("rep").alias("c")), "least")
     per_class = (
-        classes.join(counts, F.col("rep") == F.col("id"), "left")
-        .join(comp, F.col("rep") == F.col("node"), "left")
-        .select("s1", "s2", F.col("n_words").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+        classes.join(counts, F.col("node") == F.col("counted"), "left")
+        .join(comp, F.col("node") == F.col("member"), "left")
+        .join(least.withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left")
+        .select("s1", "s2", F.col("n_words").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("c", "rep").alias("c"))
     )
     per_class = staged(per_class, "perclass").withColumnsRenamed({"s1": "t1", "s2": "t2"})
+    discard(numbered, counts, least, links, settled)
     out = sig.select("id", "s1", "s2", "n_words").join(per_class, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_words") == F.col("w")) & F.col("id").isNotNull(), "left")
     c = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), "n_words", c.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _verify(src: DataFrame, clusters: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """``id, links, peer`` of each task over pairs of chunks of a cluster."""
+def _verify(src: DataFrame, clusters: DataFrame, todo: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``cluster, node, links, peer, bin`` of each task over pairs of chunks of
+    the clusters in ``todo(component, n)``; rows without a node count the linked
+    pairs of texts by similarity."""
     spark = src.sparkSession
-    sized = clusters.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).withColumnRenamed("component", "cluster")
-    sized = staged(sized, "sized")
-    member = clusters.join(sized, F.col("component") == F.col("cluster")).select(F.col("node").alias("doc"), "cluster", "k")
-    member = member.join(classes.select("rep", "size"), F.col("doc") == F.col("rep")).drop("rep")
-    member = staged(member.withColumn("c", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int")), "members")
-    texts = src.join(member.hint("shuffle_hash"), F.col("id") == F.col("doc"))
+    member = clusters.join(todo.select("component"), "component", "left_semi").withColumnRenamed("node", "doc")
+    member = member.join(classes.select("node", "rep", "rep_v", "size", "n_words"), F.col("doc") == F.col("node")).drop("doc")
+    per = F.least(F.lit(MOST_CHUNK), F.greatest(F.lit(LEAST_CHUNK), F.ceil(F.col("n") / CHUNKS)))
+    sized = member.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    sized = staged(sized.select("cluster", F.greatest(F.ceil(F.col("n") / per), F.ceil(F.col("w") / CHUNK_WORDS)).cast("int").alias("k")), "sized")
+    member = member.join(sized, F.col("component") == F.col("cluster"))
+    member = staged(member.select("node", "rep", "rep_v", "size", "cluster", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("c")), "members")
+    maybe, _ = split_by_ids(src, member.select("rep"), "id")
+    texts = maybe.join(member.hint("shuffle_hash"), (F.col("id") == F.col("rep")) & (F.col("v") == F.col("rep_v"))).select("node", "size", "cluster", "c", "k", "text")
+
+    def sets_of(batches):
+        read: set[int] = set()  # repeated rows are read once
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            fresh = [i for i, x in enumerate(nodes) if not (x in read or read.add(x))]
+            if len(fresh) < len(nodes):
+                batch = batch.take(pa.array(fresh, pa.int64()))
+            for lo, hi, data, offs in text_chunks(batch.column(5)):
+                d, h, *_ = shingles(data, offs)
+                cut = np.searchsorted(d, np.arange(hi - lo + 1))
+                raw = pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in batch.columns[:5]), raw], names=["node", "size", "cluster", "c", "k", "grams"])
+
+    each = texts.mapInArrow(sets_of, "node long, size long, cluster long, c int, k int, grams binary")
     # chunk c meets every chunk; the task is named by the smaller and the larger
-    each = texts.select("id", "size", "text", "cluster", "c", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     task = F.xxhash64("cluster", F.least("c", "o"), F.greatest("c", "o"))
-    dealt = each.select(task.alias("task"), (F.col("c") > F.col("o")).alias("second"), (F.col("c") == F.col("o")).alias("own"), "id", "size", "text")
+    dealt = each.select(task.alias("task"), (F.col("c") > F.col("o")).alias("second"), (F.col("c") == F.col("o")).alias("own"), "node", "size", "cluster", "grams")
     dealt = dealt.repartition(parts_of(spark), "task").sortWithinPartitions("task")
 
     def run(batches):
-        rows: list[tuple[list, list, list]] = []
-        held = 0
         for _, t in runs(batches):
-            ids = t.column("id").to_numpy()
-            once = np.unique(ids, return_index=True)[1]
-            if len(once) < len(ids):  # a repeated row
+            nodes = t.column("node").to_numpy()
+            once = np.unique(nodes, return_index=True)[1]
+            if len(once) < len(nodes):  # a repeated row that was read in two tasks
                 t = t.take(pa.array(np.sort(once)))
             own = bool(t.column("own")[0].as_py())
             second = t.column("second").to_numpy()
-            ids, size = t.column("id").to_numpy(), t.column("size").to_numpy()
-            sets: list[np.ndarray] = []
-            for lo, hi, data, offs in text_chunks(t.column("text")):
-                d, h, *_ = shingles(data, offs)
-                cut = np.searchsorted(d, np.arange(hi - lo + 1))
-                sets += [np.unique(h[cut[i] : cut[i + 1]]) for i in range(hi - lo)]
-            a = np.arange(len(ids)) if own else np.flatnonzero(~second)
+            nodes, size = t.column("node").to_numpy(), t.column("size").to_numpy()
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("grams")]
+            a = np.arange(len(nodes)) if own else np.flatnonzero(~second)
             b = a if own else np.flatnonzero(second)
             if not len(a) or not len(b) or own and len(a) < 2:
                 continue
-            link = verified([sets[i] for i in a], None if own else [sets[i] for i in b], threshold)
+            link, how = verified([sets[i] for i in a], None if own else [sets[i] for i in b], threshold)
             if own:
                 np.fill_diagonal(link, False)
+            if not link.any():
+                continue
+            bins = np.bincount((how[np.triu(link) if own else link] * BINS + 1e-9).astype(np.int64), minlength=BINS + 1)
             row, col = spanning_peers(link)
             one, two = np.flatnonzero(link.any(1)), np.flatnonzero(col >= 0)
-            out = [ids[a][one]], [link[one] @ size[b]], [ids[a][row[one]]]
-            if not own:
-                for x, y in zip(out, (ids[b][two], size[a] @ link[:, two], ids[a][col[two]]), strict=True):
-                    x.append(y)
-            else:  # a column's peer is another row of the same chunk
-                for x, y in zip(out, (ids[b][two], np.zeros(len(two), np.int64), ids[a][col[two]]), strict=True):
-                    x.append(y)
-            rows.append(out)
-            held += len(one) + len(two)
-            if held > 20_000:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
-
-    return dealt.mapInArrow(run, "id long, links long, peer long")
-
-
-def _batch(rows) -> pa.RecordBatch:
-    cols = [np.concatenate([x for r in rows for x in r[i]]).astype(np.int64) for i in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "links", "peer"])
+            # a column's peer is a row; inside one chunk the columns are the rows
+            back = np.zeros(len(two), np.int64) if own else size[a] @ link[:, two]
+            n, at = np.flatnonzero(bins), len(one) + len(two)
+            cols = [np.concatenate([nodes[a][one], nodes[b][two]]), np.concatenate([link[one] @ size[b], back]), np.concatenate([nodes[a][row[one]], nodes[a][col[two]]])]
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(at + len(n), t.column("cluster")[0].as_py())),
+                    pa.concat_arrays([pa.array(cols[0]), none]),
+                    pa.array(np.concatenate([cols[1], bins[n]]).astype(np.int64)),
+                    pa.concat_arrays([pa.array(cols[2]), none]),
+                    pa.concat_arrays([pa.nulls(at, pa.int32()), pa.array(n.astype(np.int32))]),
+                ],
+                names=["cluster", "node", "links", "peer", "bin"],
+            )
+
+    return dealt.mapInArrow(run, "cluster long, node long, links long, peer long, bin int")

@@ -314,21 +314,102 @@ def brute_links(texts):
     return {d: (comp[d], n[d], comp[d] == d) for d in ids}
 
 
-def test_ngram_join(spark, docs, nothing, monkeypatch):
+@pytest.mark.parametrize("target", [ngram_join.TARGET_RECALL, 1.0])
+def test_ngram_join(spark, docs, nothing, monkeypatch, target):
     texts = dict(enumerate(TEXTS))
     for i in range(30):
         texts[100 + i] = edited(BASE, 200 + i, 60)
     df = spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id long, text string, size int")
-    monkeypatch.setattr(ngram_join, "CHUNK", 7)  # several chunks to a cluster
+    monkeypatch.setattr(ngram_join, "MOST_CHUNK", 7)  # several chunks to a cluster
+    monkeypatch.setattr(ngram_join, "TARGET_RECALL", target)  # 1.0: every level down to the least
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.join(df).collect()}
     assert got == brute_links(texts)
-    assert ngram_join.join(nothing).collect() == []
-    lone = [r for r in ngram_join.join(docs).collect() if r["doc_id"] is None]
-    assert (lone[0]["n_links"], lone[0]["kept"]) == (0, True)
-
-
-def test_prefix_depth():
-    assert ngram_join.prefix_depth(0.8) == 6 and ngram_join.prefix_depth(0.8, target=0.99999999) < 6 and ngram_join.prefix_depth(0.1) == 1
+    if target < 1:
+        assert ngram_join.join(nothing).collect() == []
+        lone = [r for r in ngram_join.join(docs).collect() if r["doc_id"] is None]
+        assert (lone[0]["n_links"], lone[0]["kept"]) == (0, True)
+
+
+def test_forest(spark):
+    """Every shared prefix of every tree, however ranges part the sorted paths."""
+    r = random.Random(8)
+    paths = {n: [int.from_bytes(bytes(r.choice([1, 2, 200]) for _ in range(8)), "big", signed=True) for _ in range(3)] for n in range(300)}
+    paths |= {n: paths[0] for n in range(300, 400)}
+    df = spark.createDataFrame(list(paths.items()), "node long, paths array<long>").repartition(3)
+    rows = ngram_join.forest(df, 2).collect()
+    for d in range(2, 9):
+        up = {n: n for n in paths}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for row in rows:
+            if row["levels"] >= d:
+                up[root(row["node"])] = root(row["heads"][d - 2])
+        met = defaultdict(set)
+        for n, ps in paths.items():
+            for k, p in enumerate(ps):
+                met[k, p >> 8 * (8 - d)].add(n)
+        whole = {n: n for n in paths}
+        for group in met.values():
+            first, *rest = group
+            for x in rest:
+                a, b = root(first, whole), root(x, whole)
+                whole[a] = b
+        assert {frozenset(n for n in paths if root(n) == k) for k in map(root, paths)} == {frozenset(n for n in paths if root(n, whole) == k) for k in {root(n, whole) for n in paths}}, d
+
+
+def test_depths_and_recall():
+    assert ngram_join.least_depth(0.8) == 6 and ngram_join.least_depth(0.8, target=0.99999999) < 6 and ngram_join.least_depth(0.1) == 1
+    links = np.zeros(101)
+    assert ngram_join.recall(links, 8) == 1.0
+    links[80] = 1000
+    assert abs(ngram_join.recall(links, 8) - ngram_join.found_share(0.8, 8)) < 1e-12
+    links[99] = 1e6
+    assert ngram_join.recall(links, 8) > 0.9999 > ngram_join.found_share(0.8, 8)
+
+
+def thue(n, a, b):
+    """The word that collides under every polynomial hash modulo 2**64."""
+    return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+
+def test_long_words_are_told_apart(spark):
+    head = prose(49, 3)
+    df = spark.createDataFrame([(1, f"{head} {thue(1024, 'a', 'b')}"), (2, f"{head} {thue(1024, 'b', 'a')}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.dedup(df).collect()] == [0, 0]
+    three = spark.createDataFrame([(1, f"a b c d {thue(1024, 'a', 'b')}"), (2, f"a b c d {thue(1024, 'b', 'a')}")], "doc_id long, text string")
+    assert [r["n_links"] for r in ngram_join.join(three).collect()] == [0, 0]
+    words = [f"w{i}" for i in (3, 8)]
+    a, b = ([words[bin(i).count("1") % 2 ^ f] for i in range(2048)] for f in (0, 1))
+    raw = [np.frombuffer(" ".join(x).encode(), np.uint8) for x in (a, b)]
+    from lodestem.llm import common
+
+    sums = []
+    for data in raw:
+        starts, ends, _ = common.word_layout(data, np.array([0, len(data)]))
+        h = common.word_hashes(data, starts, ends)
+        sums.append(int(common.run_hashes(common.ladder(h, 2048), np.array([0]), np.array([2048]))[0]))
+    assert sums[0] != sums[1]
+
+
+def test_word_hashes_by_brute_force():
+    from lodestem.llm import common
+
+    r = random.Random(4)
+    words = ["".join(r.choice("ab") for _ in range(n)) for n in [*range(1, 30), 63, 64, 65, 130] for _ in range(4)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = common.word_layout(data, np.array([0, len(data)]))
+    for h in common.word_hashes(data, starts, ends, (0, 1)):
+        seen = {}
+        assert all(seen.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    h = common.word_hashes(data, starts, ends)
+    for k in (1, 2, 5, 8, 50):
+        runs = common.gram_hashes(h, k)
+        assert len(runs) == len(words) - k + 1
+        assert len(set(runs.tolist())) == len({tuple(words[i : i + k]) for i in range(len(runs))})
 
 
 # -------------------------------------------------------------- substrings
@@ -345,6 +426,22 @@ def brute_dedup(texts, window=50):
     return out
 
 
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_repeated_ids(spark, monkeypatch, hot):
+    """Rows that repeat an id: with the same text they fare alike, with another
+    they are documents of their own of which neither is earlier."""
+    monkeypatch.setattr(substring_dedup, "HOT_PASSAGES", hot)
+    long, short = prose(20, 31) + " " + PASSAGE + " " + prose(400, 32), PASSAGE
+    rows = [(5, long), (5, long), (5, short), (7, prose(9, 33) + " " + PASSAGE), (3, prose(60, 34)), (9, prose(5, 35)), (9, prose(60, 34))]
+    got = sorted(tuple(r) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect())
+    assert got == sorted([(5, 490, 0), (5, 490, 0), (5, 70, 0), (7, 79, 70), (3, 60, 0), (9, 5, 0), (9, 60, 60)])
+    if hot:
+        out = ngram_join.join(spark.createDataFrame([*rows, (8, long), (2, short)], "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["class_id"], r["n_links"], r["kept"]) for r in out) == sorted(
+            [(5, 490, 5, 2, True), (5, 490, 5, 2, True), (8, 490, 5, 2, False), (5, 70, 2, 2, False), (2, 70, 2, 2, True), (7, 79, 2, 2, False), (3, 60, 3, 1, True), (9, 5, 9, 0, True), (9, 60, 3, 1, False)]
+        )
+
+
 @pytest.mark.parametrize("hot", [1000, 0, 3])
 def test_substring_dedup(spark, docs, nothing, monkeypatch, hot):
     texts = dict(enumerate(TEXTS))
