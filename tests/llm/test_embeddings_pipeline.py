@@ -45,13 +45,54 @@ def test_embedding_join(spark, monkeypatch, chunk):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     exact = [(r[0], r[1], r[2]) for r in df.collect()]
     monkeypatch.setattr(embedding_join, "CHUNK", chunk)
-    monkeypatch.setattr(embedding_join, "TILE", 7)
+    monkeypatch.setattr(embedding_join, "LEAF", 64 if chunk == 16 else embedding_join.LEAF)
+    monkeypatch.setattr(embedding_join, "VERIFIED", 50)
     got = embedding_join.near_duplicates(df).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None} == brute(exact)
     assert len(got) == len(rows)
     assert embedding_join.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_hot_label_of_planted_vectors(spark):
+    """Production constants; one label fills many cells, some beyond a chunk."""
+    g = np.random.default_rng(9)
+    centres = g.normal(size=(40, 64))
+    noise = np.concatenate([g.normal(size=(3000, 64)), np.repeat(centres, 60, 0) + g.normal(size=(2400, 64)) * 0.25, centres[0] + g.normal(size=(4500, 64)) * 0.27])
+    vecs = np.concatenate([noise, noise[:50], g.normal(size=(300, 64))]).astype(np.float32)
+    label = np.where(np.arange(len(vecs)) < len(noise) + 50, 1, 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(x)) for i, (v, x) in enumerate(zip(vecs, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embedding_join.near_duplicates(df).collect()}
+    u = vecs.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    assert link.sum() > 1e6
+    assert [got[i]["n_links"] for i in range(len(vecs))] == link.sum(1).tolist()
+    comp = embedding_join.spanned(len(vecs), *np.nonzero(link))
+    assert [got[i]["component_id"] for i in range(len(vecs))] == comp.tolist()
+
+
+def test_leaves_hold_every_pair_of_neighbours_once(monkeypatch):
+    monkeypatch.setattr(embedding_join, "LEAF", 9)
+    g = np.random.default_rng(2)
+    cells = g.integers(0, 5, (60, 3))
+    near = lambda i, j: bool((abs(cells[i] - cells[j]) <= 1).all())
+    for a, b in ((np.arange(60), None), (np.arange(25), np.arange(25, 60))):
+        seen = []
+        for x, y in embedding_join.leaves(cells, a, b):
+            seen += [(i, j) for i in x for j in (x if y is None else y) if y is not None or i < j]
+        seen = [tuple(sorted(p)) for p in seen]
+        assert len(seen) == len(set(seen))
+        assert {p for p in seen if near(*p)} == {(i, j) for i in a for j in (a if b is None else b) if i < j and near(i, j)}
+
+
+def test_repeated_vector_ids(spark):
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, 0), (1, one, 0), (1, other, 0), (2, other, 0), (3, [1e-200, 0.0, 0.0], 0), (4, [0.0, 1e200, 0.0], 0)]
+    got = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 120), (120, 110), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
