@@ -6,6 +6,12 @@ length is covered; its solution is rounded down, and what is left is packed best
 over (length, free space) groups.  The driver sees the histogram (at most
 ``capacity`` rows) and returns a plan whose size follows from it, not from the
 number of documents; items find their place in the plan by length and rank.
+
+Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.  The
+library itself encodes words outside ``SIMPLE`` and words that hold one of its
+special tokens' strings, which it turns into their ids; the merges of all other
+words run on tiktoken's routine, over tokens that the library confirms one by one
+(``Merges`` has the argument, tests compare thousands of random words).
 """
 
 from __future__ import annotations
@@ -112,7 +118,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = Merges(path)
         self.old: dict[bytes, bytes] = {}
 
@@ -120,7 +126,7 @@ class WordIds(dict):
         got = self.old.get(word)
         if got is None:
             text = word.decode("utf-8")
-            if text.isascii() or SIMPLE.fullmatch(text):
+            if (text.isascii() or SIMPLE.fullmatch(text)) and not any(x in text for x in self.special):
                 unit = self.merges.unit
                 got = b"".join([unit(u.encode()) for u in UNITS.findall(text.lower())])
             else:
