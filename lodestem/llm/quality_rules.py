@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, staged
+from .common import bounded_sample, discard, fold_of, staged
 
 #: Labelled rows that learning may read (all, if there are fewer).
 SAMPLE_ROWS = 16_000
@@ -44,12 +44,13 @@ FEATURES = ("n_words", "mean_word", "symbol_ratio", "upper_ratio", "mark_ratio",
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the base statistics and the features of every whole text.
 
-    A null text has no words; every ratio of a text without words is 0.  Columns of
-    ``docs`` that clash with a statistic must be renamed by the caller.
-    Windows are compared by 64-bit hashes within one text.  One narrow pass; the
-    sort of window hashes runs only for texts in which one repeats.
+    A null text has no words; every ratio of a text without words is 0.  A column
+    of ``docs`` that has the name of a statistic gives way to it, others stay as
+    they are, repeated rows too; no rows give no rows.  Windows are compared by
+    64-bit hashes within one text.  One narrow pass; the sort of window hashes runs
+    only for texts in which one repeats.
     """
-    t = docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    t = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     t = t.withColumn("__w", F.filter(F.split("__t", WORD_SPLIT, -1), lambda w: w != F.lit("")))
     t = t.withColumn("n_words", F.size("__w").cast("long"))
     t = t.withColumn("__lines", F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(NOT_SPACE)))
@@ -94,7 +95,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # a generator of one row: filters on the statistics stay above it instead of
     # being copied, with all they compute, below every step of this chain
     stats = F.inline(F.array(F.struct(*BASE_STATISTICS, *[f for f in FEATURES if f not in BASE_STATISTICS])))
-    return t.select(*docs.columns, stats)
+    taken = {c.lower() for c in (*BASE_STATISTICS, *FEATURES)}
+    return t.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns if c.lower() not in taken], stats)
 
 
 def base_failed() -> Column:
@@ -145,11 +147,17 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn(labelled: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DecisionList:
-    """Learn the list from rows with a 0/1 label (0: poor; null rows are left
-    out).  Without rows of both classes the list is empty and keeps all."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text_in"), (F.col(label_col) == 0).alias("poor"))
-    sample = statistics(bounded_sample(rows, "id", sample_rows).repartition(F.xxhash64("id")), "__text_in")
+def learn(labelled: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = SAMPLE_ROWS) -> DecisionList:
+    """Learn the list from rows with a 0/1 label (0: poor; null rows and rows
+    without an id are left out), from at most ``sample_rows`` ids of them (None:
+    all; the caller has bounded them).  Without rows of both classes the list is
+    empty and keeps all."""
+    rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text_in"), (F.col(label_col) == 0).alias("poor"))
+    if sample_rows is not None:
+        # drawn from ids alone: no text moves before it is chosen
+        picked = staged(bounded_sample(rows.select("id").distinct(), "id", sample_rows), "picked")
+        rows = rows.join(F.broadcast(picked), "id", "left_semi")
+    sample = statistics(rows.repartition(F.xxhash64("id")), "__text_in")
     sample = sample.where(~base_failed()).select((F.abs(F.xxhash64("id")) % 3 < 2).alias("grow"), "poor", *FEATURES)
     sample = staged(sample, "rules")
     probs = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
@@ -161,11 +169,12 @@ def learn(labelled: DataFrame, label_col: str = "quality", id_col: str = "doc_id
     if not any(quant[f"p_{f}"] for f in FEATURES):
         return DecisionList()
     bins = F.array(*[F.struct(F.lit(f).alias("f"), _bin(f, cuts[f]).alias("b")) for f in FEATURES])
-    sample = staged(sample.withColumn("bins", bins), "bins")
+    binned = staged(sample.withColumn("bins", bins), "bins")
+    discard(sample)
 
     rules: list[tuple[Condition, ...]] = []
     precision: list[float] = []
-    left = sample
+    left = binned
     while len(rules) < MAX_RULES:
         grown = _grow(left.where("grow"), cuts)
         if not grown:
@@ -176,6 +185,7 @@ def learn(labelled: DataFrame, label_col: str = "quality", id_col: str = "doc_id
         rules.append(rule)
         precision.append(right)
         left = left.where(~_all(rule))
+    discard(binned)
     return DecisionList(tuple(rules), tuple(precision))
 
 
@@ -229,8 +239,10 @@ def _prune(rows: DataFrame, rule: tuple[Condition, ...]) -> tuple[tuple[Conditio
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Statistics of every row with ``base_failed`` and ``kept``."""
-    return statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(rules.verdict()))
+    """Statistics of every row with ``base_failed`` and ``kept``; columns of
+    ``docs`` with those names give way too."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base_failed", "kept")]
+    return statistics(docs.select(*rest), text_col).withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(rules.verdict()))
 
 
 def learn_from_tables(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
@@ -239,11 +251,12 @@ def learn_from_tables(docs: DataFrame, labels: DataFrame, sample_rows: int = SAM
     ids is broadcast to the scan of the texts."""
     ids = labels.where((fold_of("doc_id", 3) != 1) & F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     picked = F.broadcast(staged(bounded_sample(ids, "doc_id", sample_rows), "picked"))
-    return learn(docs.select("doc_id", "text").join(picked, "doc_id"), sample_rows=sample_rows)
+    return learn(docs.select("doc_id", "text").join(picked, "doc_id"), sample_rows=None)
 
 
 def keep_documents(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with the same columns, whatever their
-    names."""
+    names.  Null and empty texts have too few words and go; rows that repeat
+    another fare as it does."""
     held = judge(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text_in")), rules, "__text_in").where("kept")
     return held.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
