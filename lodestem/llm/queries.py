@@ -31,9 +31,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_ledger import by_path, digest, scan
+    from .secret_ledger import by_path, digest, scan_by_version
 
-    return digest(by_path(scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return digest(by_path(scan_by_version(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 Every version of a text is addressed by its content (SHA-256).  One path stands
 for each distinct blob; a blob is scanned only under rule versions that the
 ledger does not hold yet; findings are joined back to every path of the blob.
+Texts are scanned where they are read, as long as a bitmap can say which.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import parts_of, split_by_ids, staged
+from .common import discard, parts_of, split_by_ids, staged
 
 #: Stands for a secret in redacted text.
 MASK_TEXT = "[secret]"
+#: Bits of the bitmap of paths to scan.  It is used up to an eighth of its bits,
+#: so that few others are scanned again; beyond, paths are joined exactly.
+BITMAP_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -52,9 +56,9 @@ RULES = (
 
 @dataclass(frozen=True)
 class Scan:
-    """``paths(id, blob)``; ``findings(blob, kind, ord, version, start, end)``
-    of all rule versions; ``entries(blob, rule)``: the pairs scanned now, to be
-    appended to the ledger with the new findings."""
+    """``paths(id, blob, path)``; ``findings(blob, kind, ord, version, start,
+    end)`` of all rule versions; ``entries(blob, rule)``: the pairs scanned now,
+    to be appended to the ledger with the new findings."""
 
     paths: DataFrame
     findings: DataFrame
@@ -82,18 +86,21 @@ def _pieces(rule: Rule, ordinal: int) -> Column:
     return F.when(F.size(m) > 0, named).otherwise(F.array().cast("array<struct<ord:int,idx:int,lead:bigint,len:bigint,ok:boolean>>"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, known: DataFrame | None = None) -> Scan:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, known: DataFrame | None = None, paths: DataFrame | None = None) -> Scan:
     """Scan the unseen pairs of blob and rule version.
 
     ``ledger(blob, rule)`` holds the pairs scanned before and ``known`` their
-    findings.  A null text is the empty blob.  Ids may repeat, with the same or
-    another text; further columns are not read.  Leftmost non-overlapping
-    matches per rule; positions in code points, end exclusive.  A table without
-    rows gives empty tables.
+    findings; ``paths`` may come from an earlier scan of the same rows.  A null
+    text is the empty blob.  Ids may repeat, with the same or another text, and
+    may be null; further columns are not read.  Leftmost non-overlapping matches
+    per rule; positions in code points, end exclusive.  A table without rows
+    gives empty tables.
     """
     spark = docs.sparkSession
-    paths = staged(docs.select(F.col(id_col).alias("id"), F.sha2(_text(text_col), 256).alias("blob")), "paths")
-    first = paths.groupBy("blob").agg(F.min("id").alias("id"))
+    texts = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("__text")).withColumn("path", F.xxhash64("id", "__text"))
+    if paths is None:
+        paths = staged(texts.select("id", F.sha2("__text", 256).alias("blob"), "path"), "paths")
+    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
@@ -103,13 +110,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         first = first.withColumn("todo", keys)
     first = staged(first, "unseen")
 
-    texts = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("__text"))
-    todo = first.hint("shuffle_hash").withColumnRenamed("id", "__id")
-    blobs = texts.join(todo, F.col("id").eqNullSafe(F.col("__id")), "inner").where(F.sha2("__text", 256) == F.col("blob"))
-    matched = blobs.select(
-        "blob", "__text", *[F.when(F.array_contains("todo", r.key), F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0))).alias(f"__m{i}") for i, r in enumerate(rules)]
-    )
-    hits = matched.select("blob", F.explode(F.concat(*[_pieces(r, i) for i, r in enumerate(rules)])).alias("hit")).select("blob", "hit.*")
+    marked = _marked(texts, first, rules)
+    matched = marked.select("__text", *[F.when(F.col(f"__do{i}"), F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0))).alias(f"__m{i}") for i, r in enumerate(rules)])
+    found_any = F.lit(False)
+    for i in range(len(rules)):
+        found_any = found_any | (F.coalesce(F.size(f"__m{i}"), F.lit(0)) > 0)
+    hits = matched.where(found_any).select(F.sha2("__text", 256).alias("blob"), F.explode(F.concat(*[_pieces(r, i) for i, r in enumerate(rules)])).alias("hit")).select("blob", "hit.*")
+    # rows that the bitmap let through have hits of pairs that were not asked for
+    key = F.element_at(keys, F.col("ord") + 1)
+    hits = hits.join(first.select("blob", "todo"), "blob").where(F.array_contains("todo", key)).drop("todo")
     # a path that is listed twice has been scanned twice: its hits are equal
     hits = hits.dropDuplicates(["blob", "ord", "idx"]).repartition(parts_of(spark), "blob", "ord")
     upto = W.partitionBy("blob", "ord").orderBy("idx")
@@ -125,6 +134,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     return Scan(paths, found, entries)
 
 
+def _marked(texts: DataFrame, first: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rows of ``texts`` that may be a path to scan, with a column for each
+    rule that says whether to scan it: in place by a broadcast bitmap of bounded
+    size, or, with more paths than that can tell apart, by a join."""
+    asked = [F.array_contains("todo", r.key) for r in rules]
+    if first.count() << 3 > 1 << BITMAP_BITS:
+        todo = first.select(F.col("path").alias("__path"), "todo").hint("shuffle_hash")
+        return texts.join(todo, F.col("path") == F.col("__path")).select("__text", *[c.alias(f"__do{i}") for i, c in enumerate(asked)])
+    slot = F.pmod("path", F.lit(1 << BITMAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
+    words = first.withColumn("__slot", slot).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(*[F.coalesce(F.bit_or(F.when(c, bit)), F.lit(0).cast("long")).alias(f"__bits{i}") for i, c in enumerate(asked)])
+    words = F.broadcast(staged(words, "bitmap"))
+    joined_rows = texts.withColumn("__slot", slot).join(words, F.shiftright("__slot", 6) == F.col("__word"))
+    does = [F.expr(f"(shiftrightunsigned(__bits{i}, cast(__slot & 63 as int)) & 1L) = 1") for i in range(len(rules))]
+    return joined_rows.select("__text", *[c.alias(f"__do{i}") for i, c in enumerate(does)])
+
+
+def scan_by_version(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[tuple[Rule, ...], ...] = (BASE_RULES, RULES)) -> Scan:
+    """Scan in rounds, as rules come to be known: each round's ledger spares the
+    next one every pair of blob and rule version that was scanned."""
+    done: Scan | None = None
+    ledger: DataFrame | None = None
+    for rules in rounds:
+        done = scan(docs, id_col, text_col, rules, ledger, done and done.findings, done and done.paths)
+        ledger = done.entries if ledger is None else ledger.unionByName(done.entries)
+    return done
+
+
 def spans_by_blob(findings: DataFrame) -> DataFrame:
     """One row per blob with findings: its spans by start, then by rule."""
     span = F.struct("start", "ord", "kind", "end")
@@ -165,13 +202,15 @@ def digest(paths: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with every secret masked, with the same columns.  Texts
-    without findings, null ones among them, stay as they are."""
+    """The documents with every secret masked, with the same columns, whatever
+    their names.  Texts without findings, null and empty ones among them, stay as
+    they are; repeated rows stay repeated."""
     scanned = scan(docs, id_col, text_col, rules)
     spans = staged(spans_by_blob(scanned.findings), "spans")
     held = staged(scanned.paths.join(spans.select("blob"), "blob", "left_semi").select("id"), "held")
     maybe, clean = split_by_ids(docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), held, "__id")
     maybe = maybe.withColumn("__blob", F.sha2(F.coalesce("__text", F.lit("")), 256)).join(spans, F.col("__blob") == F.col("blob"), "left")
     masked = maybe.select("__row", F.when(F.col("spans").isNotNull(), redacted(F.col("__text"), F.col("spans"))).otherwise(F.col("__text")).alias("__text"))
+    discard(scanned.paths, scanned.findings)
     out = masked.unionByName(clean.select("__row", "__text"))
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ PASSAGE = prose(70, 2)
 TEXTS = [
     BASE, BASE, edited(BASE, 3), edited(BASE, 4), None, "", "   \n\t ", "one two", "one two", "one two three",
     prose(30, 5) + " " + PASSAGE + "\n" + prose(20, 6), PASSAGE + " " + prose(15, 7), prose(9, 8), prose(20_000, 9), "é" * 5000, "a " * 300,
-    prose(10, 10) + "\x0b" + PASSAGE, "x" * 3000, "ünï cödé 日本語 текст", "password = 'abcdefghijklmnop' and AKIA" + "Z9" * 8,
+    prose(10, 10) + "\x0b" + PASSAGE, "x" * 3000, "a<|endoftext|>b <|startoftext|> <|EndOfText|>", "ünï cödé 日本語 текст", "password = 'abcdefghijklmnop' and AKIA" + "Z9" * 8,
 ]
 
 
@@ -95,10 +95,15 @@ SECRETS = [
 ]
 
 
-def test_secrets(spark, docs, nothing):
-    rows = list(enumerate(SECRETS)) + [(100, SECRETS[0]), (0, SECRETS[0]), (None, SECRETS[1] + "!")]
+@pytest.mark.parametrize("bits", [26, 6, 1])
+def test_secrets(spark, docs, nothing, monkeypatch, bits):
+    # 6: a crowded bitmap; 1: none, but a join
+    monkeypatch.setattr(secret_ledger, "BITMAP_BITS", bits)
+    rows = list(enumerate(SECRETS)) + [(100, SECRETS[0]), (0, SECRETS[0]), (None, SECRETS[1] + "!"), (None, SECRETS[1] + "!")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = secret_ledger.digest(secret_ledger.by_path(secret_ledger.scan(df))).collect()
+    scanned = secret_ledger.scan_by_version(df)
+    assert scanned.entries.count() == len({t or "" for _, t in rows}) * 2  # the base rules were in the ledger
+    got = secret_ledger.digest(secret_ledger.by_path(scanned)).collect()
     assert len(got) == len(rows)
     for r in got:
         t = SECRETS[1] + "!" if r["doc_id"] is None else SECRETS[r["doc_id"] % 100]
@@ -112,6 +117,7 @@ def test_ledger_scans_only_what_is_new(spark):
     more = df.union(spark.createDataFrame([(50, SECRETS[0]), (51, "token=" + "z" * 20)], "doc_id long, text string"))
     second = secret_ledger.scan(more, rules=secret_ledger.BASE_RULES, ledger=first.entries, known=first.findings)
     assert second.entries.count() == 3  # one new blob, three rules
+    assert second.findings.count() == first.findings.count() + 1
     got = {r["id"]: r["spans"] for r in secret_ledger.by_path(second).collect()}
     assert got[50] == got[0] and len(got[51]) == 1
 
@@ -127,7 +133,6 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(packing.pieces(docs, P.path("word_bpe_49k.json"), keep_ids=True)).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -184,10 +189,10 @@ def test_word_ids_match_library():
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     ids = packing.WordIds(path)
+    assert np.frombuffer(ids.of_texts([[b"a<|endoftext|>b"]])[0], "<u4").tolist() == tok.encode("a<|endoftext|>b", add_special_tokens=False).ids == [320, 49407, 321]
     r, pool = random.Random(4), list(tok.get_vocab())
-    for _ in range(1500):
+    for _ in range(6000):
         w = "".join(r.choice(pool) for _ in range(r.randint(1, 3))).replace(" ", "") if r.random() < 0.6 else "".join(r.choice("abcxyzÉüß'0123.,!?_%½日") for _ in range(20))
         assert np.frombuffer(ids.of_texts([w.encode().split()])[0], "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids, w
 
@@ -207,6 +212,9 @@ def brute_rules(t):
 def test_statistics(spark, nothing):
     texts = [*TEXTS, "a b c d e a b c d e f", "x\nx\n\nx\n y", "a a a a a a a", "## 1 | 2\n## 1 | 2", "p q r s t u p q r s t v p q r s t"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clash = df.withColumn("n_words", F.lit("x")).withColumn("__w", F.lit(1)).withColumn("KEPT", F.lit(2))
+    judged = quality_rules.judge(clash, quality_rules.DecisionList())
+    assert [c.lower() for c in judged.columns].count("n_words") == 1 and "__w" in judged.columns and "KEPT" not in judged.columns and judged.where("doc_id = 0 and kept").count() == 1
     for r in quality_rules.statistics(df).collect():
         assert tuple(r[c] for c in quality_rules.BASE_STATISTICS) == brute_rules(texts[r["doc_id"]]), r["doc_id"]
     assert quality_rules.keep_documents(nothing, quality_rules.DecisionList()).columns == nothing.columns
