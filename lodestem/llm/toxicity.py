@@ -21,19 +21,22 @@ SAMPLE_ROWS = 20_000
 #: A term enters the lexicon with so many toxic documents and, after shrinking
 #: to the base rate by PRIOR documents, this share of toxic ones.
 LEAST_DOCS = 6
-#: Each round of learning looks at the toxic documents that no term explains yet;
-#: a term must explain this part of them.  Words that merely stand beside a toxic
-#: one, in copies of a document say, are thus left out.
-LEAST_PART = 0.03
-ROUNDS = 4
-#: Learning ends when no more than this part of the toxic documents is left.
-ENOUGH = 0.02
+#: Each round of learning looks at the toxic documents that no term explains yet.
+#: Words that merely stand beside a toxic one, in copies of a document say, are
+#: thus left out.  Learning ends when a round finds no term.
+ROUNDS = 8
+#: The share of toxic documents among those with a term must be so unlikely at
+#: the base rate that by chance any of the terms tried would get there this often.
+CHANCE = 0.01
 LEAST_SHARE = 0.85
 PRIOR = 1.0
+#: Shingle orders by which near copies in the sample are known.
+COPY_KEYS = 8
 #: Upper bound of the lexicon, by evidence.
 MOST_TERMS = 20_000
-#: Letter-run prefixes (bytes) that count as terms besides whole runs.
-PREFIXES = (4, 5, 6)
+#: Letter-run prefixes (bytes, whole letters) that count as terms besides whole
+#: runs: stems of a language in which toxic words have many endings.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Bytes of a run whose reading a worker keeps; longer ones are decoded anew.
 CACHED_BYTES = 256
 #: Weight of the lexicon's spelling in the character model.
@@ -320,7 +323,8 @@ def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np
         at = np.minimum(starts + j, last)
         h += np.where(starts + j < ends, (fold[at].astype(np.uint64) + np.uint64(1)) * p[j + 1], np.uint64(0))
         if j + 1 in PREFIXES:
-            heads.append(np.where(ends - starts > j + 1, mix64(h + np.uint64(j + 1 << 40)), np.uint64(0)))
+            ends_letter = (fold[np.minimum(starts + j + 1, last)] & 0xC0) != 0x80
+            heads.append(np.where((ends - starts > j + 1) & ends_letter, mix64(h + np.uint64(j + 1 << 40)), np.uint64(0)))
     spans = ends - starts
     body = np.where(solid, fold.astype(np.uint64) + np.uint64(1), np.uint64(0))
     pos = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(data))))
@@ -330,18 +334,36 @@ def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np
 
 
 def _copy_keys(batches):
-    """Append the smallest shingle hash of each text: near copies mostly share
-    it, and count once."""
+    """Append the smallest shingle hashes of each text under COPY_KEYS orders:
+    near copies mostly share one."""
+    seeds = mix64(np.arange(1, COPY_KEYS + 1, dtype=np.uint64))
     for batch in batches:
-        keys = np.zeros(batch.num_rows, np.uint64)
+        keys = np.zeros((batch.num_rows, COPY_KEYS), np.uint64)
         for lo, hi, data, offs in text_chunks(batch.column(1)):
             starts, ends, woff = word_layout(data, offs)
             ok = inside(woff, 5)
             if ok.any():
                 doc = np.repeat(np.arange(hi - lo), np.diff(woff))[: len(ok)][ok]
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                keys[lo + doc[first]] = np.minimum.reduceat(gram_hashes(word_hashes(data, starts, ends), 5)[ok], first)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=["y", "text", "key"])
+                grams = gram_hashes(word_hashes(data, starts, ends), 5)[ok]
+                for k, seed in enumerate(seeds):
+                    keys[lo + doc[first], k] = np.minimum.reduceat(mix64(grams ^ seed), first)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), COPY_KEYS).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["y", "text", "keys"])
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Of the bounded sample ``rows(y, text)``, one of near copies with a label;
+    texts without a shingle are told apart by what they are."""
+    keyed = rows.mapInArrow(_copy_keys, "y int, text string, keys array<long>")
+    plain = F.array(F.xxhash64("text"))
+    keyed = staged(keyed.select(F.monotonically_increasing_id().alias("n"), "y", "text", F.when(F.get("keys", F.lit(0)) == 0, plain).otherwise(F.col("keys")).alias("keys")), "keyed")
+    each = keyed.select("n", "y", F.explode("keys").alias("key"))
+    least = each.groupBy("y", "key").agg(F.min("n").alias("least"))
+    later = each.join(least, ["y", "key"]).where("n > least").select("n").distinct()
+    out = staged(keyed.join(later, "n", "left_anti").select("y", "text"), "sample")
+    discard(keyed)
+    return out
 
 
 def _term_rows(batches, known: np.ndarray):
@@ -396,20 +418,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     size = picked.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     base = (size["t"] + 0.5) / (size["n"] + 1)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text")
-    # texts without a shingle have key 0 and are told apart by what they are
-    keyed = rows.mapInArrow(_copy_keys, "y int, text string, key long").withColumn("key", F.when(F.col("key") == 0, F.xxhash64("text")).otherwise(F.col("key")))
-    rows = staged(keyed.dropDuplicates(["y", "key"]).select("y", "text"), "sample")
+    rows = _once(rows)
     lexicon: list = []
     for _ in range(ROUNDS):
         known = np.array([r["term"] for r in lexicon], np.int64).view(np.uint64)
         counted = rows.mapInArrow(lambda b, k=known: _term_rows(b, k), "term long, spelling string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.max("spelling").alias("spelling"))
         counted = staged(counted, "terms")
         left = counted.where("term = 0").agg(F.sum("n")).first()[0] or 0
-        if left < max(LEAST_DOCS, ENOUGH * size["t"]):
+        tried = counted.where("term <> 0").count()
+        if left < LEAST_DOCS or not tried:
             discard(counted)
             break
+        rate = (left + 0.5) / (left + size["n"] - size["t"] + 1)
         share = (F.col("toxic") + PRIOR * base) / (F.col("n") + PRIOR)
-        good = counted.where((F.col("term") != 0) & (F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * left))).withColumn("share", share).where(F.col("share") >= LEAST_SHARE)
+        evidence = F.col("toxic") * F.log(F.col("share") / rate) + (F.col("n") - F.col("toxic")) * F.log((1 - F.col("share")) / (1 - rate))
+        good = counted.where((F.col("term") != 0) & (F.col("toxic") >= LEAST_DOCS)).withColumn("share", share)
+        good = good.where((F.col("share") >= LEAST_SHARE) & (evidence >= math.log(tried / CHANCE)))
         found = good.orderBy(F.desc("toxic"), "term").limit(MOST_TERMS - len(lexicon)).collect()
         discard(counted)
         if not found:
