@@ -18,7 +18,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of a batch that goes to a Python worker: whole texts travel in them.
+BATCH_ROWS = "1000"
 
 
 # --------------------------------------------------------------- staging
@@ -44,7 +45,7 @@ def staged(df: DataFrame, name: str = "t", cols: list[str] | None = None) -> Dat
     path = f"{shared_dir(spark)}/lodestem/{name}-{uuid.uuid4().hex}"
     # the exchanges of this write serve nothing else: their files go with it;
     # whole texts travel to Python workers in small batches
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
     old = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():

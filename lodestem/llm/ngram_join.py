@@ -6,8 +6,9 @@ the levels that two neighbours share are their common leading bytes.  All trees
 are sorted once.  Texts that share a whole path are candidates first; their
 clusters are verified exactly on shingle sets, and from the similarities of the
 links found follows how many the paths of this length must have missed.  While
-that is too many, the matched prefix is shortened by a level in all trees, and
-clusters that grew are verified again.  Copies are one class throughout.
+that is too many, the matched prefix is shortened in all trees, to the level that
+would find them, and clusters that grew are verified again.  Copies are one class
+throughout.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.9999
 #: A cluster is dealt in about CHUNKS chunks, of LEAST_CHUNK to MOST_CHUNK
 #: classes and CHUNK_WORDS words; a task holds at most two.
-CHUNKS, LEAST_CHUNK, MOST_CHUNK, CHUNK_WORDS = 8, 128, 1024, 400_000
+CHUNKS, LEAST_CHUNK, MOST_CHUNK, CHUNK_WORDS = 16, 128, 1024, 400_000
 #: Shingle columns that are multiplied at once.
 COLUMNS = 4096
 #: Steps of similarity in which links are counted.
@@ -51,13 +52,16 @@ def least_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target
     return depth
 
 
-def recall(links: np.ndarray, depth: int, trees: int = TREES) -> float:
-    """Estimated part of all links that are found, from the found ones by
-    similarity (``links[b]``: from ``b / BINS`` on): one that is found with
-    probability p stands for 1 / p."""
+def recall(links: np.ndarray, depth: int, shorter: int | None = None, trees: int = TREES) -> float:
+    """Estimated part of all links that paths of ``depth`` levels (or of
+    ``shorter`` ones) find, from the links found at ``depth`` by similarity
+    (``links[b]``: from ``b / BINS`` on): one that is found with probability p
+    stands for 1 / p."""
     at = np.flatnonzero(links)
-    total = float((links[at] / found_share(np.maximum(at, 1) / BINS, depth, trees)).sum())
-    return float(links.sum()) / total if total else 1.0
+    if not len(at):
+        return 1.0
+    total = links[at] / found_share(np.maximum(at, 1) / BINS, depth, trees)
+    return float((total * found_share(np.maximum(at, 1) / BINS, shorter or depth, trees)).sum() / total.sum())
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,64 +129,68 @@ def shared_levels(a: np.ndarray, b: np.ndarray, depth: int = DEPTH) -> np.ndarra
 
 
 def forest(paths: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
-    """The tries of all trees, from ``node, paths``: for each node of a tree
-    that shares at least ``least`` levels with the one before it in sorted
-    order, ``node, levels`` and for each of those levels the first node with
-    that prefix (``heads``, from ``least`` on).
+    """The tries of all trees, from ``node, paths``: ``node, heads`` with, for
+    each number of levels from ``least`` on, a node that stands for those with
+    the same prefix (itself, if it does); nodes that share no prefix are left
+    out.
 
     Trees are sorted in ranges that part equal paths by node, so a common path
-    does not gather; ranges are tied together by their first and last rows, one
-    of each per range.
+    does not gather; a run's smallest node stands for it, as far as it has been
+    read, and runs that go on in the next batch or range are tied together.
     """
     spark = paths.sparkSession
     rows = paths.select("node", F.posexplode("paths").alias("tree", "path"))
     order = ["tree", "path", "node"]
     ordered = rows.repartitionByRange(parts_of(spark), *order).sortWithinPartitions(*order).select(*order)
-    depths = np.arange(least, depth + 1)
+    depths = list(range(least, depth + 1))
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        last, first = None, None  # tree, path, node, heads
+        last, first = None, None  # tree, path, heads of the row before; tree, path, node of the first row
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree, path, node = (batch.column(i).to_numpy() for i in range(3))
-            before = (np.append(-1, tree[:-1]), np.append(0, path[:-1])) if last is None else (np.append(last[0], tree[:-1]), np.append(last[1], path[:-1]))
-            levels = np.where(before[0] == tree, shared_levels(before[1].view(np.uint64), path.view(np.uint64), depth), 0)
-            at = np.arange(len(node))
-            heads = np.empty((len(depths), len(node)), np.int64)
-            for k, d in enumerate(depths.tolist()):
-                head = np.maximum.accumulate(np.where(levels < d, at, -1))
-                heads[k] = np.where(head >= 0, node[head], last[3][k] if last else 0)
             if first is None:
                 first = (int(tree[0]), int(path[0]), int(node[0]))
-            last = (int(tree[-1]), int(path[-1]), int(node[-1]), heads[:, -1].tolist())
-            in_run = np.flatnonzero(levels >= least)
-            if len(in_run):
-                yield _runs_batch(node[in_run], levels[in_run], heads[:, in_run], None)
+                last = (-1, 0, [0] * len(depths))
+            shared = shared_levels(np.append(last[1], path[:-1]).view(np.uint64), path.view(np.uint64), depth)
+            levels = np.where(np.append(last[0], tree[:-1]) == tree, shared, 0)
+            heads, more = np.empty((len(depths), len(node)), np.int64), []
+            for k, d in enumerate(depths):
+                starts = np.flatnonzero((levels < d) | (np.arange(len(node)) == 0))
+                least_of = np.minimum.reduceat(node, starts)
+                if levels[0] >= d:
+                    before, least_of[0] = last[2][k], min(least_of[0], last[2][k])
+                    if least_of[0] != before:  # the run has found a smaller one
+                        more.append((before, [least_of[0] if i == k else before for i in range(len(depths))]))
+                heads[k] = np.repeat(least_of, np.diff(np.append(starts, len(node))))
+            last = (int(tree[-1]), int(path[-1]), heads[:, -1].tolist())
+            kept = np.flatnonzero((heads != node).any(0))
+            if len(kept) or more:
+                yield _heads_batch(np.append(node[kept], [x for x, _ in more]), np.concatenate([heads[:, kept].T, *([h] for _, h in more)]), None)
         if first:
-            yield _runs_batch(np.array([first[2]]), np.zeros(1, np.int64), np.array([last[3]]).T, (part, *first[:2], *last[:2]))
+            yield _heads_batch(np.array([first[2]]), np.array([last[2]]), (part, *first[:2], *last[:2]))
 
-    ddl = "node long, levels int, heads array<long>, part int, tree0 int, path0 long, tree1 int, path1 long"
-    found = staged(ordered.mapInArrow(run, ddl), "forest")
+    found = staged(ordered.mapInArrow(run, "node long, heads array<long>, part int, tree0 int, path0 long, tree1 int, path1 long"), "forest")
     borders = found.where("part is not null").orderBy("part").collect()  # one row per range
     ties = []
     for a, b in zip(borders, borders[1:], strict=False):
         levels = int(shared_levels(np.array([a["path1"]]).view(np.uint64), np.array([b["path0"]]).view(np.uint64), depth)[0])
         if a["tree1"] == b["tree0"] and levels >= least:
-            ties.append((b["node"], levels, a["heads"]))
-    inner = found.where("part is null").select("node", "levels", "heads")
+            ties.append((b["node"], [h if d <= levels else b["node"] for d, h in zip(depths, a["heads"], strict=True)]))
+    inner = found.where("part is null").select("node", "heads")
     out = staged(inner.unionByName(spark.createDataFrame(ties, inner.schema)) if ties else inner, "trie")
     discard(found)
     return out
 
 
-def _runs_batch(node: np.ndarray, levels: np.ndarray, heads: np.ndarray, border: tuple | None) -> pa.RecordBatch:
+def _heads_batch(node: np.ndarray, heads: np.ndarray, border: tuple | None) -> pa.RecordBatch:
     n = len(node)
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(heads.T).ravel()), len(heads)).cast(pa.list_(pa.int64()))
-    cols = [pa.array(node.astype(np.int64)), pa.array(levels.astype(np.int32)), lists]
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(heads, np.int64).ravel()), heads.shape[1]).cast(pa.list_(pa.int64()))
+    cols = [pa.array(node.astype(np.int64)), lists]
     cols += [pa.array([None if border is None else border[i]] * n, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
-    return pa.RecordBatch.from_arrays(cols, names=["node", "levels", "heads", "part", "tree0", "path0", "tree1", "path1"])
+    return pa.RecordBatch.from_arrays(cols, names=["node", "heads", "part", "tree0", "path0", "tree1", "path1"])
 
 
 def verified(docs: list[np.ndarray], others: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -241,8 +249,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     links, settled, depth = None, None, DEPTH
     while True:
+        at = depth
         head = F.element_at("heads", F.lit(depth - goal + 1))
-        edges = trie.where(F.col("levels") >= depth).select("node", head.alias("head")).where("node <> head").distinct()
+        edges = trie.select("node", head.alias("head")).where("node <> head").distinct()
         clusters = components(edges, "node", "head")
         sizes = staged(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
         grown = staged(sizes if settled is None else sizes.join(settled, ["component", "n"], "left_anti"), "grown")
@@ -261,7 +270,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             seen[r["bin"]] = r["n"]
         if depth <= goal or recall(seen, depth) >= TARGET_RECALL:
             break
+        # level by level, until what has been seen would be found
         depth -= 1
+        while depth > goal and recall(seen, at, depth) < TARGET_RECALL:
+            depth -= 1
     discard(trie)
 
     linked = links.where("node is not null")
