@@ -38,7 +38,7 @@ STEEPNESS = 1.5
 #: A configuration is taken while its value is within this part of the best one.
 SLACK = 0.02
 #: Words whose ids a worker keeps (two generations of half of that).
-CACHE_WORDS = 240_000
+CACHE_WORDS = 480_000
 
 
 # ------------------------------------------------------------- tokenising
@@ -48,6 +48,9 @@ SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 # Fixed value: the tokenizer's own splitting pattern, for lower-case SIMPLE words.
 UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
+#: ASCII marks: a row of them after letters is one unit.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+
 
 def byte_letters() -> dict[int, int]:
     """Byte-level spelling: printable bytes stand for themselves, the others for
@@ -118,19 +121,28 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.merges = Merges(path)
+        self.ends: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.old.get(word)
         if got is None:
-            text = word.decode("utf-8")
-            if (text.isascii() or SIMPLE.fullmatch(text)) and not any(x in text for x in self.special):
-                unit = self.merges.unit
-                got = b"".join([unit(u.encode()) for u in UNITS.findall(text.lower())])
+            unit, head = self.merges.unit, word.rstrip(MARKS)
+            if head.isalpha():  # ASCII letters, and perhaps a unit of marks
+                end = word[len(head) :]
+                if end not in self.ends:
+                    self.ends[end] = unit(end)
+                got = unit(head.lower()) + self.ends[end]
+                if len(self.ends) > 10_000:
+                    self.ends = {b"": b""}
             else:
-                got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                text = word.decode("utf-8")
+                if (text.isascii() or SIMPLE.fullmatch(text)) and not self.special.search(text):
+                    got = b"".join([unit(u.encode()) for u in UNITS.findall(text.lower())])
+                else:
+                    got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = got
         return got
 
