@@ -15,25 +15,44 @@ from .common import discard, staged
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (smallest node reachable) of every node with an edge.
 
-    Labels fall to the smallest one next to them and then jump to that one's
-    label, so a path of length n takes about log n rounds.  Every round is an
-    equi-join and a min with map-side combining, written to the shared folder;
-    joins read written tables, so skewed nodes can be split.  No edges: no rows.
+    Every node hooks to its smallest neighbour, chains of hooks are followed by
+    jumping, and the edges between the trees that this makes are the next round's,
+    with a tree's smallest node in place of its nodes.  A round at least halves
+    the nodes, so there are about log n, on ever fewer edges; what repeats is
+    aggregation with map-side combining and equi-joins of written tables, so
+    skewed nodes can be split.  No edges: no rows.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = staged(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    # each pair once, the larger node first
+    left = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    left, names = staged(left, "edges"), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        low = staged(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "low")
-        up = low.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        nxt = staged(low.join(up, F.col("label") == F.col("n")).select("node", "was", F.least("label", "l").alias("label")), "labels")
-        moved = nxt.where("label <> was").limit(1).count()
-        discard(labels, low)
-        labels = nxt
-        if not moved:
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+        both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
+        hooks = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "hooks")
+        while True:
+            once, twice = (hooks.select(F.col("node").alias(f"n{i}"), F.col("label").alias(f"l{i}")) for i in (1, 2))
+            jumped = hooks.join(once, F.col("label") == F.col("n1")).join(twice, F.col("l1") == F.col("n2"))
+            jumped = staged(jumped.select("node", F.col("label").alias("was"), F.col("l2").alias("label")), "hooks")
+            moved = jumped.where("label <> was").limit(1).count()
+            discard(hooks)
+            hooks = jumped.select("node", "label")
+            hooks._staged_path = jumped._staged_path  # noqa: SLF001
+            if not moved:
+                break
+        x, y = (hooks.select(F.col("node").alias(f"n{i}"), F.col("label").alias(f"l{i}")) for i in (1, 2))
+        between = left.join(x, F.col("a") == F.col("n1")).join(y, F.col("b") == F.col("n2")).where("l1 <> l2")
+        between = staged(between.select(F.greatest("l1", "l2").alias("a"), F.least("l1", "l2").alias("b")).distinct(), "edges")
+        if names is None:
+            whole = hooks
+        else:  # nodes of earlier rounds take the label of their label
+            up = hooks.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
+            whole = staged(names.join(up, F.col("label") == F.col("n1"), "left").select("node", F.coalesce("l1", "label").alias("label")), "labels")
+            discard(names, hooks)
+        names = whole
+        done = not between.limit(1).count()
+        discard(left, *([between] if done else []))
+        left = between
+        if done:
+            return names.select("node", F.col("label").alias("component"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int = 0, most_rows: int | None = None) -> Iterator[tuple[object, pa.Table]]:

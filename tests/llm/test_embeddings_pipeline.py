@@ -97,6 +97,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 120), (120, 110), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 110: 100, 120: 100}
+    g = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in g.integers(0, 300, (220, 2))]  # several rounds
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = embedding_join.spanned(300, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
+    assert got == {n: int(label[n]) for e in edges for n in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
