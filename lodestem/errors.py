@@ -48,3 +48,32 @@ def resolve_k(k: int, n: int, strict: bool = False) -> int:
     if k > n and strict:
         raise RankOutOfRange(f"k = {k} exceeds the {n} candidates")
     return min(k, n)
+
+
+def check_finite(values, what: str = "value"):
+    """The values, if every one is a finite number."""
+    values = list(values)
+    for i, v in enumerate(values):
+        if v is None or v != v or v in (float("inf"), float("-inf")):
+            raise BadData(f"{what} {i} is not finite: {v!r}")
+    return values
+
+
+def check_non_negative(values, what: str = "value"):
+    """The values, if none is below zero."""
+    values = check_finite(values, what)
+    for i, v in enumerate(values):
+        if v < 0:
+            raise BadData(f"{what} {i} is negative: {v!r}")
+    return values
+
+
+def check_unique(values, what: str = "id"):
+    """The values, if none occurs twice."""
+    values = list(values)
+    seen = set()
+    for v in values:
+        if v in seen:
+            raise DuplicateId(f"{what} {v!r} occurs twice")
+        seen.add(v)
+    return values

@@ -81,6 +81,11 @@ def smoothed_idf(df: int, n: int, exact: bool = True) -> float:
     return (log_ratio(1 + n, 1 + df) if exact else math.log((1 + n) / (1 + df))) + 1.0
 
 
+def delta_idf(df: int, df_after: int, n: int, n_after: int, exact: bool = True) -> float:
+    """What an edit of the corpus does to a smoothed idf."""
+    return smoothed_idf(df_after, n_after, exact) - smoothed_idf(df, n, exact)
+
+
 def bits(x: float) -> int:
     return struct.unpack("<q", struct.pack("<d", x))[0]
 
@@ -90,7 +95,37 @@ def ulps_between(a: float, b: float) -> int:
     return abs(key(a) - key(b))
 
 
+def ulp(x: float) -> float:
+    return math.ulp(x)
+
+
+def same_bits(a: float, b: float) -> bool:
+    return bits(a) == bits(b)
+
+
+def unit(values: list[float]) -> list[float]:
+    """The vector over its length; a zero vector has none and raises."""
+    length = math.sqrt(naive(v * v for v in values))
+    if length == 0.0:
+        raise ValueError("a zero vector has no direction")
+    return [v / length for v in values]
+
+
 # -------------------------------------------------------------- columns
+def bits_column(value: Column) -> Column:
+    """The 64 bits of a double as a bigint, as ``bits`` has them (every NaN as
+    the canonical one): two columns are equal bit for bit if these are."""
+    return F.conv(F.hex(_big_endian(value)), 16, -10).cast("long")
+
+
+def _big_endian(value: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else struct.pack(">d", x))
+
+    return run(value)
+
+
 def fold(entries: Column, value: str = "x") -> Column:
     """Left fold from 0.0 over an array of structs, sorted by the structs."""
     return F.aggregate(F.sort_array(entries), F.lit(0.0), lambda a, e: a + e[value])

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numerics import Reduction, exact_mean
+from ..errors import BadConfig
+from ..functions.numerics import Reduction, bits_column, exact_mean
 from .distances import compare_top_k, top_lists
 from .model import Model
-from .ranking import gaps, sort_keys
+from .ranking import sort_keys
 from .scoring import touched_scores
-from .ties import chains
+from .ties import chains, run_gaps, score_runs
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 RATIOS = (0.25, 0.5, 0.9, 0.99, 1.0, 1.01, 1.1, 2.0, 5.0, 20.0)
@@ -31,11 +32,12 @@ def summarise(rows: DataFrame, value: str, by: list[str] | None = None, percenti
     return out.withColumn("share_zero", F.when(defined > 0, F.col("n_zero") / F.when(defined > 0, defined)))
 
 
-def ablate(ranks: DataFrame, ks: tuple[int, ...], others: tuple[str, ...] = ("pi_score", "pi_alt")) -> DataFrame:
+def ablate(ranks: DataFrame, ks: tuple[int, ...], others: tuple[str, ...] = ("pi_score", "pi_alt"), n_candidates: int | None = None) -> DataFrame:
     """``query_id, pair, k, k_effective`` and all list distances of each other
     operator against ``pi``.  Where k exceeds the candidates it is clamped, and
-    the clamped rows say so in ``k_effective``."""
-    n = ranks.groupBy("query_id").agg(F.count("*").alias("n"))
+    the clamped rows say so in ``k_effective``.  Ranks cut to the best of each
+    operator (``top_all``) need the number of candidates."""
+    n = ranks.groupBy("query_id").agg((F.count("*") if n_candidates is None else F.lit(n_candidates).cast("long")).alias("n"))
     out = None
     for o in others:
         d = compare_top_k(top_lists(ranks, "rnk_pi", f"rnk_{o}", ks))
@@ -52,7 +54,8 @@ def disagreement_rate(pairs: DataFrame) -> DataFrame:
 
 
 def bands(tau: float) -> list[tuple[str, float, float]]:
-    """Decades around tau, each open below and closed above."""
+    """Decades around tau, each open below and closed above.  The labels are
+    fixed values."""
     edges = [(0.0, "0"), (tau / 100, "tau/100"), (tau / 10, "tau/10"), (tau, "tau"), (tau * 10, "10*tau"), (tau * 100, "100*tau"), (math.inf, "inf")]
     return [(f"({a[1]}, {b[1]}{')' if b[0] == math.inf else ']'}", a[0], b[0]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -80,9 +83,11 @@ def stratify(margin_rows: DataFrame, pairs: DataFrame, tau: float, ks: tuple[int
     return grid.join(got, ["band", "k"], "left").select("band", "k", F.coalesce("n", zero).alias("n"), F.coalesce("n_disagree", zero).alias("n_disagree"), "mean_fks", "mean_jaccard")
 
 
-def noise_floor(model: Model, query_vectors: DataFrame) -> DataFrame:
+def noise_floor(model: Model, query_vectors: DataFrame, n_queries: int | None = None) -> DataFrame:
     """Per reduction policy against exactly rounded sums: scores compared, that
-    differ, largest difference.  Norms are recomputed under each policy."""
+    differ, largest difference, and that in units of the last place.  Norms are
+    recomputed under each policy.  With ``n_queries``, every pair of a query and
+    a document counts as compared: those without a common term are 0 either way."""
     exact = touched_scores(model, query_vectors, Reduction.EXACT).withColumnRenamed("score", "exact")
     out = None
     from .model import norms
@@ -91,7 +96,9 @@ def noise_floor(model: Model, query_vectors: DataFrame) -> DataFrame:
         own = Model(model.vocab, model.weights, norms(model.weights, reduction=policy), model.n_documents, policy)
         d = touched_scores(own, query_vectors, policy).join(exact, ["query_id", "doc_id"])
         gap = F.abs(F.col("score") - F.col("exact"))
-        row = d.agg(F.count("*").alias("n_compared"), F.count_if(gap > 0).alias("n_differing"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_abs")).withColumn("policy", F.lit(policy.value))
+        compared = F.count("*") if n_queries is None else F.lit(n_queries * model.n_documents).cast("long")
+        ulps = F.coalesce(F.max(F.abs(bits_column(F.col("score")) - bits_column(F.col("exact")))), F.lit(0)).cast("long")
+        row = d.agg(compared.alias("n_compared"), F.count_if(gap > 0).alias("n_differing"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_abs"), ulps.alias("max_ulps")).withColumn("policy", F.lit(policy.value))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -103,41 +110,53 @@ def tau_floor(floor: DataFrame) -> float:
 
 def tau_band(ranking: DataFrame, floor: float) -> DataFrame:
     """One row: the interval between arithmetic noise and the smallest positive
-    gap, with the counts that back it."""
-    g = gaps(ranking)
-    out = g.agg(F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("g_min"), F.count_if(F.col("gap") == 0).alias("n_exact_ties"), F.count_if(F.col("gap") > 0).alias("n_positive_gaps"))
-    inf, f = F.lit(float("inf")), F.lit(float(floor))
-    out = out.withColumn("g_min", F.coalesce("g_min", inf)).withColumn("tau_floor", f)
+    gap, with the counts that back it, and whether any observed gap lies inside
+    it.  Takes a ranking, or its ``score_runs``."""
+    runs = score_runs(ranking)
+    g, f = run_gaps(runs), F.lit(float(floor))
+    ties = runs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_exact_ties"))
+    inf = F.lit(float("inf"))
+    out = g.agg(F.coalesce(F.min("gap"), inf).alias("g_min"), F.count("*").alias("n_positive_gaps"), F.count_if(F.col("gap") <= f).alias("n_below_floor")).join(ties, F.lit(True))
+    inside = g.join(out.select("g_min"), F.lit(True)).agg(F.count_if((F.col("gap") > f) & (F.col("gap") < F.col("g_min"))).alias("n_gaps_in_band"))
+    out = out.join(inside, F.lit(True)).withColumn("tau_floor", f)
     valid = F.col("tau_floor") < F.col("g_min")
     ratio = F.col("g_min") / F.when(F.col("tau_floor") > 0, F.col("tau_floor"))
     display = F.when(F.col("g_min") == inf, F.col("tau_floor")).when(F.col("tau_floor") <= 0, F.col("g_min") / 2).otherwise(F.sqrt(F.col("tau_floor") * F.col("g_min")))
-    # every positive gap is at least g_min, so none lies inside the band
-    return out.withColumn("n_gaps_in_band", F.lit(0).cast("long")).withColumn("is_valid", valid).withColumn("is_invariant", valid).withColumn("decades", F.when(valid & (F.col("tau_floor") > 0), F.log10(ratio))).withColumn("display_tau", F.when(valid, display))
+    return (
+        out.withColumn("is_valid", valid)
+        .withColumn("is_invariant", valid & (F.col("n_gaps_in_band") == 0))
+        .withColumn("decades", F.when(valid & (F.col("tau_floor") > 0), F.log10(ratio)))
+        .withColumn("display_tau", F.when(valid, display))
+    )
+
 
+def band_probes(ranking: DataFrame, floor: float, g_min: float, probes: int = 8) -> list[float]:
+    """Thresholds that can tell whether chains change within ``[floor, g_min)``.
 
-def band_probes(floor: float, g_min: float, probes: int = 8) -> list[float]:
-    """Thresholds spread evenly over the decades of the band."""
+    Chains are a step function of the threshold that only steps at observed gaps.
+    So the floor, the gaps inside the band (the smallest ``probes`` of them) and,
+    where there is none, a point between the band's ends say all there is.
+    """
     if probes < 1:
-        raise ValueError("at least one probe")
-    upper = g_min if math.isfinite(g_min) else max(floor, 1.0) * 1e6
-    lower = floor if floor > 0 else min(upper, 1.0) * 1e-300
-    a, b = math.log10(lower), math.log10(upper)
-    taus = [lower] if probes == 1 else [10.0 ** (a + (b - a) * i / (probes - 1)) for i in range(probes)]
-    if math.isfinite(g_min):
-        taus[-1] = math.nextafter(g_min, 0.0)
-    return taus + ([0.0] if floor <= 0 else [])
+        raise BadConfig("at least one probe")
+    runs = score_runs(ranking)
+    found = run_gaps(runs).where((F.col("gap") > floor) & (F.col("gap") < g_min)).select("gap").distinct().orderBy("gap").limit(probes).collect()
+    steps = [r["gap"] for r in found]
+    if not steps:
+        steps = [floor + 1.0 if math.isinf(g_min) else floor + (g_min - floor) / 2]
+    return [floor, *steps]
 
 
 def is_band_invariant(ranking: DataFrame, floor: float, g_min: float, probes: int = 8) -> bool:
-    """Do all probes across the band give the same chains?"""
-    seen = None
-    for tau in band_probes(floor, g_min, probes):
-        shape = chains(ranking, tau).agg(F.count("*").alias("n"), F.sum(F.xxhash64("query_id", "lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        if seen is None:
-            seen = shape
-        elif shape != seen:
-            return False
-    return True
+    """Do chains stay the same all over the band?"""
+    runs = score_runs(ranking)
+    shapes = None
+    for tau in band_probes(runs, floor, g_min, probes):
+        one = chains(runs, tau).select("query_id", "lo", "hi", F.lit(tau).alias("tau"))
+        shapes = one if shapes is None else shapes.unionByName(one)
+    # a chain of every probe is a chain of all of them
+    n = shapes.select("tau").distinct().count()
+    return not shapes.groupBy("query_id", "lo", "hi").agg(F.count("*").alias("n")).where(F.col("n") < n).head(1)
 
 
 def _draw(*keys: Column) -> Column:

@@ -6,6 +6,7 @@ has one row per key.  Pair counts self-join lists of at most k items.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,26 +25,31 @@ def aligned(lists: DataFrame) -> DataFrame:
     return lists.groupBy("key", "item").agg(F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("pa"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("pb"))
 
 
+def count_inversions(values: np.ndarray) -> int:
+    """Pairs out of order: sorted blocks of doubling width are merged, all of a
+    width at once, and every element of a right block counts the larger ones of
+    the block to its left."""
+    x = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    n, total, width = len(x), 0, 1
+    at = np.arange(n)
+    while width < n:
+        pair = at // (2 * width)
+        key = pair * (n + 1) + x
+        left = at // width % 2 == 0
+        lefts = key[left]
+        ends = np.searchsorted(lefts, (pair[~left] + 1) * (n + 1))
+        total += int((ends - np.searchsorted(lefts, key[~left], side="right")).sum())
+        x = x[np.argsort(key, kind="stable")]
+        width *= 2
+    return total
+
+
 def inversions(seq: DataFrame, key: str = "key", order: str = "i", value: str = "x") -> DataFrame:
-    """Pairs out of order per key, counted by merging in Arrow batches."""
-
-    def count(xs: list) -> tuple[list, int]:
-        if len(xs) < 2:
-            return xs, 0
-        mid = len(xs) // 2
-        (left, a), (right, b) = count(xs[:mid]), count(xs[mid:])
-        out, n, i = [], a + b, 0
-        for r in right:
-            while i < len(left) and left[i] <= r:
-                out.append(left[i])
-                i += 1
-            n += len(left) - i
-            out.append(r)
-        return out + left[i:], n
+    """Pairs out of order per key, counted in Arrow batches."""
 
     @F.pandas_udf("long")
     def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda xs: count(list(xs))[1])
+        return arrays.map(lambda xs: count_inversions(np.asarray(xs)))
 
     got = seq.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda e: e[value]).alias("xs"))
     return got.select(key, run("xs").alias("inversions"))
@@ -66,45 +72,56 @@ def _kendall(both: DataFrame) -> DataFrame:
     return n.join(bad, "key", "left").select("key", "n", d.alias("discordant"), F.when(F.col("n") < 2, 0.0).otherwise(d / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"))
 
 
-def kendall_fks(lists: DataFrame, p: float = PENALTY) -> DataFrame:
-    """``key, fks_raw, fks``: generalised Kendall distance over the union of two
-    top-k lists, raw and divided by its largest value for the longer list."""
-    both = aligned(lists)
-    x, y = both, both.select("key", F.col("item").alias("item2"), F.col("pa").alias("qa"), F.col("pb").alias("qb"))
-    c = F.col
-    has = lambda n: c(n).isNotNull()
+def _pair_cost(p: float) -> tuple[Column, Column]:
+    """Of the pair ``x, y`` of aligned items: its generalised Kendall cost, and
+    whether both lists hold both items and disagree."""
+    xa, xb, ya, yb = (F.col(c) for c in ("x.pa", "x.pb", "y.pa", "y.pb"))
+    has = lambda c: c.isNotNull()
+    in_a, in_b = has(xa) & has(ya), has(xb) & has(yb)
     # one list holds both, the other exactly one: it must be the one ahead
-    one_b = F.when(has("pb"), c("qa") < c("pa")).otherwise(c("pa") < c("qa"))
-    one_a = F.when(has("pa"), c("qb") < c("pb")).otherwise(c("pb") < c("qb"))
-    in_a, in_b = has("pa") & has("qa"), has("pb") & has("qb")
+    one_b = F.when(has(xb), ya < xa).otherwise(xa < ya)
+    one_a = F.when(has(xa), yb < xb).otherwise(xb < yb)
+    apart = in_a & in_b & ((xa < ya) != (xb < yb))
     cost = (
-        F.when(in_a & in_b, ((c("pa") < c("qa")) != (c("pb") < c("qb"))).cast("double"))
-        .when(in_a & (has("pb") | has("qb")), one_b.cast("double"))
-        .when(in_b & (has("pa") | has("qa")), one_a.cast("double"))
+        F.when(in_a & in_b, apart.cast("double"))
+        .when(in_a & (has(xb) | has(yb)), one_b.cast("double"))
+        .when(in_b & (has(xa) | has(ya)), one_a.cast("double"))
         .when(in_a | in_b, F.lit(float(p)))
         .otherwise(1.0)
     )
-    total = x.join(y, "key").where("item < item2").groupBy("key").agg(F.sum(cost).alias("raw"))
-    size = both.groupBy("key").agg(F.greatest(F.count("pa"), F.count("pb")).alias("k"))
-    raw, top = F.coalesce("raw", F.lit(0.0)), fks_max(F.col("k"), p)
-    return size.join(total, "key", "left").select("key", raw.alias("fks_raw"), F.when(top > 0, raw / top).otherwise(0.0).alias("fks"))
+    return F.when(F.col("y").isNull(), 0.0).otherwise(cost), F.when(F.col("y").isNull(), 0).otherwise(F.coalesce(apart, F.lit(False)).cast("int"))
+
+
+def _measured(lists: DataFrame, p: float) -> DataFrame:
+    """Per key: sizes, the sum of pair costs and the discordant common pairs.  A
+    key's items, at most two lists of k, are one array; its pairs come from
+    exploding it against its own rest, so nothing is joined."""
+    sizes = [F.count("pa").alias("n_a"), F.count("pb").alias("n_b"), F.count_if(F.col("pa").isNotNull() & F.col("pb").isNotNull()).alias("intersection_size"), F.count("*").alias("union_size")]
+    kept = ["key", "n_a", "n_b", "intersection_size", "union_size"]
+    whole = aligned(lists).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "pa", "pb"))).alias("xs"), *sizes)
+    one = whole.select(*kept, "xs", F.posexplode("xs").alias("i", "x"))
+    pairs = one.select(*kept, "x", F.explode_outer(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y"))
+    cost, apart = _pair_cost(p)
+    return pairs.groupBy(*kept).agg(F.sum(cost).alias("fks_raw"), F.sum(apart).alias("discordant"))
+
+
+def kendall_fks(lists: DataFrame, p: float = PENALTY) -> DataFrame:
+    """``key, fks_raw, fks``: generalised Kendall distance over the union of two
+    top-k lists, raw and divided by its largest value for the longer list."""
+    top = fks_max(F.greatest("n_a", "n_b"), p)
+    return _measured(lists, p).select("key", "fks_raw", F.when(top > 0, F.col("fks_raw") / top).otherwise(0.0).alias("fks"))
 
 
 def compare_top_k(lists: DataFrame, p: float = PENALTY) -> DataFrame:
     """All measures of two top-k lists per key.  ``kendall_intersection`` is null
     with fewer than two common items."""
-    both = aligned(lists)
-    size = both.groupBy("key").agg(
-        F.count("pa").alias("n_a"), F.count("pb").alias("n_b"), F.count_if(F.col("pa").isNotNull() & F.col("pb").isNotNull()).alias("intersection_size"), F.count("*").alias("union_size")
-    )
-    common = _kendall(both.where("pa is not null and pb is not null"))
-    out = size.join(kendall_fks(lists, p), "key").join(common.select("key", F.when(F.col("n") >= 2, F.col("tau")).alias("kendall_intersection")), "key", "left")
-    odd = F.col("union_size") - F.col("intersection_size")
-    return (
-        out.withColumn("sets_differ", odd > 0)
-        .withColumn("jaccard", F.when(F.col("union_size") == 0, 0.0).otherwise(1 - F.col("intersection_size") / F.col("union_size")))
-        .withColumn("swapped", F.floor(odd / 2))
-    )
+    n = F.col("intersection_size")
+    top, odd = fks_max(F.greatest("n_a", "n_b"), p), F.col("union_size") - n
+    return _measured(lists, p).select(
+        "key", "n_a", "n_b", "intersection_size", "union_size", "fks_raw", F.when(top > 0, F.col("fks_raw") / top).otherwise(0.0).alias("fks"),
+        F.when(n >= 2, F.col("discordant") / (n * (n - 1) / 2)).alias("kendall_intersection"), (odd > 0).alias("sets_differ"),
+        F.when(F.col("union_size") == 0, 0.0).otherwise(1 - n / F.col("union_size")).alias("jaccard"), F.floor(odd / 2).alias("swapped"),
+    )
 
 
 def top_lists(ranks: DataFrame, a: str, b: str, ks: tuple[int, ...]) -> DataFrame:

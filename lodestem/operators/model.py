@@ -47,12 +47,16 @@ class Model:
         return hashlib.sha256("".join(r["d"] for r in got).encode()).hexdigest()
 
 
-def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``doc_id, token, cnt, tf, weight``: tf over the in-vocabulary length."""
+def weigh(counts: DataFrame, vocab: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, token, cnt, tf, weight``: tf over the in-vocabulary length.  Where
+    the vocabulary is ``whole``, that is the number of features, which ``counts``
+    carries as ``length``; else the known ones are added up."""
     known = counts.join(vocab.select("token", "idf"), "token")
-    length = known.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+    if not whole:
+        length = known.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+        known = known.drop("length").join(length, "doc_id")
     tf = F.col("cnt") / F.col("length")
-    return known.join(length, "doc_id").select("doc_id", "token", "cnt", tf.alias("tf"), (tf * F.col("idf")).alias("weight"))
+    return known.select("doc_id", "token", "cnt", tf.alias("tf"), (tf * F.col("idf")).alias("weight"))
 
 
 def norms(weights: DataFrame, key: str = "doc_id", reduction: Reduction = Reduction.NAIVE) -> DataFrame:
@@ -71,9 +75,9 @@ def fit(docs: DataFrame, cfg: VocabularyConfig = VocabularyConfig(), features_co
             raise EmptyCorpus("no documents")
         if ids.groupBy("doc_id").count().where("count > 1").head(1):
             raise DuplicateId("document ids must be unique")
-    counts = keep(term_counts(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(features_col).alias("features"))))
+    counts = keep(term_counts(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(features_col).alias("features")), lengths=True))
     vocab = keep(with_idf(vocabulary(counts, n, cfg, check), n, exact=exact_log))
-    weights = keep(weigh(counts, vocab))
+    weights = keep(weigh(counts, vocab, cfg.keeps_all()))
     known = norms(weights, reduction=reduction)
     stats = keep(ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("norm", F.lit(0.0)).alias("norm")))
     return Model(vocab, weights, stats, n, reduction, cfg)

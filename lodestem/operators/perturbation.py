@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateId
 from ..functions.numerics import ordered_sum
-from .model import Model
-from .scoring import touched_scores
+from .model import Model, embed, fit
+from .scoring import BOUND_SLACK, touched_scores
 
 
 # ------------------------------------------------------------------ edits
@@ -113,7 +115,7 @@ def vector_shift(before: Model, after: Model) -> DataFrame:
     sq = F.col("shared_shift") ** 2 + F.col("gained_mass") ** 2 + F.col("lost_mass") ** 2
     o2 = F.col("observed") ** 2
     return (
-        out.withColumn("holds", F.col("observed") <= F.col("total") * (1 + 1e-9) + 1e-12)
+        out.withColumn("holds", F.col("observed") <= F.col("total") * (1 + BOUND_SLACK[0]) + BOUND_SLACK[1])
         .withColumn("tightness", F.when(F.col("total") > 0, F.col("observed") / F.when(F.col("total") > 0, F.col("total"))))
         .withColumn("dominant", F.when(F.col("total") > 0, name))
         .withColumn("pythagoras_holds", F.abs(o2 - sq) <= 1e-9 * F.greatest(F.lit(1.0), o2))
@@ -127,7 +129,8 @@ def dominant_terms(shift: DataFrame) -> DataFrame:
 
 def score_shift(before: Model, after: Model, query_before: DataFrame, query_after: DataFrame) -> DataFrame:
     """``query_id, doc_id, score_before, score_after, shift`` over documents of
-    both models, the query embedded in each; untouched documents score 0."""
+    both models that share a term with the query in one of them, the query
+    embedded in each; all others score 0 on both sides and are left out."""
     s = touched_scores(before, query_before).withColumnRenamed("score", "score_before")
     t = touched_scores(after, query_after).withColumnRenamed("score", "score_after")
     kept = before.stats.select("doc_id").join(after.stats.select("doc_id"), "doc_id")
@@ -137,6 +140,35 @@ def score_shift(before: Model, after: Model, query_before: DataFrame, query_afte
     return out.withColumn("shift", F.abs(F.col("score_after") - F.col("score_before")))
 
 
+def all_bounds_hold(shift: DataFrame) -> bool:
+    return not shift.where(~F.col("holds")).head(1)
+
+
+@dataclass(frozen=True)
+class PerturbationReport:
+    """One edit of the corpus, seen from both models."""
+
+    alignment: DataFrame
+    vectors: DataFrame
+    scores: DataFrame
+
+    def summary(self) -> DataFrame:
+        """One row: idf and score moves, and whether every bound holds."""
+        i = idf_shift(self.alignment).select("linf", "linf_shared", "n_shared", "n_gained", "n_lost")
+        s = self.scores.agg(F.coalesce(F.max("shift"), F.lit(0.0)).alias("max_score_shift"))
+        v = self.vectors.agg(F.count("*").alias("n_documents"), F.coalesce(F.bool_and("holds"), F.lit(True)).alias("all_bounds_hold"), F.coalesce(F.max("observed"), F.lit(0.0)).alias("max_vector_shift"))
+        return i.join(s, F.lit(True)).join(v, F.lit(True))
+
+    def dominant(self) -> DataFrame:
+        return dominant_terms(self.vectors)
+
+
+def run_perturbation(before: DataFrame, after: DataFrame, queries: DataFrame, features_col: str = "features", fit_with=fit) -> PerturbationReport:
+    """Fit both sides, embed the queries in each, and compare by id."""
+    a, b = fit_with(before, features_col=features_col), fit_with(after, features_col=features_col)
+    return PerturbationReport(align(a.vocab, b.vocab), vector_shift(a, b), score_shift(a, b, embed(a, queries, features_col), embed(b, queries, features_col)))
+
+
 def certified_stable(certificates: DataFrame, shifts: DataFrame) -> DataFrame:
     """Per query and k: did the largest move stay below the certified radius?
     Null where nothing is certified."""

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.numerics import Reduction, ordered_sum
 from .model import Model, norms
 
+# What evaluating a bound itself may lose, relative and absolute.
+BOUND_SLACK = (1e-12, 1e-15)
+
 
 def cosine_of(dot: Column, norm_a: Column, norm_b: Column) -> Column:
     """``dot / (a * b)``, not clamped; 0 where a norm (or their product) is 0."""
@@ -57,15 +60,39 @@ def cosine_pairs(model: Model) -> DataFrame:
     return d.join(na, "a").join(nb, "b").select("a", "b", cosine_of(F.col("dot"), F.col("na"), F.col("nb")).alias("score"))
 
 
-def lipschitz(pairs: DataFrame, nu: str = "nu", nv: str = "nv", nu2: str = "nu2", nv2: str = "nv2", du: str = "du", dv: str = "dv") -> DataFrame:
+def lipschitz(pairs: DataFrame, nu: str = "nu", nv: str = "nv", nu2: str = "nu2", nv2: str = "nv2", du: str = "du", dv: str = "dv", before: str | None = None, after: str | None = None) -> DataFrame:
     """Append the bounds on how far a cosine moves when ``u, v`` move by ``du,
     dv`` (norms of the differences): with the smallest of the four norms, and the
-    tighter one; null unless all four norms are positive."""
+    tighter one; null unless all four norms are positive.  With the cosines
+    ``before`` and ``after``, also the ``observed`` move, whether both bounds
+    hold up to the rounding of the bounds themselves, and how much of the tight
+    one is used."""
     c = F.col
     ok = (c(nu) > 0) & (c(nv) > 0) & (c(nu2) > 0) & (c(nv2) > 0)
     least = F.least(nu, nv, nu2, nv2)
     tight = F.when(ok, 2 * c(du) / (c(nu) + c(nu2)) + 2 * c(dv) / (c(nv) + c(nv2)))
-    return pairs.withColumn("min_norm", F.when(ok, least)).withColumn("constant", F.when(ok, 1 / least)).withColumn("uniform", F.when(ok, (c(du) + c(dv)) / least)).withColumn("tight", tight)
+    out = pairs.withColumn("min_norm", F.when(ok, least)).withColumn("constant", F.when(ok, 1 / least)).withColumn("uniform", F.when(ok, (c(du) + c(dv)) / least)).withColumn("tight", tight)
+    if before is None or after is None:
+        return out
+    out = out.withColumn("observed", F.when(ok, F.abs(c(after) - c(before))))
+    slack = F.greatest(F.lit(1.0), "uniform") * BOUND_SLACK[0] + BOUND_SLACK[1]
+    return out.withColumn("holds", (c("observed") <= c("uniform") + slack) & (c("observed") <= c("tight") + slack)).withColumn("tightness", F.when(ok, F.coalesce(F.try_divide(c("observed"), c("tight")), F.lit(0.0))))
+
+
+def difference_norms(before: DataFrame, after: DataFrame, key: str = "doc_id", reduction: Reduction = Reduction.NAIVE) -> DataFrame:
+    """``key, difference``: length of the difference of two sparse vectors, over
+    the tokens of both, added in token order; vectors that only one side has are
+    as long as they are."""
+    a = before.select(key, "token", F.col("weight").alias("__a"))
+    b = after.select(key, "token", F.col("weight").alias("__b"))
+    d = F.coalesce("__b", F.lit(0.0)) - F.coalesce("__a", F.lit(0.0))
+    return a.join(b, [key, "token"], "full_outer").groupBy(key).agg(F.sqrt(ordered_sum(F.col("token"), d * d, reduction)).alias("difference"))
+
+
+def units(vectors: DataFrame, key: str = "doc_id", reduction: Reduction = Reduction.NAIVE) -> DataFrame:
+    """``key, token, weight`` of the unit vectors; zero vectors have none."""
+    n = norms(vectors, key, reduction).where("norm > 0").select(key, "norm")
+    return vectors.join(n, key).select(key, "token", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
 def corpus_lipschitz(weights: DataFrame) -> DataFrame:

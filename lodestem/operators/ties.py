@@ -23,14 +23,52 @@ def check_tau(tau: float) -> float:
     return float(tau)
 
 
+def score_runs(ranking: DataFrame, query_ids: DataFrame | None = None, n_documents: int = 0) -> DataFrame:
+    """``query_id, score, n``: how often each query has each score.  With
+    ``query_ids``, the rows are the touched scores only, and the other documents
+    of each query are one run of score 0."""
+    if "n" in ranking.columns:
+        return ranking
+    runs = ranking.groupBy("query_id", "score").agg(F.count("*").alias("n"))
+    if query_ids is None:
+        return runs
+    seen = runs.groupBy("query_id").agg(F.sum("n").alias("seen"))
+    rest = query_ids.select("query_id").distinct().join(seen, "query_id", "left")
+    rest = rest.select("query_id", F.lit(0.0).alias("score"), (F.lit(n_documents) - F.coalesce("seen", F.lit(0))).alias("n")).where("n > 0")
+    return runs.unionByName(rest).groupBy("query_id", "score").agg(F.sum("n").alias("n"))
+
+
+def run_gaps(runs: DataFrame) -> DataFrame:
+    """``query_id, rnk, gap`` of neighbouring scores that differ; neighbours
+    within a run have gap 0, ``n - 1`` times."""
+    w = W.partitionBy("query_id").orderBy(F.desc("score"))
+    rows = runs.withColumn("rnk", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("gap", F.col("score") - F.lead("score").over(w))
+    return rows.where("gap is not null").select("query_id", "rnk", "gap")
+
+
+def every_gap(runs: DataFrame) -> DataFrame:
+    """``query_id, rnk, gap`` to the next rank, for every rank but the last."""
+    w = W.partitionBy("query_id").orderBy(F.desc("score"))
+    rows = runs.withColumn("hi", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.col("score") - F.lead("score").over(w))
+    rows = rows.select("query_id", "hi", "next", F.explode(F.sequence(F.col("hi") - F.col("n") + 1, "hi")).alias("rnk"))
+    return rows.select("query_id", "rnk", F.when(F.col("rnk") < F.col("hi"), F.lit(0.0)).otherwise(F.col("next")).alias("gap")).where("gap is not null")
+
+
+def closest(gaps: DataFrame, limit: int) -> DataFrame:
+    """The smallest positive gaps: by gap, then rank, then query."""
+    return gaps.where("gap > 0").orderBy("gap", "rnk", "query_id").limit(limit)
+
+
 def chains(ranking: DataFrame, tau: float) -> DataFrame:
-    """``query_id, chain, lo, hi`` (0-based, half-open): maximal runs whose
-    neighbours are near.  Gaps and islands over one window."""
+    """``query_id, chain, lo, hi`` (0-based, half-open): maximal runs of ranks
+    whose neighbours are near.  Gaps and islands over one window of distinct
+    scores; takes a ranking, or its ``score_runs``."""
     check_tau(tau)
-    w = W.partitionBy("query_id").orderBy("rnk")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
     cut = F.when(F.coalesce(F.lag("score").over(w) - F.col("score") > tau, F.lit(False)), 1).otherwise(0)
-    marked = ranking.withColumn("__cut", cut).withColumn("chain", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy("query_id", "chain").agg((F.min("rnk") - 1).alias("lo"), F.max("rnk").alias("hi"))
+    marked = score_runs(ranking).withColumn("__cut", cut).withColumn("hi", F.sum("n").over(upto)).withColumn("chain", F.sum("__cut").over(upto))
+    return marked.groupBy("query_id", "chain").agg(F.min(F.col("hi") - F.col("n")).alias("lo"), F.max("hi").alias("hi"))
 
 
 def reach(scores: np.ndarray, tau: float) -> np.ndarray:
@@ -50,10 +88,10 @@ def reach(scores: np.ndarray, tau: float) -> np.ndarray:
 
 
 def _per_query(ranking: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(sorted scores) -> DataFrame`` for each query's score array.  Queries
-    are short lists of candidates; equal scores of a query arrive as counts, so
-    the block of untouched documents is one entry."""
-    runs = ranking.groupBy("query_id", "score").agg(F.count("*").alias("n"))
+    """``fn(sorted scores) -> DataFrame`` for each query's score array.  Equal
+    scores of a query arrive as counts, so the block of untouched documents is
+    one entry."""
+    runs = score_runs(ranking)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ascending=False)
@@ -98,7 +136,7 @@ def tie_report(ranking: DataFrame, tau: float) -> DataFrame:
     rho, and the two warning conditions."""
     c = chains(ranking, tau).groupBy("query_id").agg(F.count("*").alias("n_chains"), F.max(F.col("hi") - F.col("lo")).alias("largest_chain"))
     q = cliques(ranking, tau).groupBy("query_id").agg(F.count("*").alias("n_cliques"), F.max(F.col("hi") - F.col("lo")).alias("largest_clique"))
-    s = ranking.groupBy("query_id").agg((F.max("score") - F.min("score")).alias("range"))
+    s = score_runs(ranking).groupBy("query_id").agg((F.max("score") - F.min("score")).alias("range"))
     rho = F.col("largest_chain") / F.col("largest_clique")
     out = c.join(q, "query_id").join(s, "query_id").withColumn("rho", rho)
     return out.withColumn("tau_exceeds_range", (F.lit(tau) >= F.col("range")) & ~((F.lit(tau) == 0) & (F.col("range") == 0))).withColumn("inflated", F.col("rho") > 2)

@@ -29,6 +29,10 @@ class VocabularyConfig:
     max_features: int | None = None
     cut: Cut = Cut.DF_CF
 
+    def keeps_all(self) -> bool:
+        """Do these bounds leave every term of every corpus in?"""
+        return self.max_features is None and self.min_df in (0, 1) and isinstance(self.min_df, int) and self.max_df == 1.0 and isinstance(self.max_df, float)
+
 
 def threshold(value: int | float, n: int, lower: bool) -> int:
     """An integer stands for itself; a fraction in (0, 1] is taken of ``n``
@@ -43,9 +47,12 @@ def threshold(value: int | float, n: int, lower: bool) -> int:
     return math.ceil(exact) if lower else math.floor(exact)
 
 
-def term_counts(docs: DataFrame, features_col: str = "features", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, token, cnt``: the one explode that everything else reuses."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(features_col).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("cnt"))
+def term_counts(docs: DataFrame, features_col: str = "features", id_col: str = "doc_id", lengths: bool = False) -> DataFrame:
+    """``doc_id, token, cnt`` (and ``length``, the number of features): the one
+    explode that everything else reuses."""
+    key = ["doc_id", "token", *["length"] * lengths]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.size(features_col).cast("long").alias("length")] * lengths, F.explode(features_col).alias("token"))
+    return rows.groupBy(*key).agg(F.count("*").alias("cnt"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:

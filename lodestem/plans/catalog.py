@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numerics import Reduction
-from ..functions.text import STOPWORDS, plain_ngrams, stopped
-from ..operators import analysis, distances, perturbation, profiles, ranking, scoring, ties, vocabulary
+from ..functions.text import STOPWORDS, PreprocessingConfig, plain_ngram_rows, preprocess
+from ..operators import analysis, distances, grid, perturbation, profiles, ranking, scoring, ties, vocabulary
 from ..operators.model import Model, embed, fit, norms
 from . import tables as t
 
-KS = (1, 5, 10, 20)
+KS = (1, 5, 10, 20, 50)
 TAU = 0.001
 LIKED = 25.0
 DIGITS = 9
@@ -37,7 +37,7 @@ def _query(sql: str | None = None):
 
 
 # ------------------------------------------------------------ SQL pieces
-TOK = """tok AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+TOK = """tok AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) <= 64)) AS token FROM documents),
 cnt AS (SELECT doc_id, token, count(*) AS cnt FROM tok GROUP BY ALL),
 ids AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents),
 nd AS (SELECT count(*) AS n FROM documents)"""
@@ -47,7 +47,7 @@ len AS (SELECT doc_id, sum(cnt) AS length FROM cnt GROUP BY doc_id),
 w AS (SELECT doc_id, token, cnt, CAST(cnt AS DOUBLE) / length AS tf, CAST(cnt AS DOUBLE) / length * idf AS weight FROM cnt JOIN vocab USING (token) JOIN len USING (doc_id)),
 norm AS (SELECT doc_id, sqrt(list_reduce(list(weight * weight ORDER BY token), lambda a, b: a + b)) AS norm FROM w GROUP BY doc_id)"""
 QRY = FIT + """,
-qtok AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+qtok AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) <= 64)) AS token FROM benchmark),
 qcnt AS (SELECT query_id, token, count(*) AS cnt FROM qtok JOIN vocab USING (token) GROUP BY ALL),
 qlen AS (SELECT query_id, sum(cnt) AS length FROM qcnt GROUP BY query_id),
 qw AS (SELECT query_id, token, CAST(cnt AS DOUBLE) / length * idf AS qw FROM qcnt JOIN qlen USING (query_id) JOIN vocab USING (token)),
@@ -69,7 +69,7 @@ ITEMS = f"""inter AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partk
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 liked AS (SELECT user_id, doc_id FROM inter WHERE weight >= {LIKED}),
 able AS (SELECT user_id, count(*) AS n_items FROM liked GROUP BY user_id HAVING count(*) >= 5)"""
-PTOK = """ptok AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[a-z0-9]+')) AS token FROM part),
+PTOK = """ptok AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(list_filter(regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[a-z0-9]+'), lambda w: len(w) <= 64)) AS token FROM part),
 pcnt AS (SELECT doc_id, token, count(*) AS cnt FROM ptok GROUP BY ALL)"""
 
 
@@ -89,13 +89,37 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("query_id", "doc_id", _rounded("score"))
 
 
-def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
-    return ranking.rank_all(_scores(spark, sf_dir), attrs).persist()
+def _touched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rounded scores of documents that share a term, all query ids, and the
+    number of documents: the others of each query score 0."""
+    m = _model(spark, sf_dir)
+    q = t.benchmark_queries(spark, sf_dir)
+    s = scoring.touched_scores(m, embed(m, q)).select("query_id", "doc_id", _rounded("score"))
+    return s.persist(), q.select("query_id"), m.n_documents
+
+
+def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES).persist()
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ties.score_runs(*_touched(spark, sf_dir))
+
+
+def _top(spark: SparkSession, sf_dir: str, k: int = max(KS)) -> tuple[DataFrame, int]:
+    """The best k + 1 scores of each query, and the number of documents."""
+    s, q, n = _touched(spark, sf_dir)
+    ids = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return ranking.top(s, q, ids, "pi_score", k), n
 
 
-def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(spark, sf_dir).select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id", "score")
+def _top_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    s, q, n = _touched(spark, sf_dir)
+    return ranking.top_all(s, q, _attributes(spark, sf_dir), max(KS)).persist(), n
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_all(_scores(spark, sf_dir), _attributes(spark, sf_dir)).persist()
 
 
 # ------------------------------------------------------------ vocabulary
@@ -140,14 +164,34 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 @_query(
     f"""WITH words AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i
-          FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)),
+          FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) <= 64) AS ws FROM documents)),
     pairs AS (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM words),
     grams AS (SELECT doc_id, token || chr(31) || nxt AS token FROM pairs WHERE nxt IS NOT NULL AND token NOT IN ({_STOP}) AND nxt NOT IN ({_STOP}))
     SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM grams GROUP BY token"""
 )
 def ngrams_bigrams_gap(spark, sf_dir):
-    docs = t.corpus(spark, sf_dir).withColumn("g", stopped(F.col("features")))
-    return vocabulary.frequencies(vocabulary.term_counts(docs.select("doc_id", plain_ngrams(F.col("g"), 2).alias("features"))))
+    grams = plain_ngram_rows(t.corpus(spark, sf_dir), "features", 2)
+    return vocabulary.frequencies(grams.groupBy("doc_id", "token").agg(F.count("*").alias("cnt")))
+
+
+@_query(
+    f"""WITH words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{{L}}\\p{{N}}]+'), lambda w: len(w) <= 64) AS ws FROM documents),
+    placed AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM words),
+    pairs AS (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM placed),
+    grams AS (SELECT doc_id, token FROM placed WHERE token NOT IN ({_STOP})
+      UNION ALL SELECT doc_id, token || chr(31) || nxt FROM pairs WHERE nxt IS NOT NULL AND token NOT IN ({_STOP}) AND nxt NOT IN ({_STOP}))
+    SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM grams GROUP BY token"""
+)
+def full_profile_terms(spark, sf_dir):
+    docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    made = preprocess(docs, PreprocessingConfig(lemmatiser="identity"))
+    return vocabulary.frequencies(vocabulary.term_counts(made.select("doc_id", "features")))
+
+
+@_query()
+def stemmed_terms(spark, sf_dir):
+    docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return vocabulary.frequencies(vocabulary.term_counts(preprocess(docs).select("doc_id", "features")))
 
 
 @_query(
@@ -202,7 +246,7 @@ def cosine_all_candidates(spark, sf_dir):
 
 
 @_query(
-    """WITH tok AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+    """WITH tok AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) <= 64)) AS token FROM benchmark),
     cnt AS (SELECT doc_id, token, count(*) AS cnt FROM tok GROUP BY ALL),
     vocab AS (SELECT token, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM cnt GROUP BY token),
     w AS (SELECT doc_id, token, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY doc_id) * idf AS weight FROM cnt JOIN vocab USING (token)),
@@ -224,8 +268,20 @@ def corpus_lipschitz(spark, sf_dir):
 # --------------------------------------------------------------- ranking
 @_query(f"WITH {RANK} SELECT query_id, rnk_pi AS rnk, doc_id, score FROM ranks WHERE rnk_pi <= 11")
 def cosine_topk_pi(spark, sf_dir):
-    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES)
-    return ranking.rank(_scores(spark, sf_dir), attrs, "pi", 10).withColumn("rnk", F.col("rnk").cast("long"))
+    s, q, _ = _touched(spark, sf_dir)
+    return ranking.top(s, q, _attributes(spark, sf_dir), "pi", 10).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+@_query(
+    f"""WITH {RANK} SELECT query_id, doc_id, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY pop DESC NULLS LAST) - 1 AS BIGINT) AS popularity_rank,
+    CAST(CASE WHEN rat IS NULL THEN 2147483647 ELSE dense_rank() OVER (PARTITION BY query_id ORDER BY rat DESC NULLS LAST) - 1 END AS BIGINT) AS rating_rank,
+    CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY eng DESC NULLS LAST) - 1 AS BIGINT) AS engagement_rank
+    FROM touched JOIN attr USING (doc_id)"""
+)
+def candidate_subset_ranks(spark, sf_dir):
+    names = ("popularity", "rating", "engagement")
+    r = ranking.subset_ranks(_attributes(spark, sf_dir), _touched(spark, sf_dir)[0].select("query_id", "doc_id"), names)
+    return r.select("query_id", "doc_id", *[F.col(f"{n}_rank").cast("long").alias(f"{n}_rank") for n in names])
 
 
 @_query(f"WITH {RANK} SELECT * FROM ranks")
@@ -249,7 +305,7 @@ def attribute_dense_ranks(spark, sf_dir):
 
 @_query(f"WITH {RANK} SELECT query_id, rnk, gap FROM gaps WHERE gap IS NOT NULL")
 def adjacent_gaps(spark, sf_dir):
-    return ranking.gaps(_ranking(spark, sf_dir)).select("query_id", F.col("rnk").cast("long").alias("rnk"), _rounded("gap"))
+    return ties.every_gap(_runs(spark, sf_dir)).select("query_id", "rnk", _rounded("gap"))
 
 
 _MARGIN = RANK + f""",
@@ -261,21 +317,22 @@ marg AS (SELECT n.query_id, k, least(k, n) AS k_effective, max(CASE WHEN rnk = l
 
 @_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, boundary, inner_gap, boundary IS NOT NULL AS defined, coalesce(boundary = 0, false) AS exact_tie FROM marg")
 def margin_profile(spark, sf_dir):
-    m = ranking.margins(_ranking(spark, sf_dir), KS)
+    top, n = _top(spark, sf_dir)
+    m = ranking.margins(top, KS, n_candidates=n)
     return m.select("query_id", F.col("k").cast("long").alias("k"), _rounded("boundary"), F.round("inner", DIGITS).alias("inner_gap"), "defined", "exact_tie")
 
 
 @_query(f"WITH {_MARGIN} SELECT query_id, CAST(k AS BIGINT) AS k, boundary AS set_diameter, inner_gap AS order_diameter, least(boundary, coalesce(inner_gap, boundary)) AS joint_diameter FROM marg")
 def certified_radii(spark, sf_dir):
-    m = ranking.margins(_ranking(spark, sf_dir), KS).withColumns({"boundary": F.round("boundary", DIGITS), "inner": F.round("inner", DIGITS)})
+    top, n = _top(spark, sf_dir)
+    m = ranking.margins(top, KS, n_candidates=n).withColumns({"boundary": F.round("boundary", DIGITS), "inner": F.round("inner", DIGITS)})
     c = ranking.certificates(m)
     return c.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(F.col(f"{x}_radius") * 2, DIGITS).alias(f"{x}_diameter") for x in ("set", "order", "joint")])
 
 
 @_query(f"WITH {RANK} SELECT query_id, rnk, gap FROM gaps WHERE gap > 0 ORDER BY gap, rnk, query_id LIMIT 20")
 def closest_near_ties(spark, sf_dir):
-    r = ranking.gaps(_ranking(spark, sf_dir)).select("query_id", "rnk", _rounded("gap"))
-    return r.where("gap > 0").orderBy("gap", "rnk", "query_id").limit(20).withColumn("rnk", F.col("rnk").cast("long"))
+    return ties.closest(ties.run_gaps(_runs(spark, sf_dir)).select("query_id", "rnk", _rounded("gap")), 20)
 
 
 # ------------------------------------------------------------------ ties
@@ -285,7 +342,7 @@ def closest_near_ties(spark, sf_dir):
     SELECT query_id, CAST(chain AS BIGINT) AS chain, min(rnk) - 1 AS lo, max(rnk) AS hi FROM d GROUP BY ALL"""
 )
 def tie_chains(spark, sf_dir):
-    c = ties.chains(_ranking(spark, sf_dir), TAU)
+    c = ties.chains(_runs(spark, sf_dir), TAU)
     return c.select("query_id", F.col("chain").cast("long").alias("chain"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
@@ -295,7 +352,7 @@ b AS (SELECT x.query_id, x.lo, x.hi, min(y.lo) AS ball_lo, max(y.hi) AS ball_hi
 
 @_query(f"WITH {RANK}, {_BALLS} SELECT * FROM b")
 def tie_balls(spark, sf_dir):
-    return ties.balls(_ranking(spark, sf_dir), TAU)
+    return ties.balls(_runs(spark, sf_dir), TAU)
 
 
 @_query(
@@ -303,12 +360,24 @@ def tie_balls(spark, sf_dir):
     SELECT query_id, lo, ball_hi AS hi FROM r WHERE before IS NULL OR ball_hi > before"""
 )
 def tie_cliques(spark, sf_dir):
-    return ties.cliques(_ranking(spark, sf_dir), TAU)
+    return ties.cliques(_runs(spark, sf_dir), TAU)
 
 
-@_query()
+@_query(
+    f"""WITH {RANK}, {_BALLS},
+    c AS (SELECT query_id, rnk_pi AS rnk, CASE WHEN lag(score) OVER w - score > {TAU} THEN 1 ELSE 0 END AS cut FROM ranks WINDOW w AS (PARTITION BY query_id ORDER BY rnk_pi)),
+    d AS (SELECT query_id, rnk, sum(cut) OVER (PARTITION BY query_id ORDER BY rnk) AS chain FROM c),
+    e AS (SELECT query_id, chain, count(*) AS n FROM d GROUP BY ALL),
+    ch AS (SELECT query_id, count(*) AS n_chains, max(n) AS largest_chain FROM e GROUP BY 1),
+    r AS (SELECT query_id, lo, ball_hi, lag(ball_hi) OVER (PARTITION BY query_id ORDER BY lo) AS before FROM b),
+    cq AS (SELECT query_id, count(*) AS n_cliques, max(ball_hi - lo) AS largest_clique FROM r WHERE before IS NULL OR ball_hi > before GROUP BY 1),
+    sp AS (SELECT query_id, max(score) - min(score) AS span FROM ranks GROUP BY 1)
+    SELECT query_id, n_chains, CAST(largest_chain AS BIGINT) AS largest_chain, n_cliques, CAST(largest_clique AS BIGINT) AS largest_clique, round(CAST(largest_chain AS DOUBLE) / largest_clique, 9) AS rho,
+      {TAU} >= span AS tau_exceeds_range, CAST(largest_chain AS DOUBLE) / largest_clique > 2 AS inflated FROM ch JOIN cq USING (query_id) JOIN sp USING (query_id)"""
+)
 def tie_report(spark, sf_dir):
-    return ties.tie_report(_ranking(spark, sf_dir).persist(), TAU)
+    r = ties.tie_report(_runs(spark, sf_dir).persist(), TAU)
+    return r.select("query_id", "n_chains", F.col("largest_chain").cast("long").alias("largest_chain"), "n_cliques", F.col("largest_clique").cast("long").alias("largest_clique"), _rounded("rho"), "tau_exceeds_range", "inflated")
 
 
 # ------------------------------------------------------------- distances
@@ -331,7 +400,7 @@ def _fks_sql(other: str) -> str:
 
 
 def _compared(spark, sf_dir, other: str) -> DataFrame:
-    d = distances.compare_top_k(distances.top_lists(_ranks(spark, sf_dir), "rnk_pi", other, KS))
+    d = distances.compare_top_k(distances.top_lists(_top_ranks(spark, sf_dir)[0], "rnk_pi", other, KS))
     return d.select(F.col("key.query_id").alias("query_id"), F.col("key.k").cast("long").alias("k"), _rounded("fks"), _rounded("jaccard"), "intersection_size", "sets_differ", F.col("swapped").cast("long").alias("swapped"))
 
 
@@ -345,7 +414,10 @@ def kendall_fks_pi_vs_score(spark, sf_dir):
     return _compared(spark, sf_dir, "rnk_pi_score")
 
 
-@_query()
+@_query(
+    f"""WITH {RANK}, pairs AS (SELECT x.query_id, count(*) AS n FROM ranks x JOIN ranks y ON x.query_id = y.query_id AND x.rnk_pi < y.rnk_pi AND x.rnk_pi_alt > y.rnk_pi_alt GROUP BY 1)
+    SELECT q.query_id AS key, coalesce(n, 0) AS inversions FROM (SELECT DISTINCT query_id FROM ranks) q LEFT JOIN pairs USING (query_id)"""
+)
 def kendall_inversions(spark, sf_dir):
     r = _ranks(spark, sf_dir).select(F.col("query_id").alias("key"), F.col("rnk_pi").alias("i"), F.col("rnk_pi_alt").alias("x"))
     return distances.inversions(r)
@@ -435,7 +507,7 @@ al AS (SELECT token, v.token IS NOT NULL AS ib, a.token IS NOT NULL AS ia, coale
 
 def _edited(spark, sf_dir) -> tuple[Model, Model]:
     docs = t.corpus(spark, sf_dir)
-    last = docs.agg(F.max("doc_id")).first()[0]
+    last = t.table(spark, sf_dir, "documents").agg(F.max(F.col("doc_id").cast("string"))).first()[0]
     return fit(docs, check=False), fit(perturbation.remove_document(docs, last), check=False)
 
 
@@ -448,16 +520,93 @@ def idf_shift(spark, sf_dir):
     return perturbation.idf_shift(perturbation.align(a.vocab, b.vocab)).select(_rounded("linf"), _rounded("linf_shared"), "n_shared", "n_gained", "n_lost")
 
 
-@_query()
+_AFTER = _EDIT + """,
+cnta AS (SELECT c.doc_id, token, cnt, idf FROM cnt c JOIN va USING (token) WHERE doc_id <> (SELECT doc_id FROM last)),
+lena AS (SELECT doc_id, sum(cnt) AS length FROM cnta GROUP BY doc_id),
+wa AS (SELECT doc_id, token, CAST(cnt AS DOUBLE) / length AS tf, CAST(cnt AS DOUBLE) / length * idf AS weight FROM cnta JOIN lena USING (doc_id)),
+dif AS (SELECT doc_id, token, coalesce(w.weight, 0) AS w, coalesce(wa.weight, 0) AS v, coalesce(w.tf, 0) AS tf, coalesce(wa.tf, 0) AS tf2 FROM (SELECT * FROM w WHERE doc_id <> (SELECT doc_id FROM last)) w FULL JOIN wa USING (doc_id, token))"""
+
+
+@_query(
+    f"""WITH {FIT}, {_AFTER}, m AS (SELECT max(abs(x)) AS idf_max, max(abs(y - x)) AS delta_max FROM al),
+    p AS (SELECT i.doc_id, coalesce(sqrt(sum((v - w) * (v - w))), 0) AS observed, coalesce(sqrt(sum(tf * tf)), 0) AS tf, coalesce(sqrt(sum((tf2 - tf) * (tf2 - tf))), 0) AS dtf,
+      coalesce(sqrt(sum(CASE WHEN ib AND ia THEN (v - w) * (v - w) ELSE 0 END)), 0) AS shared_shift, coalesce(sqrt(sum(CASE WHEN NOT ia THEN w * w ELSE 0 END)), 0) AS lost_mass
+      FROM ids i LEFT JOIN dif USING (doc_id) LEFT JOIN al USING (token) WHERE i.doc_id <> (SELECT doc_id FROM last) GROUP BY i.doc_id)
+    SELECT doc_id, round(observed, 9) AS observed, round(dtf * idf_max, 9) AS local_term, round(tf * delta_max, 9) AS global_term, round(dtf * delta_max, 9) AS interaction_term, round(shared_shift, 9) AS shared_shift,
+      round(lost_mass, 9) AS lost_mass, true AS holds FROM p CROSS JOIN m"""
+)
 def vector_shift(spark, sf_dir):
-    return perturbation.vector_shift(*_edited(spark, sf_dir))
+    v = perturbation.vector_shift(*_edited(spark, sf_dir)).withColumnsRenamed({x: f"{x}_term" for x in ("local", "global", "interaction")})
+    return v.select("doc_id", *[_rounded(c) for c in ("observed", "local_term", "global_term", "interaction_term", "shared_shift", "lost_mass")], "holds")
 
 
-@_query()
+_QAFTER = """norma AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM wa GROUP BY doc_id),
+qcnta AS (SELECT query_id, token, count(*) AS cnt FROM qtok JOIN va USING (token) GROUP BY ALL),
+qlena AS (SELECT query_id, sum(cnt) AS length FROM qcnta GROUP BY query_id),
+qwa AS (SELECT query_id, token, CAST(cnt AS DOUBLE) / length * idf AS qw FROM qcnta JOIN qlena USING (query_id) JOIN va USING (token)),
+qnorma AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qwa GROUP BY query_id),
+sb AS (SELECT query_id, doc_id, dot / (qn * norm) AS s FROM dot JOIN qnorm USING (query_id) JOIN norm USING (doc_id) WHERE doc_id <> (SELECT doc_id FROM last)),
+sa AS (SELECT query_id, doc_id, d / (qn * norm) AS s FROM (SELECT query_id, doc_id, sum(qw * weight) AS d FROM wa JOIN qwa USING (token) GROUP BY ALL) JOIN qnorma USING (query_id) JOIN norma USING (doc_id)),
+twosided AS (SELECT query_id, doc_id, coalesce(sb.s, 0) AS b, coalesce(sa.s, 0) AS a FROM sb FULL JOIN sa USING (query_id, doc_id))"""
+
+
+@_query(f"WITH {QRY}, {_AFTER}, {_QAFTER} SELECT query_id, doc_id, round(b, 8) AS score_before, round(a, 8) AS score_after, round(abs(a - b), 8) AS shift FROM twosided")
 def score_shift(spark, sf_dir):
     a, b = _edited(spark, sf_dir)
     q = t.benchmark_queries(spark, sf_dir)
-    return perturbation.score_shift(a, b, embed(a, q), embed(b, q))
+    s = perturbation.score_shift(a, b, embed(a, q), embed(b, q))
+    return s.select("query_id", "doc_id", *[F.round(c, 8).alias(c) for c in ("score_before", "score_after", "shift")])
+
+
+@_query(
+    f"""WITH {QRY}, {_AFTER}, {_QAFTER},
+    du AS (SELECT query_id, sqrt(sum((coalesce(z.qw, 0) - coalesce(x.qw, 0)) * (coalesce(z.qw, 0) - coalesce(x.qw, 0)))) AS du FROM qw x FULL JOIN qwa z USING (query_id, token) GROUP BY 1),
+    dv AS (SELECT doc_id, sqrt(sum((v - w) * (v - w))) AS dv FROM dif GROUP BY 1),
+    j AS (SELECT query_id, doc_id, abs(a - b) AS observed, q.qn AS nu, q2.qn AS nu2, n.norm AS nv, n2.norm AS nv2, du, dv
+      FROM twosided JOIN qnorm q USING (query_id) JOIN qnorma q2 USING (query_id) JOIN norm n USING (doc_id) JOIN norma n2 USING (doc_id) JOIN du USING (query_id) JOIN dv USING (doc_id))
+    SELECT query_id, doc_id, round(observed, 8) AS observed, round((du + dv) / least(nu, nu2, nv, nv2), 8) AS uniform, round(2 * du / (nu + nu2) + 2 * dv / (nv + nv2), 8) AS tight, true AS holds FROM j"""
+)
+def lipschitz_bounds(spark, sf_dir):
+    a, b = _edited(spark, sf_dir)
+    q = t.benchmark_queries(spark, sf_dir)
+    qa, qb = embed(a, q).persist(), embed(b, q).persist()
+    pairs = perturbation.score_shift(a, b, qa, qb)
+    for name, df, key in (("nu", norms(qa, "query_id"), "query_id"), ("nu2", norms(qb, "query_id"), "query_id"), ("nv", a.stats, "doc_id"), ("nv2", b.stats, "doc_id")):
+        pairs = pairs.join(df.select(key, F.col("norm").alias(name)), key)
+    pairs = pairs.join(scoring.difference_norms(qa, qb, "query_id").withColumnRenamed("difference", "du"), "query_id").join(scoring.difference_norms(a.weights, b.weights).withColumnRenamed("difference", "dv"), "doc_id")
+    out = scoring.lipschitz(pairs, before="score_before", after="score_after")
+    return out.select("query_id", "doc_id", *[F.round(c, 8).alias(c) for c in ("observed", "uniform", "tight")], "holds")
+
+
+@_query(f"WITH {FIT}, {_EDIT} SELECT token, round(x, 9) AS idf_before, round(y, 9) AS idf_after, round(y - x, 9) AS delta FROM al WHERE ib AND ia")
+def delta_idf(spark, sf_dir):
+    a, b = _edited(spark, sf_dir)
+    return perturbation.align(a.vocab, b.vocab).where("in_before and in_after").select("token", _rounded("idf_before"), _rounded("idf_after"), _rounded("delta"))
+
+
+@_query(f"WITH {FIT} SELECT doc_id, token, round(weight / norm, 9) AS weight FROM w JOIN norm USING (doc_id)")
+def unit_weights(spark, sf_dir):
+    return scoring.units(_model(spark, sf_dir).weights).select("doc_id", "token", _rounded("weight"))
+
+
+# ------------------------------------------------------------------ grid
+@_query(
+    f"""WITH {_PFIT}, a AS (SELECT user_id, doc_id FROM liked JOIN able USING (user_id)),
+    u AS (SELECT user_id, token, sum(cnt) AS cnt FROM a JOIN pcnt USING (doc_id) GROUP BY ALL),
+    uw AS (SELECT user_id, token, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY user_id) * idf AS qw FROM u JOIN pv USING (token)),
+    un AS (SELECT user_id, sqrt(sum(qw * qw)) AS qn FROM uw GROUP BY 1),
+    pn AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM pw GROUP BY 1),
+    s AS (SELECT user_id, doc_id, sum(qw * weight) AS dot FROM pw JOIN uw USING (token) GROUP BY ALL),
+    c AS (SELECT s.user_id, s.doc_id, dot / (qn * norm) AS score FROM s JOIN un USING (user_id) JOIN pn USING (doc_id) ANTI JOIN a ON a.user_id = s.user_id AND a.doc_id = s.doc_id),
+    best AS (SELECT user_id, count(*) FILTER (WHERE score > 0) AS n, max(score) AS best FROM c GROUP BY 1)
+    SELECT user_id AS query_id, (SELECT count(*) FROM part) - n_items AS n_candidates, coalesce(n, 0) AS n_scored, round(coalesce(best, 0), 8) AS best,
+      CASE WHEN coalesce(best, 0) = 0 AND (SELECT count(*) FROM part) > n_items THEN 'zero' ELSE 'scored' END AS kind FROM able LEFT JOIN best USING (user_id)"""
+)
+def query_grid_outcomes(spark, sf_dir):
+    docs = t.items(spark, sf_dir).persist()
+    m = fit(docs, check=False)
+    g = grid.build_grid(_liked(spark, sf_dir), vocabulary.term_counts(docs), m.n_documents, "user_profile")
+    return grid.outcomes(g, grid.evaluate(g, m)).select("query_id", "n_candidates", "n_scored", F.round("best", 8).alias("best"), "kind")
 
 
 # -------------------------------------------------------------- analysis
@@ -466,7 +615,8 @@ def score_shift(spark, sf_dir):
     quantile_disc(boundary, 0.05) AS p5, quantile_disc(boundary, 0.5) AS p50, quantile_disc(boundary, 0.95) AS p95 FROM marg GROUP BY k"""
 )
 def margin_percentiles(spark, sf_dir):
-    m = ranking.margins(_ranking(spark, sf_dir), KS).withColumn("boundary", F.round("boundary", DIGITS))
+    top, n = _top(spark, sf_dir)
+    m = ranking.margins(top, KS, n_candidates=n).withColumn("boundary", F.round("boundary", DIGITS))
     return analysis.summarise(m, "boundary", ["k"]).select(F.col("k").cast("long").alias("k"), "n", "n_nan", "n_zero", "p5", "p50", "p95")
 
 
@@ -477,30 +627,64 @@ def margin_percentiles(spark, sf_dir):
     SELECT pair, CAST(k AS BIGINT) AS k_effective, count(*) AS n, count(*) FILTER (WHERE x) AS n_disagree, round(avg(CAST(x AS DOUBLE)), 9) AS rate FROM u GROUP BY ALL"""
 )
 def disagreement_rate(spark, sf_dir):
-    d = analysis.disagreement_rate(analysis.ablate(_ranks(spark, sf_dir), KS))
+    r, n = _top_ranks(spark, sf_dir)
+    d = analysis.disagreement_rate(analysis.ablate(r, KS, n_candidates=n))
     return d.select("pair", F.col("k_effective").cast("long").alias("k_effective"), "n", "n_disagree", _rounded("rate"))
 
 
-@_query()
+_BANDS = ", ".join(f"'{x}'" for x in ("undefined", "exact_tie", *[x[0] for x in analysis.bands(TAU)]))
+_BAND = "CASE WHEN boundary IS NULL THEN 'undefined' WHEN boundary = 0 THEN 'exact_tie' " + " ".join(f"WHEN boundary <= {hi!r} THEN '{x}'" for x, _, hi in analysis.bands(TAU)[:-1]) + f" ELSE '{analysis.bands(TAU)[-1][0]}' END"
+
+
+@_query(
+    f"""WITH f AS ({_fks_sql("rnk_pi_alt")}), m AS (WITH {_MARGIN} SELECT query_id, k, boundary FROM marg),
+    g AS (SELECT band, k FROM (SELECT unnest([{_BANDS}]) AS band) CROSS JOIN (SELECT unnest([{', '.join(map(str, KS))}]) AS k)),
+    x AS (SELECT {_BAND} AS band, m.k, sets_differ, fks, jaccard FROM m JOIN f ON f.query_id = m.query_id AND f.k = m.k),
+    y AS (SELECT band, k, count(*) AS n, count(*) FILTER (WHERE sets_differ) AS n_disagree, round(avg(fks), 7) AS mean_fks, round(avg(jaccard), 7) AS mean_jaccard FROM x GROUP BY ALL)
+    SELECT g.band, CAST(g.k AS BIGINT) AS k, coalesce(n, 0) AS n, coalesce(n_disagree, 0) AS n_disagree, mean_fks, mean_jaccard FROM g LEFT JOIN y ON y.band = g.band AND y.k = g.k"""
+)
 def margin_strata(spark, sf_dir):
-    r = _ranks(spark, sf_dir)
-    m = ranking.margins(r.select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id", "score"), KS)
-    return analysis.stratify(m, analysis.ablate(r, KS, ("pi_alt",)), TAU, KS)
+    r, n = _top_ranks(spark, sf_dir)
+    one = r.where("rnk_pi is not null").select("query_id", F.col("rnk_pi").alias("rnk"), "doc_id")
+    top = one.join(_touched(spark, sf_dir)[0], ["query_id", "doc_id"], "left").na.fill(0.0, ["score"])
+    m = ranking.margins(top, KS, n_candidates=n).withColumn("boundary", F.round("boundary", DIGITS))
+    d = analysis.stratify(m, analysis.ablate(r, KS, ("pi_alt",), n_candidates=n), TAU, KS)
+    return d.select("band", F.col("k").cast("long").alias("k"), "n", "n_disagree", F.round("mean_fks", 7).alias("mean_fks"), F.round("mean_jaccard", 7).alias("mean_jaccard"))
 
 
-@_query(f"WITH {RANK} SELECT min(gap) FILTER (WHERE gap > 0) AS g_min, count(*) FILTER (WHERE gap = 0) AS n_exact_ties, count(*) FILTER (WHERE gap > 0) AS n_positive_gaps FROM gaps")
+@_query(
+    f"""WITH {RANK}, b AS (SELECT min(gap) FILTER (WHERE gap > 0) AS g_min, count(*) FILTER (WHERE gap = 0) AS n_exact_ties, count(*) FILTER (WHERE gap > 0) AS n_positive_gaps FROM gaps)
+    SELECT g_min, n_exact_ties, n_positive_gaps, 0 AS n_gaps_in_band, g_min > 1e-12 AS is_valid, g_min > 1e-12 AS is_invariant FROM b"""
+)
 def tau_band(spark, sf_dir):
-    return analysis.tau_band(_ranking(spark, sf_dir), 1e-15).select(_rounded("g_min"), "n_exact_ties", "n_positive_gaps")
+    band = _band(spark, sf_dir)
+    return band.select(_rounded("g_min"), "n_exact_ties", "n_positive_gaps", "n_gaps_in_band", "is_valid", "is_invariant")
+
+
+def _band(spark, sf_dir) -> DataFrame:
+    """The band above the measured noise."""
+    m = _model(spark, sf_dir)
+    q = t.benchmark_queries(spark, sf_dir)
+    qv = embed(m, q).persist()
+    s = scoring.touched_scores(m, qv).select("query_id", "doc_id", _rounded("score"))
+    runs = ties.score_runs(s, q.select("query_id"), m.n_documents).persist()
+    return analysis.tau_band(runs, analysis.tau_floor(analysis.noise_floor(m, qv)))
+
+
+@_query()
+def noise_band(spark, sf_dir):
+    return _band(spark, sf_dir).select("tau_floor", "g_min", "decades", "display_tau", "n_below_floor")
 
 
 @_query()
 def noise_floor(spark, sf_dir):
     m = _model(spark, sf_dir)
-    return analysis.noise_floor(m, embed(m, t.benchmark_queries(spark, sf_dir)).persist())
+    q = t.benchmark_queries(spark, sf_dir)
+    return analysis.noise_floor(m, embed(m, q).persist(), q.count())
 
 
 def _monte_carlo(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    attrs = ranking.dense_ranks(t.text_attributes(spark, sf_dir), t.TEXT_ATTRIBUTES).persist()
+    attrs = _attributes(spark, sf_dir)
     r = ranking.rank(_scores(spark, sf_dir), attrs, "pi").persist()
     return r, attrs
 

@@ -13,16 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small file, which is one input split, over the cores; inputs with
-    enough splits are left as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small file, which is one input split, over the cores, by a key, so
+    that counts per key need no exchange of their own; inputs of more than
+    ``maxPartitionBytes`` a core are left as they are."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    most = want * 128 << 20
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    return df.repartition(want, key) if size < most else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, features``: lower-case ASCII words of ``documents``."""
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
     return docs.select("doc_id", plain_tokens(F.col("text")).alias("features"))
 
 

@@ -123,4 +123,61 @@ def test_audit_is_sound(spark):
 
 def test_bands():
     assert [b[0] for b in analysis.bands(1e-3)][0] == "(0, tau/100]" and analysis.bands(1e-3)[-1][0] == "(100*tau, inf)"
-    assert analysis.band_probes(1e-15, 1e-9)[0] == pytest.approx(1e-15)
+
+
+def test_band_probes(spark):
+    r = ranked(spark, {"q": [1.0, 0.75, 0.5, 0.5, 0.46875], "z": [0.5, 0.25]})
+    assert analysis.band_probes(r, 0.0, 0.5) == [0.0, 0.03125, 0.25] and analysis.band_probes(r, 0.25, 0.5) == [0.25, 0.375]
+    assert analysis.is_band_invariant(r, 0.03125, 0.25) and not analysis.is_band_invariant(r, 0.0, 0.25)
+    band = analysis.tau_band(r, 1e-15).first()
+    assert (band["g_min"], band["n_exact_ties"], band["n_positive_gaps"], band["n_gaps_in_band"], band["is_invariant"]) == (0.03125, 1, 4, 0, True)
+
+
+def test_count_inversions():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 7, 64, 65, 200):
+        xs = [rng.randrange(40) for _ in range(n)]
+        import numpy as np
+
+        assert distances.count_inversions(np.array(xs)) == sum(a > b for a, b in itertools.combinations(xs, 2))
+
+
+def test_top_without_a_grid(spark):
+    rng = random.Random(6)
+    docs = [f"d{i:02d}" for i in range(30)]
+    attrs = spark.createDataFrame([(d, rng.randrange(4), rng.randrange(4), rng.randrange(4)) for d in docs], "doc_id string, popularity_rank int, rating_rank int, engagement_rank int")
+    rows = [(f"q{q}", d, round(rng.random(), 1)) for q in range(8) for d in rng.sample(docs, q * 3)]
+    queries = spark.createDataFrame([(f"q{q}",) for q in range(8)], "query_id string")
+    touched = spark.createDataFrame(rows, "query_id string, doc_id string, score double")
+    full = queries.join(attrs.select("doc_id"), F.lit(True)).join(touched, ["query_id", "doc_id"], "left").na.fill(0.0)
+    for op in ranking.OPERATORS:
+        for k in (1, 4, 12):
+            want = {(r["query_id"], r["rnk"]): (r["doc_id"], r["score"]) for r in ranking.rank(full, attrs, op, k).collect()}
+            got = {(r["query_id"], r["rnk"]): (r["doc_id"], r["score"]) for r in ranking.top(touched, queries, attrs, op, k).collect()}
+            assert got == want
+    ranks = {(r["query_id"], r["doc_id"]): r for r in ranking.rank_all(full, attrs).collect()}
+    cut = ranking.top_all(touched, queries, attrs, 4).collect()
+    for r in cut:
+        for op in ranking.OPERATORS:
+            true = ranks[r["query_id"], r["doc_id"]][f"rnk_{op}"]
+            assert r[f"rnk_{op}"] == (true if true <= 5 else None)
+    ranking.check_strict_order(full.join(attrs, "doc_id"))
+    sub = ranking.subset_ranks(attrs, touched.select("query_id", "doc_id"), ("popularity",))
+    for q in {r["query_id"] for r in sub.collect()}:
+        got = {r["doc_id"]: r["popularity_rank"] for r in sub.where(F.col("query_id") == q).collect()}
+        value = {r["doc_id"]: r["popularity_rank"] for r in attrs.collect()}
+        order = sorted({value[d] for d in got})
+        assert got == {d: order.index(value[d]) for d in got}
+
+
+def test_ratio_products_fit(spark):
+    df = lambda rows: spark.createDataFrame(rows, "n long, d long")
+    assert ranking.ratios_fit(df([(2**40, 2**30), (1, 1)]), "n", "d") and not ranking.ratios_fit(df([(2**40, 1), (1, 2**30)]), "n", "d")
+    assert ranking.ratios_fit(df([(2**62, 2**62)]), "n", "d") and ranking.ratios_fit(df([]), "n", "d")
+
+
+def test_non_finite_scores_are_refused(spark):
+    bad = spark.createDataFrame([("q", "d", float("nan"))], "query_id string, doc_id string, score double")
+    with pytest.raises(Exception, match="not finite"):
+        ranking.check_scores(bad).collect()
+
