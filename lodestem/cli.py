@@ -1,4 +1,4 @@
-"""Command line: ``python -m lodestem.cli build|inspect|verify|info|schema``."""
+"""Command line: ``python -m lodestem.cli build|corpus|inspect|verify|bench|info|schema``."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 
 from .errors import BadConfig, EngineError
 from .functions.text import PreprocessingConfig, preprocess
+from .harness import format_report, run_benchmarks
 from .operators.model import fit
 from .operators.vocabulary import Cut, VocabularyConfig
-from .sources.corpora import load_dataset
+from .sources.corpora import load_dataset, write_corpus
 from .sources.store import canonical_json, describe_schema, environment, load_model, save_model
 
 log = logging.getLogger("lodestem")
@@ -45,6 +46,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     b.add_argument("--config")
     for name in ("inspect", "verify"):
         sub.add_parser(name).add_argument("model")
+    c = sub.add_parser("corpus", help="write a dataset as JSON lines with its manifest")
+    c.add_argument("dataset")
+    c.add_argument("out")
+    sub.add_parser("bench", help="time fitting, scoring and ranking on the synthetic corpus")
     sub.add_parser("info")
     sub.add_parser("schema")
     a = p.parse_args(argv)
@@ -62,6 +67,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             data = load_dataset(spark, a.dataset)
             m = save_model(fit(preprocess(data.documents, pre), voc), a.out)
             print(canonical_json(m.to_dict()))
+        elif a.command == "corpus":
+            print(canonical_json(write_corpus(load_dataset(spark, a.dataset), a.out, {"dataset": a.dataset})))
+        elif a.command == "bench":
+            print(format_report(run_benchmarks(spark)))
         else:
             model = load_model(spark, a.model, verify=a.command == "verify")
             print(canonical_json({"documents": model.n_documents, "tokens": model.vocab.count(), "weights": model.weights.count()}))

@@ -51,7 +51,8 @@ def weigh(counts: DataFrame, vocab: DataFrame, whole: bool = False) -> DataFrame
     """``doc_id, token, cnt, tf, weight``: tf over the in-vocabulary length.  Where
     the vocabulary is ``whole``, that is the number of features, which ``counts``
     carries as ``length``; else the known ones are added up."""
-    known = counts.join(vocab.select("token", "idf"), "token")
+    # the smaller side by far: hashed a partition at a time, nothing is sorted
+    known = counts.join(vocab.select("token", "idf").hint("shuffle_hash"), "token")
     if not whole:
         length = known.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
         known = known.drop("length").join(length, "doc_id")

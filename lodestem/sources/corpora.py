@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import zipfile
 from dataclasses import asdict, dataclass
 
@@ -61,6 +62,34 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_corpus(data: Dataset, path: str, spec: dict | None = None) -> dict:
+    """Documents, interactions, the spec that made them, and a manifest of their
+    digests, as JSON lines; returns the manifest's entries."""
+    spark = data.documents.sparkSession
+    parts = {"corpus": data.documents} | ({"interactions": data.interactions} if data.interactions is not None else {})
+    digests = {}
+    for name, df in parts.items():
+        write_jsonl(df, f"{path}/{name}")
+        digests[name] = table_digest(df)
+    spec_text = json.dumps(spec or {}, sort_keys=True)
+    digests["spec"] = hashlib.sha256(spec_text.encode()).hexdigest()
+    for name, lines in (("spec", [spec_text]), ("MANIFEST", [f"{v}  {k}" for k, v in sorted(digests.items())])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    return digests
+
+
+def verify_corpus(spark: SparkSession, path: str) -> Dataset:
+    """Read what ``write_corpus`` wrote; tables that the manifest does not list
+    with their digest are errors."""
+    listed = dict(reversed(r[0].split("  ")) for r in spark.read.text(f"{path}/MANIFEST").collect())
+    docs = read_jsonl(spark, f"{path}/corpus")
+    inter = read_jsonl(spark, f"{path}/interactions", INTERACTION_SCHEMA) if "interactions" in listed else None
+    for name, df in (("corpus", docs), ("interactions", inter)):
+        if df is not None and table_digest(df) != listed.get(name):
+            raise BadData(f"{path}/{name} is not what the manifest lists")
+    return Dataset(f"corpus:{path}", docs, inter)
+
+
 # ------------------------------------------------------- rating archives
 def doubled_rating(text: Column) -> Column:
     """``3.5`` becomes 7 exactly; what is no half raises."""
@@ -136,6 +165,37 @@ def _pick(n: int, *keys: Column | int | str) -> Column:
     return F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(n))
 
 
+#: Weight of the first rank of a Zipf law in integers.
+ZIPF_SCALE = 1 << 40
+
+
+def zipf_bounds(spark: SparkSession, n: int) -> DataFrame:
+    """``rank, lo, hi``: the integer ranges, half-open and end to end, of ranks
+    0 to n - 1 with weight ``ZIPF_SCALE // (rank + 1)`` (1 at least), so that a
+    uniform integer below the last ``hi`` falls to a rank exactly by its weight."""
+    w = F.greatest(F.lit(1).cast("long"), F.expr(f"{ZIPF_SCALE}L div (id + 1)"))
+    upto = F.sum("w").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0))  # n is a vocabulary's size
+    return spark.range(n).withColumn("w", w).select(F.col("id").cast("int").alias("rank"), (upto - F.col("w")).alias("lo"), upto.alias("hi"))
+
+
+def zipf_ranks(draws: DataFrame, column: str, n: int, out: str = "rank") -> DataFrame:
+    """Append the rank that each hash in ``column`` (uniform over 63 bits) draws:
+    whole numbers only, by bisection over a broadcast table of ``n`` bounds."""
+    bounds = [r["hi"] for r in zipf_bounds(draws.sparkSession, n).orderBy("rank").collect()]  # n numbers
+    table = draws.sparkSession.createDataFrame([(bounds,)], "his array<long>")
+    value = F.pmod(F.col(column), F.lit(bounds[-1]))
+    steps = max(1, n.bit_length())
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(F.col("his"), mid) <= F.col("__v")
+        return F.struct(F.when(right & (s["lo"] < s["hi"]), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.array_repeat(F.lit(0), steps + 1), start, halve, lambda s: s["lo"])
+    return draws.withColumn("__v", value).join(F.broadcast(table), F.lit(True)).withColumn(out, found).drop("__v", "his")
+
+
 def synthetic(spark: SparkSession, spec: SyntheticSpec = SMALL) -> Dataset:
     """Zipf text with exact duplicates and twin pairs (a copy plus one word),
     attributes and heavy-tailed interactions; every value is a hash of its
@@ -144,10 +204,8 @@ def synthetic(spark: SparkSession, spec: SyntheticSpec = SMALL) -> Dataset:
         raise BadConfig("more copies than documents")
     s = spec.seed
     base = spark.range(spec.n_docs).withColumn("len", F.lit(spec.len_min) + _pick(spec.len_max - spec.len_min + 1, s, "len", F.col("id")))
-    # rank r has weight about 1/r: the inverse of the logarithmic distribution
-    u = (_pick(1 << 30, s, "w", F.col("id"), F.col("j")) + 0.5) / (1 << 30)
-    rank = F.least(F.floor(F.exp(u * F.log(F.lit(float(spec.vocab_size + 1))))).cast("int") - 1, F.lit(spec.vocab_size - 1))
-    toks = base.select("id", F.posexplode(F.sequence(F.lit(1), F.col("len"))).alias("j", "x")).select("id", "j", F.concat(F.lit("w"), F.lpad(rank.cast("string"), 5, "0")).alias("t"))
+    toks = base.select("id", F.posexplode(F.sequence(F.lit(1), F.col("len"))).alias("j", "x")).withColumn("draw", F.xxhash64(F.lit(s), F.lit("w"), "id", "j"))
+    toks = zipf_ranks(toks, "draw", spec.vocab_size).select("id", "j", F.concat(F.lit("w"), F.lpad(F.col("rank").cast("string"), 5, "0")).alias("t"))
     text = toks.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("j", "t"))), lambda e: e["t"]), " ").alias("text"))
     name = lambda p, w: F.concat(F.lit(p), F.lpad(F.col("id").cast("string"), w, "0"))
     docs = text.select(name("d", 6).alias("doc_id"), "text")

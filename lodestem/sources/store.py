@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import platform
+import tempfile
 from dataclasses import dataclass, field
 
 import pyspark
@@ -69,6 +71,38 @@ class Manifest:
         return hashlib.sha256(canonical_json(strip_volatile(self.to_dict())).encode()).hexdigest()
 
 
+    def require_reproducible(self) -> Manifest:
+        """The manifest, if every input and output has a digest; else an error."""
+        lost = [k for k, v in self.digests.items() if not v]
+        if lost or not self.digests:
+            raise BadData(f"no digest of {', '.join(lost) or 'anything'}")
+        return self
+
+
+def write_atomic(path: str, content: str) -> None:
+    """A local file that is whole or not there: written beside its place, synced,
+    and then renamed."""
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, beside = tempfile.mkstemp(dir=folder)
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, path)
+    except BaseException:
+        os.unlink(beside)
+        raise
+
+
+def write_json(path: str, value) -> None:
+    write_atomic(path, canonical_json(value) + "\n")
+
+
+def write_jsonl_file(path: str, rows) -> None:
+    write_atomic(path, "".join(canonical_json(r) + "\n" for r in rows))
+
+
 def _text(spark: SparkSession, path: str, content: str | None = None) -> str | None:
     """Read or write one small text through Hadoop's file systems."""
     if content is None:
