@@ -222,8 +222,9 @@ def verified(docs: list[np.ndarray], others: list[np.ndarray] | None, threshold:
     return both * threshold[1] >= union * threshold[0], both / union
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``id, n_words, class_id, n_links, kept`` for every row.
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, versions: bool = False) -> DataFrame:
+    """``id, n_words, class_id, n_links, kept`` for every row (and with
+    ``versions`` its text's ``xxhash64`` as ``v``).
 
     Shingles are runs of five words, parted by ASCII white space and compared
     unchanged (by 64-bit hashes, word sequences by 128 bits).  Two rows link at a
@@ -289,9 +290,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     )
     per_class = staged(per_class, "perclass").withColumnsRenamed({"s1": "t1", "s2": "t2"})
     discard(numbered, counts, least, links, settled)
-    out = sig.select("id", "s1", "s2", "n_words").join(per_class, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_words") == F.col("w")) & F.col("id").isNotNull(), "left")
+    out = sig.select("id", "v", "s1", "s2", "n_words").join(per_class, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_words") == F.col("w")) & F.col("id").isNotNull(), "left")
     c = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), "n_words", c.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_words", c.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"), *["v"] * versions)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The documents without near copies, with the same columns, whatever their
+    names: of every group of linked rows one stays, a row with the smallest id
+    (and of several texts under that id, the one with the smallest hash; of
+    repeated rows, any one).  Rows that link with nothing all stay."""
+    found = join(docs, id_col, text_col, threshold, versions=True).where("n_links > 0")
+    linked = staged(found.select(F.col(id_col).alias("i"), "v", "class_id"), "linked")
+    first = linked.where("i = class_id").groupBy(F.col("class_id").alias("c")).agg(F.min("v").alias("first"))
+    named = linked.join(first, F.col("class_id") == F.col("c")).groupBy("i", "v").agg(F.bool_or((F.col("i") == F.col("c")) & (F.col("v") == F.col("first"))).alias("stays"), (F.count("*") > 1).alias("twice"))
+    named = staged(named, "named").withColumnRenamed("v", "w")
+    text = F.col(text_col).cast("string")
+    maybe, clean = split_by_ids(docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__v")), named.select("i"), "__id")
+    judged = maybe.join(named.hint("shuffle_hash"), (F.col("__id") == F.col("i")) & (F.col("__v") == F.col("w")), "left")
+    kept = judged.where(F.coalesce("stays", F.lit(True)))
+    repeated = F.coalesce("twice", F.lit(False))
+    once = kept.where(repeated).groupBy("__id", "__v").agg(F.first("__row").alias("__row"))
+    out = clean.select("__row").unionByName(kept.where(~repeated).select("__row")).unionByName(once.select("__row"))
+    discard(linked)
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def _verify(src: DataFrame, clusters: DataFrame, todo: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:

@@ -452,6 +452,13 @@ def test_repeated_ids(spark, monkeypatch, hot):
         )
 
 
+def test_one_of_each_group_stays(spark):
+    near = [(1, BASE, "a"), (2, edited(BASE, 3, 80), "b"), (3, BASE, "c"), (1, BASE, "d"), (1, edited(BASE, 4, 80), "e"), (1, prose(50, 40), "f"), (7, None, "g"), (7, "", "h"), (None, BASE, "i"), (8, prose(40, 41), "j"), (8, prose(40, 41), "k")]
+    got = sorted((r["v"] for r in ngram_join.one_of_each(spark.createDataFrame(near, "doc_id long, text string, v string")).collect()), key=str)
+    assert len([v for v in got if v in "abcde"]) == 1 and not {"b", "c"} & set(got)
+    assert set("fghi") <= set(got) and len({"j", "k"} & set(got)) == 1 and len(got) == 6
+
+
 @pytest.mark.parametrize("hot", [1000, 0, 3])
 def test_substring_dedup(spark, docs, nothing, monkeypatch, hot):
     texts = dict(enumerate(TEXTS))
