@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestem.llm import ngram_join, packing, quality_rules, secret_ledger, substring_dedup
-from lodestem.llm.common import split_by_ids, staged
+from lodestem.llm.common import staged
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -22,31 +22,38 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by the base rules and a list learned from ``labels``."""
+    """Rejects documents by the base rules and a list learned from ``labels``.
+    Null and empty texts have too few words and go; repeated rows fare alike, and
+    so do equal statistics; without labels only the base rules decide."""
     rules = quality_rules.learn_from_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep_documents(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies;
-    of rows that repeat an id, all or none."""
-    gone = staged(ngram_join.join(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    maybe, clean = split_by_ids(docs, gone, "doc_id")
-    return clean.unionByName(maybe.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti"))
+    """Keeps one document of each group of near copies, one with the smallest
+    id.  Null and empty texts and rows without an id link with nothing and stay;
+    of repeated rows one stays; rows that repeat an id with another text are
+    documents of their own."""
+    return ngram_join.one_of_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of fifty words that an earlier document has."""
+    """Removes passages of fifty words that an earlier document has; a document
+    that loses all its words goes.  Null and empty texts, rows without an id and
+    texts that lose nothing stay as they are; repeated ids are no earlier."""
     return _sized(substring_dedup.dedup_documents(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every secret found."""
+    """Masks every secret found.  Null and empty texts and texts without a
+    finding stay as they are; repeated rows and ids are masked one by one."""
     return _sized(secret_ledger.redact_documents(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences.  A null or empty text is its
+    end token alone; repeated rows are packed as often as they occur; columns
+    other than id and text are left behind, whatever their names."""
     import public_tokenizers
 
     out = packing.pack(packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
