@@ -38,7 +38,7 @@ STEEPNESS = 1.5
 #: A configuration is taken while its value is within this part of the best one.
 SLACK = 0.02
 #: Words whose ids a worker keeps (two generations of half of that).
-CACHE_WORDS = 480_000
+CACHE_WORDS = 300_000
 
 
 # ------------------------------------------------------------- tokenising
