@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from ..errors import BadConfig
 from ..functions.numerics import Reduction, bits_column, exact_mean
 from .distances import compare_top_k, top_lists
-from .model import Model
+from .model import Model, norms
 from .ranking import sort_keys
 from .scoring import touched_scores
 from .ties import chains, run_gaps, score_runs
@@ -88,13 +88,14 @@ def noise_floor(model: Model, query_vectors: DataFrame, n_queries: int | None =
     differ, largest difference, and that in units of the last place.  Norms are
     recomputed under each policy.  With ``n_queries``, every pair of a query and
     a document counts as compared: those without a common term are 0 either way."""
-    exact = touched_scores(model, query_vectors, Reduction.EXACT).withColumnRenamed("score", "exact")
-    out = None
-    from .model import norms
 
-    for policy in (Reduction.NAIVE, Reduction.NEUMAIER, Reduction.PAIRWISE):
+    def under(policy: Reduction) -> DataFrame:
         own = Model(model.vocab, model.weights, norms(model.weights, reduction=policy), model.n_documents, policy)
-        d = touched_scores(own, query_vectors, policy).join(exact, ["query_id", "doc_id"])
+        return touched_scores(own, query_vectors, policy)
+
+    exact, out = under(Reduction.EXACT).withColumnRenamed("score", "exact"), None
+    for policy in (Reduction.NAIVE, Reduction.NEUMAIER, Reduction.PAIRWISE):
+        d = under(policy).join(exact, ["query_id", "doc_id"])
         gap = F.abs(F.col("score") - F.col("exact"))
         compared = F.count("*") if n_queries is None else F.lit(n_queries * model.n_documents).cast("long")
         ulps = F.coalesce(F.max(F.abs(bits_column(F.col("score")) - bits_column(F.col("exact")))), F.lit(0)).cast("long")
