@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..errors import BadConfig
 from ..functions.numerics import Reduction, bits_column, exact_mean
 from .distances import compare_top_k, top_lists
+from .local import disagreements, postings
 from .model import Model, norms
 from .ranking import sort_keys
 from .scoring import touched_scores
@@ -89,12 +90,23 @@ def noise_floor(model: Model, query_vectors: DataFrame, n_queries: int | None =
     recomputed under each policy.  With ``n_queries``, every pair of a query and
     a document counts as compared: those without a common term are 0 either way."""
 
+    policies = (Reduction.NAIVE, Reduction.NEUMAIER, Reduction.PAIRWISE)
+    few = postings(query_vectors)
+    if few is not None:
+        d = disagreements(model.arranged(), few, policies).groupBy("policy")
+        compared = F.sum("n") if n_queries is None else F.lit(n_queries * model.n_documents).cast("long")
+        got = d.agg(compared.alias("n_compared"), *[f.alias(c) for c, f in (("n_differing", F.sum("n_differing")), ("max_abs", F.max("max_abs")), ("max_ulps", F.max("max_ulps")))])
+        rows = model.vocab.sparkSession.createDataFrame([(p.value,) for p in policies], "policy string").join(got, "policy", "left")
+        none = F.lit(0 if n_queries is None else n_queries * model.n_documents).cast("long")
+        zero = F.lit(0).cast("long")
+        return rows.select(F.coalesce("n_compared", none).alias("n_compared"), F.coalesce("n_differing", zero).alias("n_differing"), F.coalesce("max_abs", F.lit(0.0)).alias("max_abs"), F.coalesce("max_ulps", zero).alias("max_ulps"), "policy")
+
     def under(policy: Reduction) -> DataFrame:
         own = Model(model.vocab, model.weights, norms(model.weights, reduction=policy), model.n_documents, policy)
         return touched_scores(own, query_vectors, policy)
 
     exact, out = under(Reduction.EXACT).withColumnRenamed("score", "exact"), None
-    for policy in (Reduction.NAIVE, Reduction.NEUMAIER, Reduction.PAIRWISE):
+    for policy in policies:
         d = under(policy).join(exact, ["query_id", "doc_id"])
         gap = F.abs(F.col("score") - F.col("exact"))
         compared = F.count("*") if n_queries is None else F.lit(n_queries * model.n_documents).cast("long")

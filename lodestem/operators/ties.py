@@ -29,13 +29,14 @@ def score_runs(ranking: DataFrame, query_ids: DataFrame | None = None, n_documen
     of each query are one run of score 0."""
     if "n" in ranking.columns:
         return ranking
-    runs = ranking.groupBy("query_id", "score").agg(F.count("*").alias("n"))
-    if query_ids is None:
-        return runs
-    seen = runs.groupBy("query_id").agg(F.sum("n").alias("seen"))
-    rest = query_ids.select("query_id").distinct().join(seen, "query_id", "left")
-    rest = rest.select("query_id", F.lit(0.0).alias("score"), (F.lit(n_documents) - F.coalesce("seen", F.lit(0))).alias("n")).where("n > 0")
-    return runs.unionByName(rest).groupBy("query_id", "score").agg(F.sum("n").alias("n"))
+    rows = ranking.select("query_id", "score", F.lit(1).cast("long").alias("n"))
+    if query_ids is not None:
+        seen = ranking.groupBy("query_id").agg(F.count("*").alias("seen"))
+        rest = query_ids.select("query_id").distinct().join(seen, "query_id", "left")
+        rest = rest.select("query_id", F.lit(0.0).alias("score"), (F.lit(n_documents) - F.coalesce("seen", F.lit(0))).alias("n")).where("n > 0")
+        rows = rows.unionByName(rest)
+    # dealt by query once: the windows over runs need that anyway
+    return rows.repartition("query_id").groupBy("query_id", "score").agg(F.sum("n").alias("n"))
 
 
 def run_gaps(runs: DataFrame) -> DataFrame:
