@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateId
-from ..functions.numerics import ordered_sum
+from .local import paired, postings, score_both, shift_parts
 from .model import Model, embed, fit
 from .scoring import BOUND_SLACK, touched_scores
 
 
+#: Rows of an edit (tokens or documents of one side only) that are broadcast.
+FEW = 200_000
+
+
 # ------------------------------------------------------------------ edits
 def _exists(docs: DataFrame, doc_id: str) -> bool:
     return bool(docs.where(F.col("doc_id") == doc_id).head(1))
@@ -81,32 +85,31 @@ def idf_shift(alignment: DataFrame) -> DataFrame:
     return out.withColumn("looseness", F.when(F.col("linf_shared") > 0, F.col("linf") / F.col("linf_shared")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few; they are counted for it."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _marked(weights: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Append ``alone``: is the token among these (without repeats)?"""
+    return weights.join(_small(tokens.withColumn("__alone", F.lit(True))), "token", "left").withColumn("alone", F.col("__alone").isNotNull()).drop("__alone")
+
+
 def vector_shift(before: Model, after: Model) -> DataFrame:
     """Per document of both models: the move of its vector, the three terms that
     bound it, and the parts on shared, gained and lost tokens.
 
-    tf is what is left of a weight after dividing by its idf.  Ties of the
-    dominant term go to local, then global, then interaction.
+    Ties of the dominant term go to local, then global, then interaction.
     """
-    al = align(before.vocab, after.vocab)
+    al = align(before.vocab, after.vocab).persist()
     top = al.agg(F.max(F.abs("idf_before")).alias("m"), F.max(F.abs("delta")).alias("d")).first()
     idf_max, delta_max = float(top["m"] or 0.0), float(top["d"] or 0.0)
     docs = before.stats.select("doc_id").join(after.stats.select("doc_id"), "doc_id")
-    a = before.weights.select("doc_id", "token", F.col("weight").alias("w"))
-    b = after.weights.select("doc_id", "token", F.col("weight").alias("v"))
-    both = a.join(b, ["doc_id", "token"], "full_outer").join(al, "token").select("doc_id", "token", "in_before", "in_after", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("w", "v")], "idf_before", "idf_after")
-    tf = F.when(F.col("idf_before") != 0, F.col("w") / F.when(F.col("idf_before") != 0, F.col("idf_before"))).otherwise(0.0)
-    tf2 = F.when(F.col("idf_after") != 0, F.col("v") / F.when(F.col("idf_after") != 0, F.col("idf_after"))).otherwise(0.0)
-    both = both.withColumn("diff", F.col("v") - F.col("w")).withColumn("tf", tf).withColumn("dtf", tf2 - F.col("tf"))
-    shared = F.col("in_before") & F.col("in_after")
-    zero = F.lit(0.0)
-    norm = lambda x: F.sqrt(ordered_sum(F.col("token"), x * x))
-    parts = both.groupBy("doc_id").agg(
-        norm(F.col("diff")).alias("observed"), norm(F.col("tf")).alias("tf"), norm(F.col("dtf")).alias("dtf"),
-        norm(F.when(shared, F.col("diff")).otherwise(zero)).alias("shared_shift"),
-        norm(F.when(~F.col("in_before"), F.col("v")).otherwise(zero)).alias("gained_mass"),
-        norm(F.when(~F.col("in_after"), F.col("w")).otherwise(zero)).alias("lost_mass"),
-    )
+    cols = [F.col(c) for c in ("doc_id", "token", "weight", "tf")]
+    a = _marked(before.weights.select(*cols), al.where("not in_after").select("token"))
+    b = _marked(after.weights.select(*cols), al.where("not in_before").select("token"))
+    parts = shift_parts(paired(a, b))
     out = docs.join(parts, "doc_id", "left").na.fill(0.0)
     out = out.withColumns({"local": F.col("dtf") * idf_max, "global": F.col("tf") * delta_max, "interaction": F.col("dtf") * delta_max})
     out = out.withColumn("total", F.col("local") + F.col("global") + F.col("interaction"))
@@ -131,6 +134,13 @@ def score_shift(before: Model, after: Model, query_before: DataFrame, query_afte
     """``query_id, doc_id, score_before, score_after, shift`` over documents of
     both models that share a term with the query in one of them, the query
     embedded in each; all others score 0 on both sides and are left out."""
+    p, q = postings(query_before, query_after), postings(query_after, query_before)
+    if p is not None and q is not None:
+        a, b = before.stats.select("doc_id"), after.stats.select("doc_id")
+        gone = _small(a.join(b, "doc_id", "left_anti").unionByName(b.join(a, "doc_id", "left_anti")))
+        sides = [m.weights.select("doc_id", "token", "weight").join(gone, "doc_id", "left_anti") for m in (before, after)]
+        out = score_both(paired(*sides), p, q, (before.reduction, after.reduction))
+        return out.withColumn("shift", F.abs(F.col("score_after") - F.col("score_before")))
     s = touched_scores(before, query_before).withColumnRenamed("score", "score_before")
     t = touched_scores(after, query_after).withColumnRenamed("score", "score_after")
     kept = before.stats.select("doc_id").join(after.stats.select("doc_id"), "doc_id")
