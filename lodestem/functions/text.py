@@ -12,12 +12,14 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,6 +217,42 @@ def preprocess(df: DataFrame, cfg: PreprocessingConfig = PreprocessingConfig(),
     return made.withColumn(out, F.col("__p.features")).drop("__p")
 
 
+#: Words whose lemma a worker remembers, and rows of counts it sends at a time.
+REMEMBERED = 1 << 18
+SENT = 1 << 16
+
+
+def counted(df: DataFrame, cfg: PreprocessingConfig = PreprocessingConfig(), text_col: str = "text", id_col: str = "doc_id", table: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, token, cnt`` of the full profile, a row per document and feature
+    of rows that are dealt by id (those that repeat one are one document): one
+    document's features are held at a time, and words are rarely stemmed twice."""
+    stop = frozenset(cfg.stopwords)
+
+    def run(batches):
+        lemma = lru_cache(REMEMBERED)(lemmatiser_of(cfg, table))
+        rows = ((i.as_py(), t.as_py()) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
+        ids, tokens, counts = [], [], []
+        for doc, texts in groupby(rows, lambda r: r[0]):
+            got = Counter()
+            for _, text in texts:
+                raw = tokens_of(text or "", cfg)
+                got.update(ngrams_of([t if t == GAP else lemma(t) for t in gapped(raw, stop, cfg.insert_gaps)], cfg.n_min, cfg.n_max, cfg.cross_gaps))
+            ids += [doc] * len(got)
+            tokens += got.keys()
+            counts += got.values()
+            if len(ids) >= SENT:
+                yield _counts(ids, tokens, counts)
+                ids, tokens, counts = [], [], []
+        yield _counts(ids, tokens, counts)
+
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).sortWithinPartitions("doc_id")
+    return rows.mapInArrow(run, "doc_id string, token string, cnt long")
+
+
+def _counts(ids: list, tokens: list, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "token", "cnt"])
+
+
 def looked_up(df: DataFrame, table: DataFrame, tokens: str = "features", fallback: Column | None = None) -> DataFrame:
     """Every token replaced by its lemma in ``table(token, lemma)``, by a join;
     tokens without one go to ``fallback`` (a column over ``token``), or stay.
