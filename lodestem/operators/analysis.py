@@ -178,15 +178,35 @@ def _draw(*keys: Column) -> Column:
     return (F.xxhash64(*keys) / F.lit(2.0**63)).cast("double")
 
 
-def _perturbed(base: DataFrame, attributes: DataFrame, k: int, cells: DataFrame, eps: Column, seed: int) -> DataFrame:
-    """Per cell (query and trial columns): is the top-k set unchanged, and by how
-    much did scores really move?"""
-    keys = [c for c in cells.columns if c != "query_id"]
-    noisy = base.join(cells, "query_id").withColumn("moved", F.col("score") + eps * _draw(F.lit(seed), F.col("query_id"), F.col("doc_id"), *[F.col(c) for c in keys]))
-    w = W.partitionBy("query_id", *keys)
-    ranked = noisy.join(attributes, "doc_id").withColumn("r", F.row_number().over(w.orderBy(*sort_keys("pi", F.col("moved")))))
-    was, now = F.col("rnk") <= k, F.col("r") <= k
-    return ranked.groupBy("query_id", *keys).agg(F.count_if(was & ~now).alias("left"), F.max(F.abs(F.col("moved") - F.col("score"))).alias("realised"), F.max("radius").alias("radius"))
+def _perturbed(base: DataFrame, attributes: DataFrame, k: int, trials: DataFrame, eps: Column, seed: int, near: Column | None = None) -> DataFrame:
+    """Per cell (query and row of ``trials``): is the top-k set unchanged, and by how
+    much did scores really move?
+
+    The set changes if the best score outside passes the worst inside, so cells
+    are extremes, aggregated where the rows are; only cells where the two are
+    equal, which attributes decide, are ranked.  ``near`` says of an outside row
+    and a cell whether it can matter at all.
+    """
+    keys = trials.columns
+    noisy = base.join(F.broadcast(trials), F.lit(True))
+    if near is not None:
+        noisy = noisy.where((F.col("rnk") <= k) | near)
+    noisy = noisy.withColumn("moved", F.col("score") + eps * _draw(F.lit(seed), F.col("query_id"), F.col("doc_id"), *[F.col(c) for c in keys]))
+    inside = F.col("rnk") <= k
+    found = noisy.groupBy("query_id", *keys).agg(
+        F.min(F.when(inside, F.col("moved"))).alias("worst"), F.max(F.when(~inside, F.col("moved"))).alias("best"),
+        F.max(F.abs(F.col("moved") - F.col("score"))).alias("realised"), F.max("radius").alias("radius"),
+    ).persist()
+    tied = found.where("worst = best").select("query_id", *[F.col(c).alias(f"__{c}") for c in keys], "worst")
+    # the rows at the tied score: the set changes if one outside comes before one inside
+    at = noisy.join(F.broadcast(tied), "query_id").where(F.col("moved") == F.col("worst"))
+    for c in keys:
+        at = at.where(F.col(c) == F.col(f"__{c}"))
+    order = F.row_number().over(W.partitionBy("query_id", *keys).orderBy(*sort_keys("pi", F.col("moved"))))
+    order = at.select("query_id", *keys, "doc_id", "moved", inside.alias("inside")).join(attributes, "doc_id").withColumn("r", order)
+    passed = order.groupBy("query_id", *keys).agg((F.min(F.when(~F.col("inside"), F.col("r"))) < F.max(F.when(F.col("inside"), F.col("r")))).alias("passed"))
+    changed = F.coalesce(F.col("best") > F.col("worst"), F.lit(False)) | F.coalesce("passed", F.lit(False))
+    return found.join(passed, ["query_id", *keys], "left").withColumn("left", changed.cast("long"))
 
 
 def _with_radius(ranking: DataFrame, k: int) -> DataFrame:
@@ -199,14 +219,15 @@ def transition_curve(ranking: DataFrame, attributes: DataFrame, k: int, ratios:
     """``ratio, flips, n, rate``: how often uniform noise of ``ratio`` times the
     radius changes the top-k set.  Queries tied or undefined at k are left out;
     more noise than the radius cannot be needed at ratios below 1."""
-    base = _with_radius(ranking, k)
+    base = _with_radius(ranking, k).persist()
     # k documents stay above kth - eps, so what lies more than 2 eps below kth
-    # never enters the set: leaving it out changes no count
-    base = base.where(F.col("score") >= F.col("kth") - F.col("radius") * (2.000001 * max(ratios)) - 1e-12)
+    # never enters the set: leaving it out changes no count, and each ratio has
+    # its own reach
+    reach = lambda ratio: F.col("score") >= F.col("kth") - F.col("radius") * (2.000001 * ratio) - 1e-12
+    base = base.where(reach(max(ratios)))
     spark = ranking.sparkSession
     trial = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(*[F.lit(float(r)) for r in ratios])).alias("ratio"))
-    cells = base.select("query_id").distinct().join(trial, F.lit(True))
-    got = _perturbed(base, attributes, k, cells, F.col("radius") * F.col("ratio"), seed)
+    got = _perturbed(base, attributes, k, trial, F.col("radius") * F.col("ratio"), seed, reach(F.col("ratio")))
     return got.groupBy("ratio").agg(F.count_if(F.col("left") > 0).alias("flips"), F.count("*").alias("n")).withColumn("rate", F.col("flips") / F.col("n"))
 
 
@@ -214,9 +235,9 @@ def certificate_audit(ranking: DataFrame, attributes: DataFrame, k: int, trials:
     """``certified, unchanged, n`` of the four cells; the certificate is sound
     only if (certified, changed) is empty."""
     base = _with_radius(ranking, k)
-    cells = base.select("query_id").distinct().join(ranking.sparkSession.range(trials).withColumnRenamed("id", "trial"), F.lit(True))
+    trial = ranking.sparkSession.range(trials).withColumnRenamed("id", "trial")
     size = (_draw(F.lit(seed + 1), F.col("query_id"), F.col("trial")) + 1) / 2 * max_ratio
-    got = _perturbed(base, attributes, k, cells, F.col("radius") * size, seed)
+    got = _perturbed(base, attributes, k, trial, F.col("radius") * size, seed)
     cell = got.select((F.col("realised") < F.col("radius")).alias("certified"), (F.col("left") == 0).alias("unchanged")).groupBy("certified", "unchanged").agg(F.count("*").alias("n"))
     grid = ranking.sparkSession.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "certified boolean, unchanged boolean")
     return grid.join(cell, ["certified", "unchanged"], "left").select("certified", "unchanged", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
