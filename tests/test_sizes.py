@@ -13,10 +13,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_fold_sizes_are_those_of_the_folds(spark):
+def test_fold_sizes_are_those_of_the_folds(spark, tmp_path):
     counts = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1), ("c", "z", 3)], "doc_id string, token string, cnt long")
     liked = [("u", "a"), ("u", "b"), ("u", "c"), ("u", "bare"), ("v", "a"), ("v", "bare"), ("w", "a"), ("n", "bare"), ("n", "none")]
     items = spark.createDataFrame(liked, "user_id string, doc_id string")
+    for name, df in (("counts", counts), ("items", items)):
+        df.write.parquet(str(tmp_path / name))
+    counts, items = (spark.read.parquet(str(tmp_path / name)) for name in ("counts", "items"))
     want = profiles.fold_counts(items, counts, 2).groupBy("query_id").agg(F.count("*").alias("n_features"), F.sum("cnt").alias("length"))
     got = profiles.fold_sizes(items, counts, 2)
     assert _rows(got) == _rows(want) and len(_rows(got)) == 5 and got.dtypes == want.dtypes
