@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.numerics import PAIRWISE_BLOCK, Reduction, neumaier, pairwise
 
@@ -27,7 +28,10 @@ CELLS = 1 << 20
 
 
 def arranged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key, "token")
+    """The rows dealt by key and sorted by token.  A window asks for just that, and
+    unlike a repartition it makes no exchange where rows are dealt so already."""
+    at = F.row_number().over(W.partitionBy(key).orderBy("token"))
+    return rows.withColumn("__at", at).where("__at > 0").drop("__at")
 
 
 def whole(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -189,6 +193,30 @@ def score(weights: DataFrame, p: Postings, policy: Reduction = Reduction.NAIVE,
     return weights.where(F.col("doc_id").isNotNull()).select("doc_id", "token", "weight").mapInArrow(run, "query_id string, doc_id string, score double")
 
 
+def leading(weights: DataFrame, p: Postings, k: int, slack: float, policy: Reduction = Reduction.NAIVE) -> DataFrame:
+    """``query_id, doc_id, score`` of all scores above 0 that are among the best
+    ``k`` of their query or less than ``slack`` below them, and some more: every
+    part leaves out what it has seen ``k`` better ones of."""
+    held = weights.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches):
+        p = held.value
+        names, values, qn = pa.array(p.ids, pa.string()), pa.array(p.tokens, pa.string()), p.norms(policy)
+        best = np.zeros((k, len(p.ids)))
+        for table in whole(batches, "doc_id"):
+            for part, starts, of in _blocks(table, p):
+                n, w = len(starts), part["weight"].to_numpy()
+                pair, x = _terms(part, of, p, values)
+                norm = np.sqrt(sums(of, w * w, n, policy))
+                got = _cosines(sums(pair, x, n * len(p.ids), policy), np.tile(qn, n) * np.repeat(norm, len(p.ids))).reshape(n, len(p.ids))
+                best = np.partition(np.concatenate([best, got]), n, axis=0)[n:]
+                doc, query = np.nonzero((got > 0) & (got >= best.min(axis=0) - slack))
+                ids = part["doc_id"].take(pa.array(starts)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(got[doc, query])], ["query_id", "doc_id", "score"])
+
+    return weights.where(F.col("doc_id").isNotNull()).select("doc_id", "token", "weight").mapInArrow(run, "query_id string, doc_id string, score double")
+
+
 def disagreements(weights: DataFrame, p: Postings, policies: tuple[Reduction, ...]) -> DataFrame:
     """``policy, n, n_differing, max_abs, max_ulps`` of the scores of each policy
     against exactly rounded sums, a row per part: nothing but these is kept."""

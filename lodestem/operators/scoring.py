@@ -43,6 +43,14 @@ def touched_scores(model: Model, query_vectors: DataFrame, reduction: Reduction
     return d.join(qn, "query_id").join(model.stats.select("doc_id", "norm"), "doc_id").select("query_id", "doc_id", cosine_of(F.col("dot"), F.col("qn"), F.col("norm")).alias("score"))
 
 
+def leading_scores(model: Model, query_vectors: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
+    """Those ``touched_scores`` above 0 that ``ranking.leading`` may keep for ``k``,
+    also once scores are rounded by at most half of ``slack``: for a bounded set of
+    queries a bounded number of each part, ties aside; else all."""
+    few = local.postings(query_vectors)
+    return touched_scores(model, query_vectors) if few is None else local.leading(model.arranged(), few, k, slack, model.reduction)
+
+
 def all_scores(model: Model, query_vectors: DataFrame, query_ids: DataFrame, excluded: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """Scores of every stated query against every document: documents that
     share no term, and all under a query without known terms, score 0.

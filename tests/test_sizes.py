@@ -1,8 +1,12 @@
 """Steps that must not grow faster than their input, against plainer ones."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from lodestem.operators import profiles
+from lodestem.operators import local, model, profiles, ranking, scoring
+from lodestem.operators.model import embed, fit
 
 
 def _rows(df):
@@ -25,3 +29,40 @@ def test_fold_sizes_are_those_of_the_folds(spark, tmp_path):
     assert _rows(got) == _rows(want) and len(_rows(got)) == 5 and got.dtypes == want.dtypes
     # the step is not left to size estimates: parts and their counts were broadcast, however many they were
     assert "BroadcastExchange" in _plan(profiles.fold_counts(items, counts, 2)) and "BroadcastExchange" not in _plan(got)
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(80)]
+    docs = [(f"d{i}", rng.choices(words, [1 / (j + 1) for j in range(80)], k=rng.choice([0, 1, 7, 60]))) for i in range(80)]
+    qs = [(f"q{i}", rng.choices([*words, "unknown"], k=5)) for i in range(6)] + [("none", ["unknown"])]
+    return spark.createDataFrame(docs, "doc_id string, features array<string>").repartition(3, "doc_id"), spark.createDataFrame(qs, "query_id string, features array<string>")
+
+
+@pytest.mark.parametrize("most", [0, 1, 30])
+def test_frequent_tokens_meet_counts_where_they_lie(made, monkeypatch, most):
+    whole = fit(made[0], check=False)
+    monkeypatch.setattr(model, "FREQUENT", most)
+    m = fit(made[0], check=False)
+    assert _rows(m.weights) == _rows(whole.weights) and _rows(m.stats) == _rows(whole.stats)
+    # documents are whole and sorted in their part
+    parts = [(p, d, t) for p, d, t in (tuple(r) for r in m.arranged().select(F.spark_partition_id(), "doc_id", "token").collect())]
+    assert parts == sorted(parts) and len({(p, d) for p, d, _ in parts}) == len({d for _, d, _ in parts})
+    # all weights went to their token, and back to their document
+    plan = _plan(m.weights).split("InMemoryRelation")[1]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x]
+    assert most == 0 or all("REPARTITION_BY_NUM" in x for x in dealt)
+
+
+@pytest.mark.parametrize("k", [1, 4, 200])
+def test_leading_scores_are_the_leading_ones(made, monkeypatch, k):
+    monkeypatch.setattr(local, "CELLS", 40)
+    docs, qs = made
+    m = fit(docs, check=False)
+    every = scoring.touched_scores(m, embed(m, qs)).where("score > 0")
+    some = scoring.leading_scores(m, embed(m, qs), k, 2e-3)
+    for digits in (3, 17):
+        at = lambda df: df.withColumn("score", F.round("score", digits)).where("score > 0")  # noqa: B023, E731
+        assert _rows(ranking.leading(at(some), k)) == _rows(ranking.leading(at(every), k))
+    assert k > 4 or some.count() < every.count()
