@@ -41,7 +41,8 @@ TEXT_ATTRIBUTES = (Attribute("popularity", "popularity"), Attribute("rating", ("
 
 def text_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length, labelled quality (missing without a label) and number of lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    # lines are counted before the join: no text travels
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(F.split("text", "\n", -1)).cast("long").alias("engagement"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     out = docs.join(lab, "doc_id", "left")
     return out.select(
@@ -49,7 +50,7 @@ def text_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("popularity"),
         F.col("quality").cast("long").alias("rating_num"),
         F.when(F.col("quality").isNotNull(), F.lit(1)).otherwise(0).cast("long").alias("rating_den"),
-        F.size(F.split("text", "\n", -1)).cast("long").alias("engagement"),
+        "engagement",
     )
 
 
