@@ -101,6 +101,21 @@ def folded_norms(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reduc
     return rows.where(F.col(key).isNotNull()).select(key, "cnt", "weight").mapInArrow(run, f"{key} string, length long, norm double")
 
 
+def unit_rows(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reduction.NAIVE) -> DataFrame:
+    """``key, token, weight`` of ``arranged`` vectors, each divided by its norm;
+    zero vectors have none."""
+
+    def run(batches):
+        for t in whole(batches, key):
+            starts, of = groups(t[key])
+            w = t["weight"].to_numpy()
+            norm = np.sqrt(sums(of, w * w, len(starts), policy))[of]
+            t = t.set_column(2, "weight", pa.array(np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)))
+            yield from t.filter(pa.array(norm > 0)).to_batches()
+
+    return rows.where(F.col(key).isNotNull()).select(key, "token", "weight").mapInArrow(run, f"{key} string, token string, weight double")
+
+
 @dataclass(frozen=True)
 class Postings:
     """The vectors of a bounded number of queries, by token."""

@@ -106,8 +106,11 @@ def difference_norms(before: DataFrame, after: DataFrame, key: str = "doc_id", r
     return local.difference(local.paired(before.select(key, "token", "weight"), after.select(key, "token", "weight"), key), key, reduction)
 
 
-def units(vectors: DataFrame, key: str = "doc_id", reduction: Reduction = Reduction.NAIVE) -> DataFrame:
-    """``key, token, weight`` of the unit vectors; zero vectors have none."""
+def units(vectors: DataFrame, key: str = "doc_id", reduction: Reduction = Reduction.NAIVE, dealt: bool = False) -> DataFrame:
+    """``key, token, weight`` of the unit vectors; zero vectors have none.  Vectors
+    that are ``dealt`` (``local.arranged``) are divided where they lie."""
+    if dealt:
+        return local.unit_rows(vectors, key, reduction)
     n = norms(vectors, key, reduction).where("norm > 0").select(key, "norm")
     return vectors.join(n, key).select(key, "token", (F.col("weight") / F.col("norm")).alias("weight"))
 

@@ -1,12 +1,16 @@
 """Steps that must not grow faster than their input, against plainer ones."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestem.operators import local, model, profiles, ranking, scoring
 from lodestem.operators.model import embed, fit
+from lodestem.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def _rows(df):
@@ -66,3 +70,17 @@ def test_leading_scores_are_the_leading_ones(made, monkeypatch, k):
         at = lambda df: df.withColumn("score", F.round("score", digits)).where("score > 0")  # noqa: B023, E731
         assert _rows(ranking.leading(at(some), k)) == _rows(ranking.leading(at(every), k))
     assert k > 4 or some.count() < every.count()
+
+
+def test_units_and_norms_of_dealt_vectors_need_no_lists(made):
+    m = fit(made[0], check=False)
+    got = scoring.units(m.arranged(), dealt=True)
+    assert _rows(got) == _rows(scoring.units(m.weights))
+    assert not any(x in _plan(got).split("InMemoryRelation")[0] for x in ("Aggregate", "Join", "Exchange"))
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
+@pytest.mark.parametrize("name", ["row_norms_exact", "unit_weights"])
+def test_queries_on_vectors_are_folds_where_they_lie(spark, name):
+    # lists of all weights of a document were collected, in one task of many documents
+    assert "collect_list" not in _plan(QUERIES[name](spark, SF)).split("InMemoryRelation")[0]
