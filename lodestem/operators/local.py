@@ -9,7 +9,7 @@ which is the order that ``ordered_sum`` sorts into.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,30 @@ def arranged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("__at", at).where("__at > 0").drop("__at")
 
 
+@dataclass(frozen=True)
+class Made:
+    """Vectors like ``arranged`` ones that ``make`` makes of batches of ``docs``, in
+    the worker that goes on with them."""
+
+    docs: DataFrame
+    make: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+    def rows(self, schema: str) -> DataFrame:
+        return mapped(self, [c.split()[0] for c in schema.split(", ")], lambda batches: batches, schema)
+
+
+def _session(rows: DataFrame | Made):
+    return (rows.docs if isinstance(rows, Made) else rows).sparkSession
+
+
+def mapped(rows: DataFrame | Made, columns: list[str], run, schema: str) -> DataFrame:
+    """``run`` over the batches of whole vectors, whose first column is their key."""
+    if not isinstance(rows, Made):
+        return rows.where(F.col(columns[0]).isNotNull()).select(*columns).mapInArrow(run, schema)
+    make = rows.make
+    return rows.docs.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches)), schema)
+
+
 def whole(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The batches, cut so that no key lies in two tables."""
     held: list[pa.RecordBatch] = []
@@ -88,7 +112,7 @@ def sums(group: np.ndarray, values: np.ndarray, n: int, policy: Reduction = Redu
     return out
 
 
-def folded_norms(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reduction.NAIVE) -> DataFrame:
+def folded_norms(rows: DataFrame | Made, key: str = "doc_id", policy: Reduction = Reduction.NAIVE) -> DataFrame:
     """``key, length, norm`` of ``arranged`` vectors."""
 
     def run(batches):
@@ -98,10 +122,10 @@ def folded_norms(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reduc
             length = np.add.reduceat(t["cnt"].to_numpy(), starts)
             yield pa.RecordBatch.from_arrays([t[key].take(pa.array(starts)).combine_chunks(), pa.array(length, pa.int64()), pa.array(np.sqrt(sums(of, w * w, len(starts), policy)))], [key, "length", "norm"])
 
-    return rows.where(F.col(key).isNotNull()).select(key, "cnt", "weight").mapInArrow(run, f"{key} string, length long, norm double")
+    return mapped(rows, [key, "cnt", "weight"], run, f"{key} string, length long, norm double")
 
 
-def unit_rows(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reduction.NAIVE) -> DataFrame:
+def unit_rows(rows: DataFrame | Made, key: str = "doc_id", policy: Reduction = Reduction.NAIVE) -> DataFrame:
     """``key, token, weight`` of ``arranged`` vectors, each divided by its norm;
     zero vectors have none."""
 
@@ -113,7 +137,7 @@ def unit_rows(rows: DataFrame, key: str = "doc_id", policy: Reduction = Reductio
             t = t.set_column(2, "weight", pa.array(np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)))
             yield from t.filter(pa.array(norm > 0)).to_batches()
 
-    return rows.where(F.col(key).isNotNull()).select(key, "token", "weight").mapInArrow(run, f"{key} string, token string, weight double")
+    return mapped(rows, [key, "token", "weight"], run, f"{key} string, token string, weight double")
 
 
 @dataclass(frozen=True)
@@ -182,14 +206,43 @@ def _terms(part: pa.Table, of: np.ndarray, p: Postings, values: pa.Array) -> tup
     return pair, p.weight[entry] * np.repeat(part["weight"].to_numpy()[rows], sizes)
 
 
+def _dots(part: pa.Table, of: np.ndarray, n: int, p: Postings, values: pa.Array, policy: Reduction, touched: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Documents x queries: the sums of the products of their common terms and,
+    where asked, the pairs that have any.  Plain sums are made a token at a time, in
+    token order; what a query lacks adds 0, which changes no sum."""
+    many = len(p.ids)
+    if policy is not Reduction.NAIVE:
+        pair, x = _terms(part, of, p, values)
+        return sums(pair, x, n * many, policy), np.flatnonzero(np.bincount(pair, minlength=n * many)) if touched else None
+    token = pc.fill_null(pc.index_in(part["token"], value_set=values), -1).to_numpy()
+    rows = np.flatnonzero(token >= 0)
+    rows = rows[np.argsort(token[rows], kind="stable")]
+    token, doc, w = token[rows], of[rows], part["weight"].to_numpy()[rows]
+    cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, int)
+    dot, seen = np.zeros((n, many)), np.zeros((n, many), bool)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        t = token[lo]
+        at = slice(p.starts[t], p.starts[t] + p.sizes[t])
+        q, d = p.query[at], doc[lo:hi]
+        if len(q) * 16 > many:
+            line = np.zeros(many)
+            line[q] = p.weight[at]
+            dot[d] += w[lo:hi, None] * line
+        else:
+            dot[d[:, None], q] += w[lo:hi, None] * p.weight[at]
+        if touched:
+            seen[d[:, None], q] = True
+    return dot.ravel(), np.flatnonzero(seen.ravel()) if touched else None
+
+
 def _cosines(dot: np.ndarray, both: np.ndarray) -> np.ndarray:
     return np.divide(dot, both, out=np.zeros_like(dot), where=both != 0)
 
 
-def score(weights: DataFrame, p: Postings, policy: Reduction = Reduction.NAIVE, dense: bool = False) -> DataFrame:
+def score(weights: DataFrame | Made, p: Postings, policy: Reduction = Reduction.NAIVE, dense: bool = False) -> DataFrame:
     """``query_id, doc_id, score`` of ``arranged`` documents that share a term
     with the query; with ``dense``, of every query and document with a term."""
-    held = weights.sparkSession.sparkContext.broadcast(p)
+    held = _session(weights).sparkContext.broadcast(p)
 
     def run(batches):
         p = held.value
@@ -197,22 +250,22 @@ def score(weights: DataFrame, p: Postings, policy: Reduction = Reduction.NAIVE,
         for table in whole(batches, "doc_id"):
             for part, starts, of in _blocks(table, p):
                 n, w = len(starts), part["weight"].to_numpy()
-                pair, x = _terms(part, of, p, values)
                 norm = np.sqrt(sums(of, w * w, n, policy))
-                cell = np.arange(n * len(p.ids)) if dense else np.flatnonzero(np.bincount(pair, minlength=n * len(p.ids)))
+                dot, cell = _dots(part, of, n, p, values, policy, touched=not dense)
+                cell = np.arange(n * len(p.ids)) if dense else cell
                 doc, query = np.divmod(cell, max(1, len(p.ids)))
-                got = _cosines(sums(pair, x, n * len(p.ids), policy)[cell], qn[query] * norm[doc])
+                got = _cosines(dot[cell], qn[query] * norm[doc])
                 ids = part["doc_id"].take(pa.array(starts)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(got)], ["query_id", "doc_id", "score"])
 
-    return weights.where(F.col("doc_id").isNotNull()).select("doc_id", "token", "weight").mapInArrow(run, "query_id string, doc_id string, score double")
+    return mapped(weights, ["doc_id", "token", "weight"], run, "query_id string, doc_id string, score double")
 
 
-def leading(weights: DataFrame, p: Postings, k: int, slack: float, policy: Reduction = Reduction.NAIVE) -> DataFrame:
+def leading(weights: DataFrame | Made, p: Postings, k: int, slack: float, policy: Reduction = Reduction.NAIVE) -> DataFrame:
     """``query_id, doc_id, score`` of all scores above 0 that are among the best
     ``k`` of their query or less than ``slack`` below them, and some more: every
     part leaves out what it has seen ``k`` better ones of."""
-    held = weights.sparkSession.sparkContext.broadcast(p)
+    held = _session(weights).sparkContext.broadcast(p)
 
     def run(batches):
         p = held.value
@@ -221,21 +274,20 @@ def leading(weights: DataFrame, p: Postings, k: int, slack: float, policy: Reduc
         for table in whole(batches, "doc_id"):
             for part, starts, of in _blocks(table, p):
                 n, w = len(starts), part["weight"].to_numpy()
-                pair, x = _terms(part, of, p, values)
                 norm = np.sqrt(sums(of, w * w, n, policy))
-                got = _cosines(sums(pair, x, n * len(p.ids), policy), np.tile(qn, n) * np.repeat(norm, len(p.ids))).reshape(n, len(p.ids))
+                got = _cosines(_dots(part, of, n, p, values, policy)[0], np.tile(qn, n) * np.repeat(norm, len(p.ids))).reshape(n, len(p.ids))
                 best = np.partition(np.concatenate([best, got]), n, axis=0)[n:]
                 doc, query = np.nonzero((got > 0) & (got >= best.min(axis=0) - slack))
                 ids = part["doc_id"].take(pa.array(starts)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(got[doc, query])], ["query_id", "doc_id", "score"])
 
-    return weights.where(F.col("doc_id").isNotNull()).select("doc_id", "token", "weight").mapInArrow(run, "query_id string, doc_id string, score double")
+    return mapped(weights, ["doc_id", "token", "weight"], run, "query_id string, doc_id string, score double")
 
 
-def disagreements(weights: DataFrame, p: Postings, policies: tuple[Reduction, ...]) -> DataFrame:
+def disagreements(weights: DataFrame | Made, p: Postings, policies: tuple[Reduction, ...]) -> DataFrame:
     """``policy, n, n_differing, max_abs, max_ulps`` of the scores of each policy
     against exactly rounded sums, a row per part: nothing but these is kept."""
-    held = weights.sparkSession.sparkContext.broadcast(p)
+    held = _session(weights).sparkContext.broadcast(p)
 
     def run(batches):
         p = held.value
@@ -258,7 +310,7 @@ def disagreements(weights: DataFrame, p: Postings, policies: tuple[Reduction, ..
                     found[r] = [f[0] + len(cell), f[1] + int((gap > 0).sum()), max(f[2], float(gap.max(initial=0.0))), max(f[3], int(apart.max(initial=0)))]
         yield pa.RecordBatch.from_pydict({"policy": [r.value for r in policies], **{c: [found[r][i] for r in policies] for i, c in enumerate(("n", "n_differing", "max_abs", "max_ulps"))}})
 
-    return weights.where(F.col("doc_id").isNotNull()).select("doc_id", "token", "weight").mapInArrow(run, "policy string, n long, n_differing long, max_abs double, max_ulps long")
+    return mapped(weights, ["doc_id", "token", "weight"], run, "policy string, n long, n_differing long, max_abs double, max_ulps long")
 
 
 # ------------------------------------------------------ two sides of an edit
@@ -278,7 +330,7 @@ def _entries(t: pa.Table, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, of[new]
 
 
-def difference(pairs: DataFrame, key: str, policy: Reduction) -> DataFrame:
+def difference(pairs: DataFrame | Made, key: str, policy: Reduction) -> DataFrame:
     """``key, difference``: length of the difference of ``paired`` vectors."""
 
     def run(batches):
@@ -289,13 +341,13 @@ def difference(pairs: DataFrame, key: str, policy: Reduction) -> DataFrame:
             d = np.bincount(at, np.where(after, w, 0.0)) - np.bincount(at, np.where(after, 0.0, w))
             yield pa.RecordBatch.from_arrays([t[key].take(pa.array(starts)).combine_chunks(), pa.array(np.sqrt(sums(doc, d * d, len(starts), policy)))], [key, "difference"])
 
-    return pairs.select(key, "token", "side", "weight").mapInArrow(run, f"{key} string, difference double")
+    return mapped(pairs, [key, "token", "side", "weight"], run, f"{key} string, difference double")
 
 
 PARTS = ("observed", "tf", "dtf", "shared_shift", "gained_mass", "lost_mass")
 
 
-def shift_parts(pairs: DataFrame) -> DataFrame:
+def shift_parts(pairs: DataFrame | Made) -> DataFrame:
     """``doc_id`` and the lengths ``PARTS`` of ``paired`` vectors with ``tf`` and
     ``alone`` (the other side's vocabulary lacks the token)."""
 
@@ -311,14 +363,14 @@ def shift_parts(pairs: DataFrame) -> DataFrame:
             cols = (diff, tf1, side(tf, True) - tf1, np.where(gained | lost, 0.0, diff), np.where(gained, new, 0.0), np.where(lost, old, 0.0))
             yield pa.RecordBatch.from_arrays([t["doc_id"].take(pa.array(starts)).combine_chunks(), *[pa.array(np.sqrt(sums(doc, x * x, len(starts)))) for x in cols]], ["doc_id", *PARTS])
 
-    return pairs.select("doc_id", "token", "side", "alone", "weight", "tf").mapInArrow(run, "doc_id string, " + ", ".join(f"{c} double" for c in PARTS))
+    return mapped(pairs, ["doc_id", "token", "side", "alone", "weight", "tf"], run, "doc_id string, " + ", ".join(f"{c} double" for c in PARTS))
 
 
-def score_both(pairs: DataFrame, p: Postings, q: Postings, policies: tuple[Reduction, Reduction]) -> DataFrame:
+def score_both(pairs: DataFrame | Made, p: Postings, q: Postings, policies: tuple[Reduction, Reduction]) -> DataFrame:
     """``query_id, doc_id, score_before, score_after`` of ``paired`` documents
     that share a term with the query on one side.  Both sides' postings hold the
     same queries."""
-    held = pairs.sparkSession.sparkContext.broadcast((p, q))
+    held = _session(pairs).sparkContext.broadcast((p, q))
 
     def run(batches):
         both = held.value
@@ -333,13 +385,13 @@ def score_both(pairs: DataFrame, p: Postings, q: Postings, policies: tuple[Reduc
                     rows = np.flatnonzero(after == bool(second))
                     one, own = part.take(pa.array(rows)), of[rows]
                     w = one["weight"].to_numpy()
-                    pair, terms = _terms(one, own, x, v)
+                    dot, pair = _dots(one, own, n, x, v, policy, touched=True)
                     seen[pair] = True
                     norm = np.sqrt(sums(own, w * w, n, policy))
-                    scores.append(_cosines(sums(pair, terms, cells, policy), np.tile(norms, n) * np.repeat(norm, len(x.ids))))
+                    scores.append(_cosines(dot, np.tile(norms, n) * np.repeat(norm, len(x.ids))))
                 cell = np.flatnonzero(seen)
                 doc, query = np.divmod(cell, max(1, len(both[0].ids)))
                 ids = part["doc_id"].take(pa.array(starts)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(scores[0][cell]), pa.array(scores[1][cell])], ["query_id", "doc_id", "score_before", "score_after"])
 
-    return pairs.select("doc_id", "token", "side", "weight").mapInArrow(run, "query_id string, doc_id string, score_before double, score_after double")
+    return mapped(pairs, ["doc_id", "token", "side", "weight"], run, "query_id string, doc_id string, score_before double, score_after double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateId, EmptyCorpus
 from ..functions.numerics import Reduction, ordered_sum, with_idf
-from .local import arranged, folded_norms
+from .local import Made, arranged, folded_norms
 from .vocabulary import VocabularyConfig, term_counts, vocabulary
 
 
@@ -33,8 +33,13 @@ class Model:
     config: VocabularyConfig = field(default_factory=VocabularyConfig)
     #: Are the weights dealt by document and sorted by token (``local.arranged``)?
     dealt: bool = False
+    #: The same vectors, made again where the texts lie (``texts``), and what of.
+    made: Made | None = None
+    origin: tuple | None = None
 
-    def arranged(self) -> DataFrame:
+    def arranged(self) -> DataFrame | Made:
+        if self.made is not None:
+            return self.made
         return self.weights if self.dealt else arranged(self.weights)
 
     def zero_norm_documents(self) -> DataFrame:

@@ -11,6 +11,7 @@ from ..errors import DuplicateId
 from .local import paired, postings, score_both, shift_parts
 from .model import Model, embed, fit
 from .scoring import BOUND_SLACK, touched_scores
+from .texts import both_sides
 
 
 #: Rows of an edit (tokens or documents of one side only) that are broadcast.
@@ -135,6 +136,9 @@ def score_shift(before: Model, after: Model, query_before: DataFrame, query_afte
     both models that share a term with the query in one of them, the query
     embedded in each; all others score 0 on both sides and are left out."""
     p, q = postings(query_before, query_after), postings(query_after, query_before)
+    if p is not None and q is not None and (near := both_sides(before, after)) is not None:
+        out = score_both(near, p, q, (before.reduction, after.reduction))
+        return out.withColumn("shift", F.abs(F.col("score_after") - F.col("score_before")))
     if p is not None and q is not None:
         a, b = before.stats.select("doc_id"), after.stats.select("doc_id")
         gone = _small(a.join(b, "doc_id", "left_anti").unionByName(b.join(a, "doc_id", "left_anti")))
