@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 from decimal import Context, Decimal
 from enum import Enum
 
@@ -169,18 +170,21 @@ def exact_mean(values: Column) -> Column:
 
 
 def with_idf(vocab: DataFrame, n_documents: int, df_col: str = "df", exact: bool = True) -> DataFrame:
-    """Append ``idf``.  The exact logarithm runs once per distinct document
-    frequency; frequencies are at most as many as the largest one, and the join
-    goes by broadcast only when Spark finds their table small."""
+    """Append ``idf``.  The exact logarithm runs once per distinct document frequency
+    of a part; the vocabulary is read once, and nothing of it is shuffled."""
     if not exact:
         return vocab.withColumn("idf", F.log(F.lit(1.0 + n_documents) / (1 + F.col(df_col))) + 1)
 
     @F.pandas_udf("double")
-    def one(df: pd.Series) -> pd.Series:
-        return df.map(lambda d: smoothed_idf(int(d), n_documents))
-
-    table = vocab.select(F.col(df_col).alias("__df")).distinct().withColumn("idf", one("__df"))
-    return vocab.join(table, F.col(df_col) == F.col("__df")).drop("__df")
+    def idf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found: dict[int, float] = {}
+        for df in parts:
+            for d in df.dropna().unique():
+                if d not in found:
+                    found[d] = smoothed_idf(int(d), n_documents)
+            yield df.map(found).astype(float)
+
+    return vocab.withColumn("idf", idf(df_col))
 
 
 def check_float_environment() -> dict:

@@ -88,12 +88,22 @@ def _known(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return marked.where("idf is not null").unionByName(rare.select(*marked.columns).repartition(parts, "doc_id"))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, whole: bool = False, deal: bool = False) -> DataFrame:
+def _asked(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The idf of the tokens of ``counts``: if they are few, as those of queries are,
+    they go to the vocabulary, of which nothing else is moved."""
+    tokens = counts.select("token").distinct().persist()
+    if tokens.count() > FREQUENT:
+        return _hashed(vocab)
+    return F.broadcast(vocab.select("token", "idf").join(F.broadcast(tokens), "token", "left_semi"))
+
+
+def weigh(counts: DataFrame, vocab: DataFrame, whole: bool = False, deal: bool = False, few: bool = False) -> DataFrame:
     """``doc_id, token, cnt, tf, weight``: tf over the in-vocabulary length.  Where
     the vocabulary is ``whole``, that is the number of features, which ``counts``
     carries as ``length``; else the known ones are added up.  Dealt rows are
-    ``local.arranged``, before the numbers that compress badly are made."""
-    known = _known(counts, vocab) if deal else counts.join(_hashed(vocab), "token")
+    ``local.arranged``, before the numbers that compress badly are made.  ``few``: the
+    counts are cheap to make and have few tokens."""
+    known = _known(counts, vocab) if deal else counts.join(_asked(counts, vocab) if few else _hashed(vocab), "token")
     if not whole:
         length = known.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
         known = known.drop("length").join(length, "doc_id")
@@ -130,7 +140,7 @@ def fit(docs: DataFrame, cfg: VocabularyConfig = VocabularyConfig(), features_co
 def embed(model: Model, queries: DataFrame, features_col: str = "features", id_col: str = "query_id") -> DataFrame:
     """``query_id, token, cnt, tf, weight`` with frozen vocabulary and idf."""
     counts = term_counts(queries.select(F.col(id_col).cast("string").alias("doc_id"), F.col(features_col).alias("features")))
-    return weigh(counts, model.vocab).withColumnRenamed("doc_id", "query_id")
+    return weigh(counts, model.vocab, few=True).withColumnRenamed("doc_id", "query_id")
 
 
 def float_digest(values) -> str:
