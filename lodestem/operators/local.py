@@ -26,6 +26,8 @@ from ..functions.numerics import PAIRWISE_BLOCK, Reduction, neumaier, pairwise
 MOST_ENTRIES = 1 << 20
 #: Pairs of documents and queries that are scored at a time.
 CELLS = 1 << 20
+#: Documents without a term that are held until they get their scores.
+BARE = 1 << 14
 
 
 def arranged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -38,10 +40,11 @@ def arranged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 @dataclass(frozen=True)
 class Made:
     """Vectors like ``arranged`` ones that ``make`` makes of batches of ``docs``, in
-    the worker that goes on with them."""
+    the worker that goes on with them; ids of documents without a term are added to
+    the list that is its second argument."""
 
     docs: DataFrame
-    make: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    make: Callable[[Iterable[pa.RecordBatch], list[str]], Iterator[pa.RecordBatch]]
 
     def rows(self, schema: str) -> DataFrame:
         return mapped(self, [c.split()[0] for c in schema.split(", ")], lambda batches: batches, schema)
@@ -56,7 +59,7 @@ def mapped(rows: DataFrame | Made, columns: list[str], run, schema: str) -> Data
     if not isinstance(rows, Made):
         return rows.where(F.col(columns[0]).isNotNull()).select(*columns).mapInArrow(run, schema)
     make = rows.make
-    return rows.docs.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches)), schema)
+    return rows.docs.mapInArrow(lambda batches: run(b.select(columns) for b in make(batches, [])), schema)
 
 
 def whole(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -242,7 +245,8 @@ def _cosines(dot: np.ndarray, both: np.ndarray) -> np.ndarray:
 
 def score(weights: DataFrame | Made, p: Postings, policy: Reduction = Reduction.NAIVE, dense: bool = False) -> DataFrame:
     """``query_id, doc_id, score`` of ``arranged`` documents that share a term
-    with the query; with ``dense``, of every query and document with a term."""
+    with the query; with ``dense``, of every query and document with a term, and of
+    those without one, if the vectors are made of them."""
     held = _session(weights).sparkContext.broadcast(p)
 
     def run(batches):
@@ -259,7 +263,28 @@ def score(weights: DataFrame | Made, p: Postings, policy: Reduction = Reduction.
                 ids = part["doc_id"].take(pa.array(starts)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(got)], ["query_id", "doc_id", "score"])
 
-    return mapped(weights, ["doc_id", "token", "weight"], run, "query_id string, doc_id string, score double")
+    columns, schema = ["doc_id", "token", "weight"], "query_id string, doc_id string, score double"
+    if not dense or not isinstance(weights, Made):
+        return mapped(weights, columns, run, schema)
+    make = weights.make
+
+    def run_all(batches):
+        names, bare = pa.array(held.value.ids, pa.string()), []
+
+        def zeros():
+            for lo in range(0, len(bare) if len(names) else 0, many := max(1, CELLS // max(1, len(names)))):
+                ids = pa.array(bare[lo : lo + many], pa.string())
+                doc, query = np.divmod(np.arange(len(ids) * len(names)), len(names))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(np.zeros(len(doc)))], ["query_id", "doc_id", "score"])
+            bare.clear()
+
+        for b in run(b.select(columns) for b in make(batches, bare)):
+            yield b
+            if len(bare) > BARE:
+                yield from zeros()
+        yield from zeros()
+
+    return weights.docs.mapInArrow(run_all, schema)
 
 
 def leading(weights: DataFrame | Made, p: Postings, k: int, slack: float, policy: Reduction = Reduction.NAIVE) -> DataFrame:

@@ -59,8 +59,10 @@ def all_scores(model: Model, query_vectors: DataFrame, query_ids: DataFrame, exc
     few = local.postings(query_vectors, query_ids) if hint is None and excluded is None else None
     if few is not None:
         asked = query_ids.select("query_id").distinct()
-        bare = model.stats.where("length = 0").select("doc_id").join(asked, F.lit(True)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
         some = local.score(model.arranged(), few, model.reduction, dense=True).join(F.broadcast(asked), "query_id", "left_semi")
+        if model.made is not None:
+            return some
+        bare = model.stats.where("length = 0").select("doc_id").join(asked, F.lit(True)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
         return some.unionByName(bare)
     grid = model.stats.select("doc_id").join(F.broadcast(query_ids.select("query_id").distinct()) if hint == "broadcast" else query_ids.select("query_id").distinct(), F.lit(True))
     if excluded is not None:
