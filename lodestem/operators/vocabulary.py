@@ -74,8 +74,13 @@ def vocabulary(counts: DataFrame, n_documents: int, cfg: VocabularyConfig = Voca
     Terms are known by their token: its byte order *is* the order of term ids,
     so no global numbering is needed until one is exported (``numbered``).
     """
+    return bounded(frequencies(counts), n_documents, cfg, check)
+
+
+def bounded(found: DataFrame, n_documents: int, cfg: VocabularyConfig = VocabularyConfig(), check: bool = True) -> DataFrame:
+    """``vocabulary`` of ``frequencies``."""
     lo, hi = threshold(cfg.min_df, n_documents, True), threshold(cfg.max_df, n_documents, False)
-    out = frequencies(counts).where(F.col("df").between(max(lo, 1), hi))
+    out = found.where(F.col("df").between(max(lo, 1), hi))
     if cfg.max_features is not None:
         if cfg.max_features < 1:
             raise BadConfig("max_features must be positive")

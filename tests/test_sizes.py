@@ -84,3 +84,11 @@ def test_units_and_norms_of_dealt_vectors_need_no_lists(made):
 def test_queries_on_vectors_are_folds_where_they_lie(spark, name):
     # lists of all weights of a document were collected, in one task of many documents
     assert "collect_list" not in _plan(QUERIES[name](spark, SF)).split("InMemoryRelation")[0]
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
+@pytest.mark.parametrize("name", ["term_frequencies", "vocab_min_max_df", "vocab_max_features_df_desc", "vocab_max_features_cf_desc", "vocab_max_features_cf_token"])
+def test_terms_are_counted_in_parts_of_bounded_size(spark, name):
+    # a task held the counts of every document and token of its part, after texts were dealt
+    plan = _plan(QUERIES[name](spark, SF))
+    assert "doc_id" not in plan.split("Exchange")[1] and "Generate" not in plan
