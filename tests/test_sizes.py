@@ -92,3 +92,10 @@ def test_terms_are_counted_in_parts_of_bounded_size(spark, name):
     # a task held the counts of every document and token of its part, after texts were dealt
     plan = _plan(QUERIES[name](spark, SF))
     assert "doc_id" not in plan.split("Exchange")[1] and "Generate" not in plan
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
+def test_weights_are_made_without_an_exchange(spark):
+    q = QUERIES["tfidf_weights"](spark, SF)
+    # rows of documents and tokens went to their token, back to their document and to disk
+    assert not any(x in _plan(q) for x in ("hashpartitioning(token", "Sort", "Join", "InMemoryRelation"))
